@@ -51,15 +51,18 @@ def parse_custom(lines: DataFrame, name: str, parser: Callable[[Column], Column]
     return _frame(lines, name, parser)
 
 
-def parse_auto(lines: DataFrame, mode: str = "file", locks: DataFrame | None = None) -> DataFrame:
+def parse_auto(
+    lines: DataFrame, mode: str = "file", locks: DataFrame | None = None, keep_failed: bool = False
+) -> DataFrame:
     """Detect the format: of every line (``line``), or once per file (``file``).
 
     A file takes the format of its first line that is not raw; the lines before
     that one stay raw, misfits after it are dropped (json, access log) or kept
-    raw (syslog).  ``locks`` reuses the result of :func:`file_locks`.
+    raw (syslog).  ``locks`` reuses the result of :func:`file_locks`;
+    ``keep_failed`` keeps dropped lines too, with NULL fields.
     """
     if mode == "line":
-        return _frame(lines, detect_format(F.col("raw")), None)
+        return _frame(lines, detect_format(F.col("raw")), None, keep_failed)
     if mode != "file":
         raise ValueError(f"mode is 'line' or 'file', not {mode!r}")
     if lines.isStreaming:
@@ -69,7 +72,7 @@ def parse_auto(lines: DataFrame, mode: str = "file", locks: DataFrame | None = N
     locks = broadcast_if_small(locks, locks.count(), row_bytes=512)
     at_or_after = F.struct("block_start", "seq") >= F.struct("lock_block", "lock_seq")
     fmt = F.when(at_or_after, F.col("lock_format")).otherwise("raw")
-    return _frame(lines.join(locks, "file", "left"), fmt, None)
+    return _frame(lines.join(locks, "file", "left"), F.coalesce(fmt, F.lit("raw")), None, keep_failed)
 
 
 def file_locks(lines: DataFrame) -> DataFrame:
@@ -124,6 +127,7 @@ def _frame(
     lines: DataFrame,
     fmt: str | Column,
     parser: LineParser | Callable[[Column], Column] | None,
+    keep_failed: bool = False,
 ) -> DataFrame:
     """Attach format and fields, dropping the lines whose parse is NULL.
 
@@ -143,7 +147,8 @@ def _frame(
     else:
         scans = [parser(raw).alias("_scan")]
         fields = F.col("_scan")
-    return named.select(*kept, *scans).select(*kept, _once(fields).alias("fields")).where("fields IS NOT NULL")
+    parsed = named.select(*kept, *scans).select(*kept, _once(fields).alias("fields"))
+    return parsed if keep_failed else parsed.where("fields IS NOT NULL")
 
 
 def _once(value: Column) -> Column:
