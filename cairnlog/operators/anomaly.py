@@ -27,6 +27,7 @@ def score_anomalies(
 ) -> DataFrame:
     """Score a numeric field; adds value, n, mean, std, z_score, is_anomaly, skipped.
 
+    Columns of these names are replaced.
     n, mean and std describe the numbers *before* the entry.  The score stays
     NULL until there are ``min_samples`` of them and while they are all equal;
     it is an anomaly when strictly above the threshold.  ``reset_when`` restarts
@@ -45,7 +46,8 @@ def score_anomalies(
         scored = _past_by_blocks(scored, keys, order, rows_per_block)
     else:
         scored = _past_in_window(scored, keys, order)
-    return _judge(scored, threshold, min_samples).select(*df.columns, *RESULT_COLUMNS)
+    kept = [c for c in df.columns if c not in RESULT_COLUMNS]
+    return _judge(scored, threshold, min_samples).select(*kept, *RESULT_COLUMNS)
 
 
 def anomalies(df: DataFrame, name: str, **options: object) -> DataFrame:

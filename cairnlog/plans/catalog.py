@@ -315,7 +315,7 @@ def search_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = logs.table(spark, sf_dir, "documents")
     shown = strip(F.concat(F.lit(" \t"), F.left("text", F.lit(40)), F.lit(" \n")))
-    return documents.select("doc_id", F.upper(shown).alias("head"), digest_prefix(F.col("text")).alias("digest"))
+    return documents.select("doc_id", shown.alias("head"), digest_prefix(F.col("text")).alias("digest"))
 
 
 # -- counts, groups, numbers -------------------------------------------------
@@ -661,8 +661,9 @@ def materialised_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
+    schema = logs.table(spark, sf_dir, name).schema
+    # A pattern, because a stream takes a folder or a pattern but not the path of one file.
+    path = f"{sf_dir}/{name}[.]parquet"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
 
 

@@ -222,7 +222,7 @@ ORACLE: dict[str, str] = {
         " AND date_trunc('second', ts) BETWEEN '2024-01-05 06:00:00' AND '2024-01-20' ORDER BY event_id LIMIT 25"
     ),
     "text_functions": (
-        "SELECT doc_id, upper(trim(left(text, 40), chr(9) || chr(10) || chr(13) || ' ')) AS head, left(sha256(text), 32) AS digest FROM documents"
+        "SELECT doc_id, trim(left(text, 40), chr(9) || chr(10) || chr(13) || ' ') AS head, left(sha256(text), 32) AS digest FROM documents"
     ),
     # counts, groups, numbers
     "count_by": _mixed("SELECT coalesce(e_status, 'unknown') AS value, count(*) AS count FROM entries GROUP BY 1"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import pin_splits
+from ..session import pin_splits, ship_package
+
+_PLACE = ("_metadata.file_path AS file", "_metadata.file_block_start AS block_start")
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -19,7 +22,8 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     the scan stage, so no shuffle and no global counter is needed.
     """
     pin_splits(spark)
-    return _positioned(spark.read.text(paths))
+    scan = spark.read.text(paths)
+    return _stripped(scan.selectExpr(*_PLACE, "monotonically_increasing_id() AS seq", "value"))
 
 
 def stream_lines(spark: SparkSession, path: str, **options: object) -> DataFrame:
@@ -27,8 +31,20 @@ def stream_lines(spark: SparkSession, path: str, **options: object) -> DataFrame
 
     Options go to the file source; ``maxFilesPerTrigger`` or
     ``maxBytesPerTrigger`` bound a micro-batch, ``modifiedAfter`` starts from now.
+    A stream has no built-in line number, so one passes over the Arrow batches.
     """
-    return _positioned(spark.readStream.options(**options).text(path))
+    ship_package(spark)
+    scan = spark.readStream.options(**options).text(path).selectExpr(*_PLACE, "value")
+    numbered = scan.mapInArrow(_number_lines, "file string, block_start long, value string, seq long")
+    return _stripped(numbered)
+
+
+def _number_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done = 0
+    for batch in batches:
+        seq = pa.array(range(done, done + batch.num_rows), pa.int64())
+        done += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, seq], [*batch.schema.names, "seq"])
 
 
 def lines_from(df: DataFrame, raw: Column, seq: Column, file: Column | None = None) -> DataFrame:
@@ -42,10 +58,6 @@ def lines_from(df: DataFrame, raw: Column, seq: Column, file: Column | None = No
     ).where("raw != ''")
 
 
-def _positioned(scan: DataFrame) -> DataFrame:
-    return scan.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("seq"),
-        strip(F.make_valid_utf8("value")).alias("raw"),
-    ).where("raw != ''")
+def _stripped(lines: DataFrame) -> DataFrame:
+    text = strip(F.make_valid_utf8("value"))
+    return lines.select("file", "block_start", "seq", text.alias("raw")).where("raw != ''")

@@ -155,10 +155,10 @@ def _once(value: Column) -> Column:
     """Keep the filter behind this projection there.
 
     Pushed below it, the filter would repeat the whole parse for every line.  A
-    filter does not pass an expression that depends on the row's place, so the
+    filter does not pass an expression that depends on where the row is, so the
     value is tied to one that is always true.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def access_view(frame: DataFrame) -> DataFrame:
