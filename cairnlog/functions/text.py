@@ -33,6 +33,13 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def strip_line(line: Column) -> Column:
+    """The same, quick for the usual line that begins and ends with a visible ASCII character."""
+    last_byte = F.substring(line.cast("binary"), -1, 1)
+    tidy = line.between("!", "~") & last_byte.between(F.lit(b"!"), F.lit(b"~"))
+    return F.when(tidy, line).otherwise(strip(line))
+
+
 def first_of(value: Column, then) -> Column:
     """Evaluate ``value`` once and use it many times inside one expression.
 

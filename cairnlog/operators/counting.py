@@ -27,7 +27,7 @@ def top(df: DataFrame, name: str, n: int = 10, order_by: Sequence[str] | str | N
     best = first_seen.orderBy(F.desc("count"), F.asc("first")).limit(max(n, 0))
     # At most n rows reach this window.
     ranked = Window.partitionBy(F.lit(0)).orderBy(F.desc("count"), F.asc("first"))
-    return best.select(F.row_number().over(ranked).alias("rank"), "value", "count")
+    return best.select(F.row_number().over(ranked).cast("long").alias("rank"), "value", "count")
 
 
 def _count_and_first(df: DataFrame, name: str, order: list[str]) -> DataFrame:

@@ -34,29 +34,21 @@ def summary(
     max_distinct: int = MAX_DISTINCT,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Percentiles, min, max, mean and count of the numbers in a field, one row.
-
-    With few distinct values the built-in exact percentile (a map from value to
-    count) does it in one pass.  Beyond ``max_distinct`` that map would outgrow
-    its task, and the ranks are looked up in value blocks instead.
-    """
-    values = df.select(numeric(df, name).alias("v")).where("v IS NOT NULL")
-    distinct = values.agg(F.approx_count_distinct("v")).first()[0]
-    facts = [
+    """Percentiles, min, max, mean and count of the numbers in a field, one row."""
+    values = _values(df, name)
+    wanted = {percentile_name(p): _nearest_rank(p) for p in percentiles}
+    ranks = values_at_ranks(values, wanted, max_distinct, rows_per_block)
+    facts = values.agg(
         F.min("v").alias("min"),
         F.max("v").alias("max"),
         F.avg("v").alias("mean"),
         F.count("v").cast("double").alias("count"),
-    ]
-    names = [percentile_name(p) for p in percentiles]
-    if distinct <= max_distinct:
-        ranks = [
-            F.coalesce(_built_in(p), F.lit(0.0)).alias(n) for p, n in zip(percentiles, names)
-        ]
-        return values.agg(*ranks, *facts)
-    wanted = {n: _nearest_rank(p) for p, n in zip(percentiles, names)}
-    found = values_at_ranks(values, wanted, rows_per_block)
-    return _beside(found, values.agg(*facts))
+    )
+    return _beside(ranks.select(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in wanted]), facts)
+
+
+def _values(df: DataFrame, name: str) -> DataFrame:
+    return df.select(numeric(df, name).alias("v")).where("v IS NOT NULL")
 
 
 def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -65,22 +57,33 @@ def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("*", one).join(right.select("*", one), "_one").drop("_one")
 
 
-def _built_in(p: float) -> Column:
-    return F.expr(f"percentile_disc({min(max(p, 0), 100) / 100!r}) WITHIN GROUP (ORDER BY v)")
-
-
 def _nearest_rank(p: float) -> Column:
     """Rank (from 1) of a percentile among ``n`` sorted values."""
     rank = F.ceil(F.lit(p / 100) * F.col("n")).cast("long")
     return F.greatest(F.lit(1), F.least(rank, F.col("n")))
 
 
-def values_at_ranks(values: DataFrame, ranks: dict[str, Column], rows_per_block: int) -> DataFrame:
-    """The values ``v`` at the given ranks (columns of ``n``), one row.
+def values_at_ranks(
+    values: DataFrame, ranks: dict[str, Column], max_distinct: int, rows_per_block: int
+) -> DataFrame:
+    """The values ``v`` at the given ranks (columns of ``n``), one row; NULL without values.
 
-    Values are counted per block of the value range; a running total over the
-    blocks tells which of them hold a wanted rank, and only those are ranked.
+    Equal values are counted together before anything is ordered.  Up to
+    ``max_distinct`` counts are ranked by one window.  With more of them the
+    value range is cut into blocks: a running total over the blocks tells which
+    hold a wanted rank, and only those are ranked.
     """
+    if values.agg(F.approx_count_distinct("v")).first()[0] <= max_distinct:
+        counts = values.groupBy("v").agg(F.count("*").alias("c"))
+        everything = Window.partitionBy(F.lit(0))
+        ranked = counts.select(
+            "v", F.sum("c").over(everything.orderBy("v")).alias("upto"), F.sum("c").over(everything).alias("n")
+        )
+        return ranked.agg(*[F.min(F.when(F.col("upto") >= r, F.col("v"))).alias(n) for n, r in ranks.items()])
+    return _ranks_in_blocks(values, ranks, rows_per_block)
+
+
+def _ranks_in_blocks(values: DataFrame, ranks: dict[str, Column], rows_per_block: int) -> DataFrame:
     cut = with_block(values, ["v"], rows_per_block)
     sizes = cut.groupBy("_block").agg(F.count("*").alias("rows"))
     spans = sizes.select(
@@ -114,14 +117,14 @@ def values_at_ranks(values: DataFrame, ranks: dict[str, Column], rows_per_block:
     return hits.agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ranks])
 
 
-def median(df: DataFrame, name: str, max_distinct: int = MAX_DISTINCT, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def median(
+    df: DataFrame, name: str, max_distinct: int = MAX_DISTINCT, rows_per_block: int = ROWS_PER_BLOCK
+) -> DataFrame:
     """Median (mean of the middle two) and count of a field's numbers, one row."""
-    values = df.select(numeric(df, name).alias("v")).where("v IS NOT NULL")
-    if values.agg(F.approx_count_distinct("v")).first()[0] <= max_distinct:
-        return values.agg(F.median("v").alias("median"), F.count("v").alias("count"))
+    values = _values(df, name)
     n = F.col("n")
     middle = {"low": F.floor((n + 1) / 2).cast("long"), "high": F.floor((n + 2) / 2).cast("long")}
-    found = values_at_ranks(values, middle, rows_per_block)
+    found = values_at_ranks(values, middle, max_distinct, rows_per_block)
     count = values.agg(F.count("v").alias("count"))
     return _beside(found.select(((F.col("low") + F.col("high")) / 2).alias("median")), count)
 

@@ -24,7 +24,7 @@ def stats(
     Parse once and keep the log frame (written, or persisted) before this: each
     section is a pass of its own.
     """
-    empty = F.lit(None).cast("int").alias("rank")
+    empty = F.lit(None).cast("long").alias("rank")
     sections = total(df).select(
         F.lit("total").alias("section"), empty, F.lit("entries").alias("label"), F.col("total").cast("double").alias("value")
     )

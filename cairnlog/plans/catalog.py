@@ -621,7 +621,7 @@ def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.table(spark, sf_dir, "pages").select("page_id", F.length(escape_html(F.col("html"))).alias("chars"))
+    return logs.table(spark, sf_dir, "pages").select("page_id", F.length(escape_html(F.col("html"))).cast("long").alias("chars"))
 
 
 @query

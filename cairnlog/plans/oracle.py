@@ -269,7 +269,7 @@ top5 AS (
   SELECT row_number() OVER (ORDER BY count(*) DESC, min(event_id)) AS rank, val AS label, CAST(count(*) AS DOUBLE) AS value FROM ev GROUP BY val ORDER BY rank LIMIT 5
 ),
 facts AS ({_summary("value", "ev", (50, 90, 95, 99))})
-SELECT 'total' AS section, CAST(NULL AS INTEGER) AS rank, 'entries' AS label, CAST(count(*) AS DOUBLE) AS value FROM ev
+SELECT 'total' AS section, CAST(NULL AS BIGINT) AS rank, 'entries' AS label, CAST(count(*) AS DOUBLE) AS value FROM ev
 UNION ALL SELECT 'top', rank, label, value FROM top5
 UNION ALL SELECT 'numeric', NULL, name, value FROM (UNPIVOT facts ON COLUMNS(*) INTO NAME name VALUE value)
 UNION ALL SELECT 'numeric', NULL, 'skipped', 0.0""",

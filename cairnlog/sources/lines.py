@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip_line
 from ..session import pin_splits, ship_package
 
 _PLACE = ("_metadata.file_path AS file", "_metadata.file_block_start AS block_start")
@@ -49,15 +49,15 @@ def _number_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def lines_from(df: DataFrame, raw: Column, seq: Column, file: Column | None = None) -> DataFrame:
     """Lines held in a table column; ``seq`` orders them inside ``file``."""
-    text = strip(F.make_valid_utf8(raw))
-    return df.select(
+    placed = df.select(
         (F.lit("table") if file is None else file).alias("file"),
         F.lit(0).cast("long").alias("block_start"),
         seq.cast("long").alias("seq"),
-        text.alias("raw"),
-    ).where("raw != ''")
+        raw.alias("value"),
+    )
+    return _stripped(placed)
 
 
 def _stripped(lines: DataFrame) -> DataFrame:
-    text = strip(F.make_valid_utf8("value"))
+    text = F.make_valid_utf8(strip_line(F.col("value")))
     return lines.select("file", "block_start", "seq", text.alias("raw")).where("raw != ''")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..functions.text import strip
+from ..functions.text import strip_line
 from ..operators.project import normalise_entry
 from ..operators.search import raw_prefilter
 from ..session import ship_package
@@ -52,7 +52,7 @@ def stream_appends(spark: SparkSession, path: str, from_start: bool = False, **o
     if from_start:
         reader = reader.option("from", "start")
     rows = reader.options(**options).load()
-    return rows.select("file", "block_start", "seq", strip(F.make_valid_utf8("raw")).alias("raw")).where(
+    return rows.select("file", "block_start", "seq", strip_line(F.col("raw")).alias("raw")).where(
         "raw != ''"
     )
 

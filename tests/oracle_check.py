@@ -39,6 +39,19 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
+TYPES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_differences(df: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> str:
+    there = {row[0]: row[1] for row in connection.execute(f"DESCRIBE {sql}").fetchall()}
+    here = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    odd = [f"{n}: {t} / {there.get(n)}" for n, t in here.items() if there.get(n) != t]
+    return f"types: {', '.join(odd)}" if odd else ""
+
+
 def differences(df: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     cursor = connection.execute(sql)
@@ -72,12 +85,14 @@ def main() -> None:
     for name, run in registered.queries().items():
         if wanted and name not in wanted:
             continue
-        begin = time.time()
+        begin, types = time.time(), ""
         try:
-            problem = differences(run(spark, sf_dir), connection, sql[name]) if name in sql else "no SQL"
+            result = run(spark, sf_dir)
+            problem = differences(result, connection, sql[name]) if name in sql else "no SQL"
+            types = type_differences(result, connection, sql[name]) if name in sql else ""
         except Exception as error:
             problem = f"{type(error).__name__}: {str(error)[:600]}"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name:28s} {time.time() - begin:6.2f}s {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name:28s} {time.time() - begin:6.2f}s {problem or ''} {types}", flush=True)
         if problem:
             failed.append(name)
     print(f"{len(failed)} failed: {failed}")
