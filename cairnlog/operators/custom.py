@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +50,12 @@ def aggregate(df: DataFrame, make: Callable[[], Aggregator], schema: str) -> Dat
 
 def _fold(make: Callable[[], Aggregator]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
         aggregator = make()
         for batch in batches:
             for entry in batch["entry"]:
                 aggregator.add(dict(entry))
         yield pd.DataFrame(
-            {"slot": [TaskContext.get().partitionId()], "state": [pickle.dumps(aggregator)]}
+            {"slot": [TaskContext.get().partitionId()], "state": [cloudpickle.dumps(aggregator)]}
         )
 
     return run
@@ -66,7 +65,7 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
     first, *others = (pickle.loads(state) for state in group["state"])
     for other in others:
         first.merge(other)
-    return pd.DataFrame({"slot": [group["slot"].iloc[0]], "state": [pickle.dumps(first)]})
+    return pd.DataFrame({"slot": [group["slot"].iloc[0]], "state": [cloudpickle.dumps(first)]})
 
 
 def _finish(make: Callable[[], Aggregator]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
