@@ -9,8 +9,10 @@ has more of them than one task should hold, the time axis is cut: see
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -55,11 +57,13 @@ def evaluate_rules(
     timestamp: str = "timestamp",
     order_by: Sequence[str] | str | None = None,
     ticks_per_task: int = TICKS_PER_TASK,
+    ready: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """The alerts: entries that fire a rule, with rule_no, rule, fired_at, channels.
 
     Entries of equal time count in their order.  An entry without a time cannot
-    be inside a cooldown, so it fires.
+    be inside a cooldown, so it fires.  ``ready`` tells, by rule number, from
+    which time (in microseconds) on a rule that fired earlier may fire again.
     """
     order = order_columns(df, order_by)
     stamp = entry_time(df, timestamp)
@@ -71,6 +75,9 @@ def evaluate_rules(
 
     at_once = matches.where(free).select(*columns)
     held = matches.where(~free)
+    if ready:
+        cooling = [(F.col("rule_no") == no) & (F.col("_t") < at) for no, at in ready.items()]
+        held = held.where(~reduce(or_, cooling))
     if any(rule.cooldown_micros > 0 for rule in rules):
         # The first entry of every distinct match time; partial aggregation
         # folds a crowded instant before anything is shuffled.

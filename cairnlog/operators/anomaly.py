@@ -24,6 +24,7 @@ def score_anomalies(
     partition_by: Sequence[str] = (),
     reset_when: Column | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
+    prior: DataFrame | None = None,
 ) -> DataFrame:
     """Score a numeric field; adds value, n, mean, std, z_score, is_anomaly, skipped.
 
@@ -31,19 +32,17 @@ def score_anomalies(
     n, mean and std describe the numbers *before* the entry.  The score stays
     NULL until there are ``min_samples`` of them and while they are all equal;
     it is an anomaly when strictly above the threshold.  ``reset_when`` restarts
-    the statistics at the entries where it is true.
+    the statistics at the entries where it is true.  ``prior`` holds what went
+    before the first entry, as :func:`totals_of` gives it.
     """
     order = order_columns(df, order_by)
-    keys = [f"_key{i}" for i in range(len(partition_by))]
-    scored = df
-    for key, column in zip(keys, partition_by):
-        scored = scored.withColumn(key, F.coalesce(F.col(column).cast("string"), F.lit("\0")))
+    scored, keys = _keyed(df, partition_by)
     if reset_when is not None:
         scored = _with_epoch(scored, reset_when, keys, order, rows_per_block)
         keys = [*keys, "_epoch"]
     scored = scored.withColumn("value", numeric(df, name))
-    if needs_blocks(scored, keys, rows_per_block):
-        scored = _past_by_blocks(scored, keys, order, rows_per_block)
+    if prior is not None or needs_blocks(scored, keys, rows_per_block):
+        scored = _past_by_blocks(scored, keys, order, rows_per_block, prior)
     else:
         scored = _past_in_window(scored, keys, order)
     kept = [c for c in df.columns if c not in RESULT_COLUMNS]
@@ -55,6 +54,51 @@ def anomalies(df: DataFrame, name: str, **options: object) -> DataFrame:
     return score_anomalies(df, name, **options).where("is_anomaly")
 
 
+def totals_of(df: DataFrame, name: str, partition_by: Sequence[str] = (), prior: DataFrame | None = None) -> DataFrame:
+    """Per key, what there is to know of all its numbers: n, mean, var, lo, hi.
+
+    With ``prior`` (an earlier result) the two are taken together.
+    """
+    keyed, keys = _keyed(df, partition_by)
+    totals = keyed.withColumn("value", numeric(df, name)).groupBy(*keys).agg(*_totals())
+    if prior is None:
+        return totals
+    n, off = F.col("n"), F.col("mean") - F.col("centre")
+    both = totals.unionByName(prior).withColumn("centre", _centre(keys))
+    count = F.nullif(F.sum(n), F.lit(0))
+    return both.groupBy(*keys).agg(
+        F.sum(n).alias("n"),
+        F.max("centre").alias("mean"),
+        (F.sum(n * (F.col("var") + off * off)) / count).alias("var"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+    )
+
+
+def _keyed(df: DataFrame, partition_by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Grouping keys as text of their own, never NULL, so that they join."""
+    keys = [f"_key{i}" for i in range(len(partition_by))]
+    texts = {k: F.coalesce(F.col(c).cast("string"), F.lit("\0")) for k, c in zip(keys, partition_by)}
+    return (df.withColumns(texts) if texts else df), keys
+
+
+def _totals() -> list[Column]:
+    v = F.col("value")
+    return [
+        F.count(v).alias("n"),
+        F.avg(v).alias("mean"),
+        F.var_pop(v).alias("var"),
+        F.min(v).alias("lo"),
+        F.max(v).alias("hi"),
+    ]
+
+
+def _centre(keys: list[str]) -> Column:
+    """Overall mean of a group, from the totals of its parts."""
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    return F.sum(F.col("n") * F.col("mean")).over(group) / F.nullif(F.sum("n").over(group), F.lit(0))
+
+
 def _past(window: WindowSpec) -> dict[str, Column]:
     """What is known of the values before the current row of the window."""
     v = F.col("value")
@@ -77,25 +121,20 @@ def _past_in_window(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return df.select("*", *[c.alias(f"_{k}") for k, c in past.items()])
 
 
-def _past_by_blocks(df: DataFrame, keys: list[str], order: list[str], rows_per_block: int) -> DataFrame:
+def _past_by_blocks(
+    df: DataFrame, keys: list[str], order: list[str], rows_per_block: int, prior: DataFrame | None
+) -> DataFrame:
     """The same past, put together from earlier blocks and a window inside the block.
 
     Sums are taken around the group's overall mean, so they do not cancel.
     """
     cut = with_block(df, order, rows_per_block)
-    v = F.col("value")
-    totals = cut.groupBy(*keys, "_block").agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.var_pop(v).alias("var"),
-        F.min(v).alias("lo"),
-        F.max(v).alias("hi"),
-    )
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    centre = F.sum(F.col("n") * F.col("mean")).over(group) / F.nullif(
-        F.sum("n").over(group), F.lit(0)
-    )
-    shifted = totals.select("*", centre.alias("centre")).withColumn("off", F.col("mean") - F.col("centre"))
+    totals = cut.groupBy(*keys, "_block").agg(*_totals())
+    if prior is not None:
+        # A NULL block sorts before all others, and joins none of them.
+        first = F.lit(None).cast(totals.schema["_block"].dataType)
+        totals = totals.unionByName(prior.withColumn("_block", first))
+    shifted = totals.withColumn("centre", _centre(keys)).withColumn("off", F.col("mean") - F.col("centre"))
     before = earlier_blocks(keys)
     n, off = F.col("n"), F.col("off")
     sums = shifted.select(

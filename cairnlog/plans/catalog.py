@@ -30,8 +30,8 @@ from ..sources import parse
 from ..sources.formats import detect_format
 from ..sources.lines import read_lines, stream_lines
 from ..streaming import counters
-from ..streaming.alerts import alert_stream
-from ..streaming.anomaly import score_stream
+from ..streaming.alerts import alert_writer
+from ..streaming.anomaly import anomaly_writer
 from ..streaming.tail import tail_entries
 from . import event_logs as logs
 
@@ -703,16 +703,40 @@ def stream_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replaced(counters.level_counts(frame))
 
 
+def _by_batch(stream: DataFrame, make: Callable[[Callable[[DataFrame, int], None], str], Callable]) -> DataFrame:
+    """Run a stream through a batch writer into one folder per micro-batch, and read them."""
+    spark = stream.sparkSession
+    path = workspace(spark, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run = (
+        stream.writeStream.foreachBatch(make(keep, f"{path}-state"))
+        .option("checkpointLocation", f"{path}-progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(path)
+
+
 @query
 def stream_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_stream(_stream(spark, sf_dir, "events"), "value", ["event_type"], ["event_id"])
-    return _scores(_appended(scored), "event_type", "event_id")
+    scored = _by_batch(
+        _stream(spark, sf_dir, "events"),
+        lambda sink, state: anomaly_writer("value", sink, state, "event_id", ["event_type"]),
+    )
+    return _scores(scored, "event_type", "event_id")
 
 
 @query
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = logs.with_level(_stream(spark, sf_dir, "events"))
-    return _appended(alert_stream(events, RULES, ["event_id"], "ts")).select("rule_no", "rule", "event_id", "fired_at")
+    fired = _by_batch(
+        logs.with_level(_stream(spark, sf_dir, "events")),
+        lambda sink, state: alert_writer(RULES, sink, state, "ts", "event_id"),
+    )
+    return fired.select("rule_no", "rule", "event_id", "fired_at")
 
 
 @query

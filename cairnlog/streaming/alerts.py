@@ -1,82 +1,53 @@
-"""Alert rules on a stream: per rule, the time it is ready to fire again is state."""
+"""Alert rules on a stream: per rule, the time it may fire again is state."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timestamps import micros
-from ..operators.alerts import Rule, match_rules, next_fires
-from ..operators.predicates import entry_time
-from ..session import ship_package
+from ..operators.alerts import TICKS_PER_TASK, Rule, evaluate_rules
+from .anomaly import Sink
+from .state import BatchState
 
-_SPREAD = 64
 
-
-def alert_stream(
-    df: DataFrame,
+def alert_writer(
     rules: Sequence[Rule],
-    order_by: Sequence[str],
+    sink: Sink,
+    state_path: str,
     timestamp: str = "timestamp",
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    """Alerts (rule_no, rule, fired_at, channels, order columns, ``keep``) of a stream.
-
-    Matches older than a rule's last fire are suppressed with those inside its
-    cooldown.  Before the rows of a rule meet in one task, each scan task keeps
-    only the first match per instant; matches without a cooldown are spread.
+    order_by: Sequence[str] | str | None = None,
+    ticks_per_task: int = TICKS_PER_TASK,
+) -> Sink:
+    """A ``foreachBatch`` function that evaluates the rules and hands on the alerts.
+
+    Entries older than a rule's last fire are suppressed with those inside its
+    cooldown.  ``sink`` gets the alerts of a batch and its number; for channels
+    use :func:`cairnlog.sinks.delivery.batch_writer`.
     """
-    ship_package(df.sparkSession)
-    columns = list(dict.fromkeys([*order_by, *keep]))
-    matches = match_rules(df.withColumn("fired_at", entry_time(df, timestamp)), rules)
-    rows = matches.select("rule_no", "rule", "fired_at", micros(F.col("fired_at")).alias("t"), *columns)
-    cooldowns = F.array(*[F.lit(rule.cooldown_micros) for rule in rules])
-    free = (F.get(cooldowns, F.col("rule_no")) == 0) | F.col("t").isNull()
-    spread = F.pmod(F.hash(*order_by), F.lit(_SPREAD)) + 1
-    rows = rows.withColumn("slot", F.when(free, spread).otherwise(0))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    order = list(order_by)
-    thinned = rows.mapInPandas(_first_per_instant(order), schema)
-    fired = thinned.groupBy("rule_no", "slot").applyInPandasWithState(
-        _cool_down([rule.cooldown_micros for rule in rules], order),
-        schema,
-        "ready long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-    channels = F.array(*[F.array(*[F.lit(c) for c in r.channels]).cast("array<string>") for r in rules])
-    return fired.select(
-        "rule_no", "rule", "fired_at", F.get(channels, F.col("rule_no")).alias("channels"), *columns
-    )
+    state = BatchState(state_path)
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            before = state.before(batch.sparkSession, number)
+            # One row per rule that ever fired.
+            ready = {} if before is None else {r.rule_no: r.ready for r in before.collect()}
+            alerts = evaluate_rules(batch, rules, timestamp, order_by, ticks_per_task, ready).persist()
+            sink(alerts, number)
+            state.save(_ready_after(alerts, rules, ready), number)
+            alerts.unpersist()
+        finally:
+            batch.unpersist()
 
-def _first_per_instant(order: list[str]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held = batch[batch["slot"] == 0].sort_values(order).drop_duplicates(["rule_no", "t"])
-            yield held
-            yield batch[batch["slot"] != 0]
+    return write
 
-    return run
 
-
-def _cool_down(cooldowns: list[int], order: list[str]) -> Callable:
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rule_no, slot = key
-        if slot != 0:
-            yield from frames
-            return
-        rows = pd.concat(list(frames), ignore_index=True)
-        rows = rows.sort_values(["t", *order]).drop_duplicates("t", ignore_index=True)
-        times = rows["t"].to_numpy(dtype="int64")
-        ready = state.get[0] if state.exists else None
-        fired = next_fires(times, cooldowns[rule_no], ready)
-        if len(fired):
-            state.update((int(times[fired[-1]]) + cooldowns[rule_no],))
-        yield rows.iloc[fired]
-
-    return run
+def _ready_after(alerts: DataFrame, rules: Sequence[Rule], ready: dict[int, int]) -> DataFrame:
+    cooldowns = F.array(*[F.lit(rule.cooldown_micros) for rule in rules])
+    fired = alerts.where("fired_at IS NOT NULL").groupBy("rule_no").agg(F.max(micros(F.col("fired_at"))).alias("last"))
+    new = fired.select("rule_no", (F.col("last") + F.get(cooldowns, F.col("rule_no"))).alias("ready"))
+    old = alerts.sparkSession.createDataFrame(list(ready.items()), "rule_no int, ready long")
+    return old.unionByName(new).groupBy("rule_no").agg(F.max("ready").alias("ready"))

@@ -1,104 +1,47 @@
-"""Anomaly scores on a stream: the running statistics are keyed state."""
+"""Anomaly scores on a stream: per key, the statistics of all earlier batches are state."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.fields import numeric
-from ..operators.anomaly import MIN_SAMPLES, THRESHOLD
-from ..session import ship_package
+from ..operators.anomaly import MIN_SAMPLES, THRESHOLD, score_anomalies, totals_of
+from ..operators.blocks import ROWS_PER_BLOCK
+from .state import BatchState
 
-STATE = "n long, mean double, m2 double, lo double, hi double"
-RESULT = "value double, n long, mean double, std double, z_score double, is_anomaly boolean, skipped boolean"
-_EMPTY = (0, 0.0, 0.0, float("inf"), float("-inf"))
-_STEP = 4096
+Sink = Callable[[DataFrame, int], None]
 
 
-def score_stream(
-    df: DataFrame,
+def anomaly_writer(
     name: str,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    keep: Sequence[str] = (),
+    sink: Sink,
+    state_path: str,
+    order_by: Sequence[str] | str | None = None,
+    partition_by: Sequence[str] = (),
     threshold: float = THRESHOLD,
     min_samples: int = MIN_SAMPLES,
-) -> DataFrame:
-    """Score each value against the earlier ones of its key, across micro-batches.
-
-    Inside a micro-batch rows are taken in ``order_by``; between batches in
-    arrival order.  A key's rows of one batch are sorted together, so bound the
-    batch at the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
-    """
-    ship_package(df.sparkSession)
-    columns = list(dict.fromkeys([*keys, *order_by, *keep]))
-    rows = df.select(*columns, numeric(df, name).alias("value"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
-    run = _scorer(columns, list(order_by), threshold, min_samples)
-    return rows.groupBy(*keys).applyInPandasWithState(
-        run, f"{kept}, {RESULT}", STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _scorer(columns: list[str], order: list[str], threshold: float, min_samples: int) -> Callable:
-    def run(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, ignore_index=True)
-        before = state.get if state.exists else _EMPTY
-        values = rows["value"].to_numpy(dtype="float64", na_value=np.nan)
-        past, after = running_past(values, before)
-        state.update(after)
-        n, mean, var, varied = past
-        std = np.where(varied, np.sqrt(np.maximum(var, 0.0)), 0.0)
-        ready = (n >= min_samples) & (std > 0) & ~np.isnan(values)
-        z = np.full(len(values), np.nan)
-        z[ready] = np.abs(values[ready] - mean[ready]) / std[ready]
-        yield rows[columns].assign(
-            value=pd.array(values, dtype="Float64"),
-            n=n,
-            mean=mean,
-            std=std,
-            z_score=pd.array(z, dtype="Float64"),
-            is_anomaly=np.nan_to_num(z, nan=-1.0) > threshold,
-            skipped=np.isnan(values),
-        )
-
-    return run
-
-
-def running_past(values: np.ndarray, before: tuple) -> tuple[tuple, tuple]:
-    """For each value, what came before it (n, mean, variance, not all equal); and the state after.
-
-    Steps of a few thousand values are summed around the mean reached so far,
-    which keeps the squares from cancelling.
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> Sink:
+    """A ``foreachBatch`` function that scores each entry against all earlier ones.
+
+    Inside a micro-batch entries are taken in their order, between batches as
+    they arrive.  It is the batch operator with the earlier totals in front, so
+    a key that fills the batch is spread over tasks as it is there.  ``sink``
+    gets the scored batch and its number, which makes a repeated write safe.
     """
-    counts, means, variances, varied = [], [], [], []
-    n0, mean0, m2, lo, hi = before
-    for start in range(0, len(values), _STEP):
-        step = values[start : start + _STEP]
-        known = ~np.isnan(step)
-        if n0 == 0 and known.any():
-            mean0 = float(step[known][0])
-        shifted = np.where(known, step - mean0, 0.0)
-        n = n0 + np.concatenate([[0], np.cumsum(known)])
-        total = np.concatenate([[0.0], np.cumsum(shifted)])
-        squares = m2 + np.concatenate([[0.0], np.cumsum(shifted * shifted)])
-        seen = np.maximum(n, 1)
-        mean = mean0 + total / seen
-        spread = np.maximum(squares - total * total / seen, 0.0)
-        low = np.minimum.accumulate(np.concatenate([[lo], np.where(known, step, np.inf)]))
-        high = np.maximum.accumulate(np.concatenate([[hi], np.where(known, step, -np.inf)]))
-        counts.append(n[:-1])
-        means.append(np.where(n[:-1] > 0, mean[:-1], 0.0))
-        variances.append(spread[:-1] / seen[:-1])
-        varied.append(low[:-1] < high[:-1])
-        n0, mean0, m2 = int(n[-1]), float(mean[-1]), float(spread[-1])
-        lo, hi = float(low[-1]), float(high[-1])
-        if lo == hi:
-            mean0, m2 = lo, 0.0
-    joined = tuple(np.concatenate(part) for part in (counts, means, variances, varied))
-    return joined, (n0, mean0 if n0 else 0.0, m2, lo, hi)
+    state = BatchState(state_path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            prior = state.before(batch.sparkSession, number)
+            scored = score_anomalies(
+                batch, name, threshold, min_samples, order_by, partition_by, rows_per_block=rows_per_block, prior=prior
+            )
+            sink(scored, number)
+            state.save(totals_of(batch, name, partition_by, prior), number)
+        finally:
+            batch.unpersist()
+
+    return write

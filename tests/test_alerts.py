@@ -49,14 +49,14 @@ def match_times() -> dict[int, tuple[int, list[int]]]:
     random.seed(5)
     shapes = [
         random.sample(range(40_000), 900),
-        random.sample(range(10**9), 700),
-        [b + random.randrange(60) for b in random.sample(range(10**6), 60) for _ in range(20)],
+        random.sample(range(10**6), 700),
+        [b + random.randrange(60) for b in random.sample(range(10**5), 60) for _ in range(20)],
         list(range(-5000, 20_000, 29)),
     ]
     return {2 * i + j: (c, sorted(set(times))) for i, times in enumerate(shapes) for j, c in enumerate((1000, 37))}
 
 
-@pytest.mark.parametrize("ticks_per_task", [10**6, 300, 100, 3])
+@pytest.mark.parametrize("ticks_per_task", [10**6, 400, 3])
 def test_fire_times_agree_with_a_plain_fold(spark, ticks_per_task):
     """One fold per rule, several levels of cells, and the ordered stream give the same."""
     cases = match_times()
