@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import order_columns
 from ..functions.timestamps import micros
 from ..session import broadcast_if_small, settle, ship_package
+from .blocks import earliest
 from .predicates import Predicate, condition, entry_time
 
 TICKS_PER_TASK = 8_000_000
@@ -81,9 +82,7 @@ def evaluate_rules(
     if any(rule.cooldown_micros > 0 for rule in rules):
         # The first entry of every distinct match time; partial aggregation
         # folds a crowded instant before anything is shuffled.
-        ticks = settle(
-            held.groupBy("rule_no", "_t", "_cooldown").agg(F.min(F.struct(*order)).alias("_first"))
-        )
+        ticks = settle(earliest(held, ["rule_no", "_t", "_cooldown"], order, "_first"))
         fires = settle(fire_times(ticks.select("rule_no", "_t", "_cooldown"), ticks_per_task))
         keys = ticks.join(fires, ["rule_no", "_t"]).select("rule_no", "_first.*")
         keys = broadcast_if_small(keys, fires.count(), row_bytes=64 + 256 * len(order))

@@ -119,3 +119,21 @@ def earlier_blocks(keys: Sequence[str], block: str = "_block") -> WindowSpec:
         .orderBy(block)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+
+
+def earliest(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, count: str | None = None
+) -> DataFrame:
+    """Per key, the first position (a struct of the order columns), and how many rows.
+
+    A minimum over the last order column alone keeps its buffer fixed-size, so
+    the heavy level is a hash aggregation; the composite minimum, which sorts,
+    sees the remainder only.
+    """
+    *outer, last = order
+    counted = [F.count("*").alias(count)] if count else []
+    pieces = df.groupBy(*keys, *outer).agg(F.min(last).alias(last), *counted)
+    if not outer:
+        return pieces.select(*keys, F.struct(last).alias(name), *([count] if count else []))
+    summed = [F.sum(count).alias(count)] if count else []
+    return pieces.groupBy(*keys).agg(F.min(F.struct(*order)).alias(name), *summed)

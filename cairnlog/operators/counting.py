@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import field, order_columns
-from .blocks import ROWS_PER_BLOCK, earlier_blocks, needs_blocks, with_block
+from .blocks import ROWS_PER_BLOCK, earlier_blocks, earliest, needs_blocks, with_block
 
 
 def count_by(df: DataFrame, name: str) -> DataFrame:
@@ -23,31 +23,14 @@ def total(df: DataFrame) -> DataFrame:
 def top(df: DataFrame, name: str, n: int = 10, order_by: Sequence[str] | str | None = None) -> DataFrame:
     """The n most frequent values with their rank; ties go to the value seen first."""
     order = order_columns(df, order_by)
-    first_seen = _count_and_first(df, name, order)
-    best = first_seen.orderBy(F.desc("count"), F.asc("first")).limit(max(n, 0))
+    valued = df.select(field(df, name).alias("_value"), *order)
+    seen = earliest(valued, ["_value"], order, "first", "count").withColumnRenamed("_value", "value")
+    best = seen.orderBy(F.desc("count"), F.asc("first")).limit(max(n, 0))
     # At most n rows reach this window.
     ranked = Window.partitionBy(F.lit(0)).orderBy(F.desc("count"), F.asc("first"))
     return best.select(F.row_number().over(ranked).cast("long").alias("rank"), "value", "count")
 
 
-def _count_and_first(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Count and first position per value.
-
-    A minimum over the last order column alone keeps its buffer fixed-size, so
-    the heavy level is a hash aggregation; the composite minimum sees the
-    remainder only.
-    """
-    *outer, last = order
-    pieces = df.groupBy(field(df, name).alias("value"), *outer).agg(
-        F.count("*").alias("count"), F.min(last).alias(last)
-    )
-    if not outer:
-        return pieces.withColumnRenamed(last, "first")
-    return pieces.groupBy("value").agg(
-        F.sum("count").alias("count"), F.min(F.struct(*order)).alias("first")
-    )
-
-
 def distribution(
     df: DataFrame, name: str, n: int = 10, width: int = 40, order_by: Sequence[str] | str | None = None
 ) -> DataFrame:
