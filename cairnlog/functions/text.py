@@ -26,8 +26,6 @@ HTML_ESCAPES = (
     ("'", "&#x27;"),
 )
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
@@ -57,11 +55,22 @@ def java_regex(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iUd)" if ignore_case else "(?Ud)") + pattern
 
 
+def pinned(value: Column) -> Column:
+    """The same value, computed where it stands and nowhere else.
+
+    A filter or projection above an ordinary column is merged with it, and an
+    expensive expression then runs once per mention.  Spark does not merge an
+    expression that depends on where the row is, so the value is tied to such a
+    one that is always true.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def to_number(text: Column) -> Column:
     """Double for plain decimal text; NULL for anything else, non-finite included."""
-    trimmed = strip(text)
-    number = F.when(trimmed.rlike(NUMBER), trimmed.try_cast("double"))
-    return finite(number)
+    number = strip(text).try_cast("double")
+    # The cast also reads suffixes (5d, 5f) and hexadecimal; so does nobody else.
+    return F.when((F.abs(number) < F.lit(float("inf"))) & ~text.rlike("[dDfFxX]"), number)
 
 
 def finite(number: Column) -> Column:

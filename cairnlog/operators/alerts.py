@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import order_columns
+from ..functions.text import pinned
 from ..functions.timestamps import micros
 from ..session import broadcast_if_small, settle, ship_package
 from .blocks import earliest
@@ -67,29 +68,38 @@ def evaluate_rules(
     which time (in microseconds) on a rule that fired earlier may fire again.
     """
     order = order_columns(df, order_by)
-    stamp = entry_time(df, timestamp)
-    matches = match_rules(df.withColumn("fired_at", stamp), rules).withColumn("_t", micros(F.col("fired_at")))
-    cooldowns = F.array(*[F.lit(rule.cooldown_micros) for rule in rules])
-    matches = matches.withColumn("_cooldown", F.get(cooldowns, F.col("rule_no")))
-    free = (F.col("_cooldown") == 0) | F.col("_t").isNull()
-    columns = [*df.columns, "rule_no", "rule", "fired_at"]
-
-    at_once = matches.where(free).select(*columns)
-    held = matches.where(~free)
-    if ready:
-        cooling = [(F.col("rule_no") == no) & (F.col("_t") < at) for no, at in ready.items()]
-        held = held.where(~reduce(or_, cooling))
-    if any(rule.cooldown_micros > 0 for rule in rules):
+    hits = match_rules(df, rules)
+    free = [no for no, rule in enumerate(rules) if rule.cooldown_micros == 0]
+
+    def timed(rows: DataFrame) -> DataFrame:
+        # Pinned, or each mention below would parse the time again.
+        stamp = pinned(entry_time(rows, timestamp))
+        return rows.withColumn("fired_at", stamp).select(*df.columns, "rule_no", "rule", "fired_at")
+
+    parts = []
+    if free:
+        parts.append(timed(hits.where(F.col("rule_no").isin(free))))
+    if len(free) < len(rules):
+        held = hits.where(~F.col("rule_no").isin(free)) if free else hits
+        stamped = timed(held)
+        cooldowns = F.array(*[F.lit(rule.cooldown_micros) for rule in rules])
         # The first entry of every distinct match time; partial aggregation
         # folds a crowded instant before anything is shuffled.
-        ticks = settle(earliest(held, ["rule_no", "_t", "_cooldown"], order, "_first"))
-        fires = settle(fire_times(ticks.select("rule_no", "_t", "_cooldown"), ticks_per_task))
-        keys = ticks.join(fires, ["rule_no", "_t"]).select("rule_no", "_first.*")
+        ticks = earliest(
+            stamped.select("rule_no", *order, micros(F.col("fired_at")).alias("_t")), ["rule_no", "_t"], order, "_first"
+        )
+        ticks = settle(ticks.withColumn("_cooldown", F.get(cooldowns, F.col("rule_no"))))
+        known = ticks.where("_t IS NOT NULL")
+        if ready:
+            cooling = [(F.col("rule_no") == no) & (F.col("_t") < at) for no, at in ready.items()]
+            known = known.where(~reduce(or_, cooling))
+        fires = settle(fire_times(known.select("rule_no", "_t", "_cooldown"), ticks_per_task))
+        keys = known.join(fires, ["rule_no", "_t"]).select("rule_no", "_first.*")
         keys = broadcast_if_small(keys, fires.count(), row_bytes=64 + 256 * len(order))
-        after_cooldown = held.join(keys, ["rule_no", *order], "left_semi").select(*columns)
-        fired = at_once.unionByName(after_cooldown)
-    else:
-        fired = at_once
+        parts.append(timed(held.join(keys, ["rule_no", *order], "left_semi")))
+        if ticks.where("_t IS NULL").limit(1).count():
+            parts.append(stamped.where("fired_at IS NULL"))
+    fired = reduce(DataFrame.unionByName, parts)
     channels = F.array(*[_names(rule.channels) for rule in rules])
     return fired.withColumn("channels", F.get(channels, F.col("rule_no")))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import numeric
+from ..functions.text import pinned
 from .blocks import ROWS_PER_BLOCK, earlier_blocks, with_block
 
 DEFAULT_PERCENTILES = (50, 90, 95, 99)
@@ -36,25 +37,28 @@ def summary(
 ) -> DataFrame:
     """Percentiles, min, max, mean and count of the numbers in a field, one row."""
     values = _values(df, name)
+    facts = _facts(values)
     wanted = {percentile_name(p): _nearest_rank(p) for p in percentiles}
-    ranks = values_at_ranks(values, wanted, max_distinct, rows_per_block)
-    facts = values.agg(
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-        F.avg("v").alias("mean"),
-        F.count("v").cast("double").alias("count"),
+    ranks = values_at_ranks(values, wanted, facts["distinct"] <= max_distinct, rows_per_block)
+    return ranks.select(
+        *[F.coalesce(n, F.lit(0.0)).alias(n) for n in wanted],
+        *[F.lit(facts[n]).cast("double").alias(n) for n in ("min", "max", "mean", "count")],
     )
-    return _beside(ranks.select(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in wanted]), facts)
 
 
 def _values(df: DataFrame, name: str) -> DataFrame:
-    return df.select(numeric(df, name).alias("v")).where("v IS NOT NULL")
+    return df.select(pinned(numeric(df, name)).alias("v")).where("v IS NOT NULL")
 
 
-def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two one-row tables as one row."""
-    one = F.lit(1).alias("_one")
-    return left.select("*", one).join(right.select("*", one), "_one").drop("_one")
+def _facts(values: DataFrame) -> Row:
+    """What one pass tells of the values, their approximate variety included."""
+    return values.agg(
+        F.approx_count_distinct("v").alias("distinct"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+        F.avg("v").alias("mean"),
+        F.count("v").alias("count"),
+    ).first()
 
 
 def _nearest_rank(p: float) -> Column:
@@ -64,16 +68,16 @@ def _nearest_rank(p: float) -> Column:
 
 
 def values_at_ranks(
-    values: DataFrame, ranks: dict[str, Column], max_distinct: int, rows_per_block: int
+    values: DataFrame, ranks: dict[str, Column], few_distinct: bool, rows_per_block: int
 ) -> DataFrame:
     """The values ``v`` at the given ranks (columns of ``n``), one row; NULL without values.
 
-    Equal values are counted together before anything is ordered.  Up to
-    ``max_distinct`` counts are ranked by one window.  With more of them the
-    value range is cut into blocks: a running total over the blocks tells which
-    hold a wanted rank, and only those are ranked.
+    Equal values are counted together before anything is ordered.  A few counts
+    are ranked by one window.  Otherwise the value range is cut into blocks: a
+    running total over the blocks tells which hold a wanted rank, and only
+    those are ranked.
     """
-    if values.agg(F.approx_count_distinct("v")).first()[0] <= max_distinct:
+    if few_distinct:
         counts = values.groupBy("v").agg(F.count("*").alias("c"))
         everything = Window.partitionBy(F.lit(0))
         ranked = counts.select(
@@ -122,11 +126,13 @@ def median(
 ) -> DataFrame:
     """Median (mean of the middle two) and count of a field's numbers, one row."""
     values = _values(df, name)
+    facts = _facts(values)
     n = F.col("n")
     middle = {"low": F.floor((n + 1) / 2).cast("long"), "high": F.floor((n + 2) / 2).cast("long")}
-    found = values_at_ranks(values, middle, max_distinct, rows_per_block)
-    count = values.agg(F.count("v").alias("count"))
-    return _beside(found.select(((F.col("low") + F.col("high")) / 2).alias("median")), count)
+    found = values_at_ranks(values, middle, facts["distinct"] <= max_distinct, rows_per_block)
+    return found.select(
+        ((F.col("low") + F.col("high")) / 2).alias("median"), F.lit(facts["count"]).cast("long").alias("count")
+    )
 
 
 def skipped_count(df: DataFrame, name: str) -> DataFrame:

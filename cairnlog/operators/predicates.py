@@ -1,7 +1,7 @@
 """Predicates: functions of a DataFrame giving a boolean Column, and how they combine.
 
-A plain Column is a predicate too.  Every predicate gives TRUE or FALSE, never
-NULL, so negation and combination behave as they read.
+A plain Column is a predicate too.  NULL counts as false, as in any filter; it
+is left as it is, because a filter wrapped against NULL would not reach the scan.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fields import NULL_TEXT, as_text, has_field, is_log_frame
-from ..functions.text import java_regex
+from ..functions.text import first_of, java_regex
 from ..functions.timestamps import event_time, time_bound
 from ..session import ship_package
 
@@ -26,9 +26,8 @@ Predicate = Column | Callable[[DataFrame], Column]
 
 
 def condition(df: DataFrame, predicate: Predicate) -> Column:
-    """The predicate as a Column of ``df`` that is never NULL."""
-    column = predicate if isinstance(predicate, Column) else predicate(df)
-    return F.coalesce(column, F.lit(False))
+    """The predicate as a Column of ``df``."""
+    return predicate if isinstance(predicate, Column) else predicate(df)
 
 
 def regex_search(pattern: str, fields: Sequence[str] = (), ignore_case: bool = True) -> Predicate:
@@ -41,7 +40,7 @@ def regex_search(pattern: str, fields: Sequence[str] = (), ignore_case: bool = T
         elif is_log_frame(df):
             return F.exists(F.map_values("fields"), lambda value: _shown(value).rlike(regex))
         else:
-            hits = [F.coalesce(as_text(df, c).rlike(regex), F.lit(False)) for c in df.columns]
+            hits = [as_text(df, c).rlike(regex) for c in df.columns]
         return reduce(or_, hits, F.lit(False))
 
     return matches
@@ -63,17 +62,18 @@ def time_range(
     of Parquet can skip row groups by them.
     """
 
-    def within(df: DataFrame) -> Column:
-        if not is_log_frame(df) and isinstance(_kind(df, timestamp), T.TimestampNTZType):
-            stamp = F.col(timestamp)
-        else:
-            stamp = entry_time(df, timestamp, default_year)
-        inside = stamp.isNotNull()
+    def inside(stamp: Column) -> Column:
+        bounds = [stamp.isNotNull()]
         if start is not None:
-            inside = inside & (stamp >= time_bound(start))
+            bounds.append(stamp >= time_bound(start))
         if end is not None:
-            inside = inside & (stamp <= time_bound(end))
-        return inside
+            bounds.append(stamp <= time_bound(end))
+        return reduce(and_, bounds)
+
+    def within(df: DataFrame) -> Column:
+        if not is_log_frame(df) and isinstance(_kind(df, timestamp), T.TimestampNTZType):
+            return inside(F.col(timestamp))
+        return first_of(entry_time(df, timestamp, default_year), inside)
 
     return within
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import LINE_ORDER
+from ..functions.text import pinned
 from ..session import broadcast_if_small, settle, ship_package
 from .formats import FIELDS_TYPE, FORMATS, PARSERS, LineParser, detect_format, raw_fields
 
@@ -131,6 +132,7 @@ def _frame(
 ) -> DataFrame:
     """Attach format and fields, dropping the lines whose parse is NULL.
 
+    The fields are pinned: no filter on them may repeat the parse.
     ``parser`` None means: each line by the parser its format names.
     """
     raw = F.col("raw")
@@ -147,20 +149,10 @@ def _frame(
     else:
         scans = [parser(raw).alias("_scan")]
         fields = F.col("_scan")
-    parsed = named.select(*kept, *scans).select(*kept, _once(fields).alias("fields"))
+    parsed = named.select(*kept, *scans).select(*kept, pinned(fields).alias("fields"))
     return parsed if keep_failed else parsed.where("fields IS NOT NULL")
 
 
-def _once(value: Column) -> Column:
-    """Keep the filter behind this projection there.
-
-    Pushed below it, the filter would repeat the whole parse for every line.  A
-    filter does not pass an expression that depends on where the row is, so the
-    value is tied to one that is always true.
-    """
-    return F.when(F.spark_partition_id() >= 0, value)
-
-
 def access_view(frame: DataFrame) -> DataFrame:
     """Typed columns of access-log entries next to their position."""
     longs = {"status", "bytes"}

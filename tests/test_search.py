@@ -101,7 +101,8 @@ def test_search_limit_takes_the_first(lines):
 def test_time_filter_reaches_the_scan(spark, tmp_path, capsys):
     path = str(tmp_path / "t")
     spark.sql("SELECT timestamp_ntz '2025-01-01 00:00:00' AS ts, 1 AS a, 2 AS b").write.parquet(path)
-    where(spark.read.parquet(path), time_range("2025-01-01", timestamp="ts")).select("a").explain()
+    chain = Chain().add(time_range("2025-01-01", timestamp="ts")).add(field_equals("a", "1"))
+    chain.apply(spark.read.parquet(path)).select("a").explain()
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(ts," in plan and "struct<ts:timestamp_ntz,a:int>" in plan
 
