@@ -40,9 +40,9 @@ def with_block(
     cut points), so a recomputed task gives the same blocks.
     """
     if tuple(order_by) == LINE_ORDER:
-        # Lines come in file splits of bounded size; long ones (gzip) are cut by count.
-        count = F.col("seq").bitwiseAND((1 << 33) - 1)
-        chunk = F.floor(count / F.lit(rows_per_block)).cast("long")
+        # Lines come in file splits of bounded size; long ones (gzip) are cut by
+        # number.  Whole-number division, as ``seq`` outgrows a double.
+        chunk = F.expr(f"seq div {int(rows_per_block)}")
         return df.withColumn(name, F.struct("file", "block_start", chunk.alias("chunk")))
     return _with_quantile_block(df, order_by, rows_per_block, name)
 

@@ -167,6 +167,15 @@ def test_anomalies_of_a_log_frame_by_file_splits(entries):
         assert a.z_score == (b.z_score if b.z_score is None else pytest.approx(b.z_score))
 
 
+def test_line_blocks_follow_large_line_numbers(spark):
+    start = (1 << 33) - 150
+    table = spark.range(start, start + 300).select(F.lit("f").alias("file"), F.lit(0).alias("block_start"), F.col("id").alias("seq"))
+    cut = with_block(table.union(table.withColumn("seq", F.col("seq") + (1 << 58))), ["file", "block_start", "seq"], 40)
+    blocks = [r["_block"] for r in cut.orderBy("seq").collect()]
+    assert blocks == sorted(blocks)
+    assert max(blocks.count(b) for b in set(blocks)) <= 40
+
+
 def test_moments(spark):
     table = spark.createDataFrame([(2.0,), (4.0,), (None,)], "v double")
     assert tuple(numeric.moments(table, "v").first()) == (2, 3.0, 1.0, 1.0)
