@@ -39,7 +39,10 @@ def parse_timestamp(text: Column, default_year: int = 1900) -> Column:
     A zone offset is dropped, not applied.  Year-less syslog times take
     ``default_year``.  Anything else is NULL.
     """
-    packed = F.split(F.regexp_replace(strip(text), _SHAPE, _PARTS), "\n")
+    text = strip(text)
+    packed = F.split(F.regexp_replace(text, _SHAPE, _PARTS), "\n")
+    # Text of several lines could pass for the listed parts of another.
+    fits = ~text.contains("\n") | text.rlike(_SHAPE)
 
     def build(part: Column) -> Column:
         name = F.lower(part[1])
@@ -47,11 +50,11 @@ def parse_timestamp(text: Column, default_year: int = 1900) -> Column:
             name.rlike("^[a-z]"), ((F.instr(F.lit(MONTHS), name) + F.lit(2)) / F.lit(3)).cast("int")
         ).otherwise(name.try_cast("int"))
         year = F.when(part[6] != "", F.lit(default_year)).otherwise(part[0].try_cast("int"))
-        clock = [F.coalesce(F.nullif(part[i], F.lit("")).cast("int"), F.lit(0)) for i in (3, 4, 5)]
+        clock = [F.coalesce(F.nullif(part[i], F.lit("")).try_cast("int"), F.lit(0)) for i in (3, 4, 5)]
         stamp = F.try_make_timestamp_ntz(
             year, month, F.trim(part[2]).try_cast("int"), clock[0], clock[1], clock[2]
         )
-        return F.when((F.size(part) == 7) & (year >= 1) & (clock[2] <= 59), stamp)
+        return F.when((F.size(part) == 7) & fits & (year >= 1) & (clock[2] <= 59), stamp)
 
     return first_of(packed, build)
 

@@ -177,8 +177,13 @@ PARSERS = {
 
 
 def _groups(raw: Column, pattern: str, count: int) -> Column:
+    """The groups of the line's match; another number of parts if it does not match.
+
+    Text of several lines is no line, and must not pass for listed groups.
+    """
     listing = "\n".join(f"${i}" for i in range(1, count + 1))
-    return F.split(F.regexp_replace(raw, pattern, listing), "\n")
+    groups = F.split(F.regexp_replace(raw, pattern, listing), "\n")
+    return F.when(raw.contains("\n"), F.array(raw)).otherwise(groups)
 
 
 def _pairs(**fields: Column) -> list[Column]:

@@ -17,6 +17,7 @@ STAMPS = [
     "01/Aug/2025:10:00:00 +0000", "1/aug/2025:1:2:3 -0530", "Aug  1 10:00:00", "Feb 29 10:00:00", "2025-02-30",
     "2025-08-01T10:00:60", "2025-08-01T24:00:00", "2025-08-01T10:00:00.5", "2025-08-01T10:00:00+00:00", "",
     "  2025-08-01  ", "01/Aug/2025:10:00:00", "0000-01-01", "Sep 1 1:1:1", "2024-02-29T01:02:03", "1/13/2025:10:00:00 +0000",
+    "2025\n8\n1\n1\n1\n1\n", "2025\n8\n1\n1\n1\n1\nx", "a\nb\nc\nd\ne\nf\ng", "2025-08-01\n10:00:00",
 ]
 
 

@@ -126,6 +126,12 @@ def test_parse_as(lines):
         parse.parse_as(lines(JSON_LINES), "xml")
 
 
+def test_text_of_several_lines_is_not_taken_for_groups(lines):
+    texts = ["h\nt\nGET / x\n200\n5\n\n", "1\nAug  1 10:00:00\nh\nt\n\nm"]
+    assert parse.parse_access_log(lines([texts[0] + '"q"'])).count() == 0
+    assert [e.get("raw") for e in dicts(parse.parse_syslog(lines(texts)))] == ["True", "True"]
+
+
 def test_custom_parsers(lines):
     by_column = parse.parse_custom(
         lines(["k=v", "other"]), "pair",
