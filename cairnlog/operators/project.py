@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import as_text, field, filled, has_field, is_log_frame
+from ..functions.fields import field, filled, has_field, is_log_frame
 from .search import first_n
 
 # Columns an access-log table leaves out by default.  The first

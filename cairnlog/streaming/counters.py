@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import filled, has_field, field
+from ..functions.fields import field, has_field
 from ..sources.parse import parse_auto
 
 
