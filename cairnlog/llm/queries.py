@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, simhash
+from . import bpe, exact, packing, simhash, substrings
 from .common import read
 
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,12 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(cut)
 
 
+def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 400-byte strings that also start elsewhere."""
+    kept = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id of each stays."""
     return exact.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_bpe_round_trip,
         op4_pack_documents,
+        op7_remove_repeats,
         op8_exact_dedup,
         op9_simhash_components,
     )
