@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, simhash, substrings
+from ..session import broadcast_if_small
+from . import bpe, exact, lm, packing, simhash, substrings, syncmers, toxicity
 from .common import read
 
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +17,14 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    found = syncmers.with_neighbours(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text they decode to, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +38,14 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every document under a model of the documents labelled good, less the loss under one of all."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
+    marked = docs.join(broadcast_if_small(good, good.count(), 32), "doc_id", "left")
+    return lm.score(marked, marked.where("is_target"), BYTE_FILE, BYTE_RANKS)
+
+
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id of the corpus in sequences of 4096."""
     return packed(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -40,6 +57,17 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(cut)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from labelled rows outside the held-out fifth."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    tagged = toxicity.score(docs, model)
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return tagged.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), places.alias("spans")
+    )
+
+
 def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 400-byte strings that also start elsewhere."""
     kept = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -60,8 +88,11 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_syncmer_fingerprints,
         op2_bpe_round_trip,
+        op3_cross_entropy_difference,
         op4_pack_documents,
+        op6_toxicity,
         op7_remove_repeats,
         op8_exact_dedup,
         op9_simhash_components,

@@ -48,12 +48,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any slices of one text: values of a polynomial, shifted to a common origin."""
+    """Hashes of any slices of a sequence of 64-bit symbols: a polynomial, shifted to a common origin."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        self.powers = _power_tables(len(data) + 1)
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.powers[0, : len(data)], out=self.prefix[1:])
+    def __init__(self, symbols: np.ndarray) -> None:
+        self.powers = _power_tables(len(symbols) + 1)
+        self.prefix = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(symbols * self.powers[0, : len(symbols)], out=self.prefix[1:])
 
     def windows(self, size: int) -> np.ndarray:
         """The hash of each window of ``size`` bytes."""
@@ -93,7 +93,7 @@ def text_anchors(data: np.ndarray, length: int, gram: int, block: int = 1 << 20)
     for first in range(0, n - length + 1, block):
         windows = min(block, n - length + 1 - first)
         low = max(first - reach + 1, 0)
-        rolling = Rolling(data[low : first + windows + 2 * length])
+        rolling = Rolling(_BYTE[data[low : first + windows + 2 * length]])
         hashes = rolling.windows(gram)[first - low :][: windows + reach - 1]
         at = anchors(hashes, windows, reach) + first
         start, end = np.maximum(at - (length - gram), 0), np.minimum(at + length, n)
