@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from . import bpe, exact, lm, packing, simhash, substrings, syncmers, toxicity
+from . import bpe, exact, lm, packing, pii, simhash, substrings, syncmers, toxicity
 from .common import read
 
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -85,6 +85,22 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: what the patterns find, and what the network adds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def joined(spans: str) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_remove_repeats,
         op8_exact_dedup,
         op9_simhash_components,
+        op10_personal_data,
     )
 }
 
