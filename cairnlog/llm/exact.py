@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, settle, workspace
 from .common import text_or_empty
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; files of many small stores are not reserved ahead.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: A digest, an identifier, a count and the row's overhead.
 _ROW_BYTES = 128
 
@@ -69,8 +73,9 @@ def keep_state(spark: SparkSession, arrivals: DataFrame, batches: int) -> DataFr
             F.max("doc_id").alias("keep_id"), F.max("file").alias("file"), F.count(F.lit(1)).alias("group_size")
         )
     place = workspace(spark, "dedup-state")
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {name: spark.conf.get(name, None) for name in _STATE}
+    for name, value in _STATE.items():
+        spark.conf.set(name, value)
     try:
         stream = (
             spark.readStream.schema(schema)
@@ -93,10 +98,11 @@ def keep_state(spark: SparkSession, arrivals: DataFrame, batches: int) -> DataFr
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     changes = spark.read.option("basePath", f"{place}/changes").parquet(f"{place}/changes")
     last = F.max_by(F.struct("doc_id", "file", "group_size"), "batch").alias("s")
     return changes.groupBy("digest", "n_bytes").agg(last).select(
