@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from . import bpe, exact, lm, packing, pii, simhash, substrings, syncmers, toxicity
+from . import bpe, exact, html, lm, packing, pii, simhash, substrings, syncmers, toxicity
 from .common import read
 
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(cut)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html.extract(pages, html.learn(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learned from labelled rows outside the held-out fifth."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_bpe_round_trip,
         op3_cross_entropy_difference,
         op4_pack_documents,
+        op5_main_text,
         op6_toxicity,
         op7_remove_repeats,
         op8_exact_dedup,
