@@ -47,12 +47,113 @@ def first_of(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def java_regex(pattern: str, ignore_case: bool = True) -> str:
-    """A Python ``re`` pattern for Java's engine, Unicode-aware and ``\\n``-only dots."""
-    pattern = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
-    pattern = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", pattern)
-    return ("(?iUd)" if ignore_case else "(?Ud)") + pattern
+def java_regex(pattern: str, ignore_case: bool = True, flags: int = 0) -> str:
+    """A Python ``re`` pattern for Java's engine, Unicode-aware and ``\\n``-only dots.
+
+    ``flags`` takes ``re.IGNORECASE``, ``re.MULTILINE``, ``re.DOTALL`` and
+    ``re.VERBOSE``.  The pattern is compiled here first, so a faulty one raises on
+    the driver; so does one with parts that Java would read differently.
+    """
+    compiled = re.compile(pattern, flags)
+    switches = "Ud" + "".join(
+        letter for letter, flag in (("m", re.MULTILINE), ("s", re.DOTALL), ("x", re.VERBOSE)) if compiled.flags & flag
+    )
+    if ignore_case or compiled.flags & re.IGNORECASE:
+        switches = "i" + switches
+    return f"(?{switches})" + _translated(pattern, list(compiled.groupindex), compiled.flags)
+
+
+_LEADING_FLAGS = re.compile(r"\(\?[aiLmsux]+\)")
+
+
+def _translated(pattern: str, names: list[str], flags: int) -> str:
+    """The pattern with everything respelled that Java spells otherwise.
+
+    Groups lose their names for ones that Java takes; ``[``, ``&&`` and spaces
+    (in verbose patterns) inside a class are escaped; ``{,n}`` becomes ``{0,n}``,
+    a brace that is no quantifier is escaped; ``^`` of several lines also stands
+    behind a last line break.
+    """
+    verbose = bool(flags & re.VERBOSE)
+    own = {name: f"n{i}x" for i, name in enumerate(names)}
+    if leading := _LEADING_FLAGS.match(pattern):
+        pattern = pattern[leading.end() :]  # told by the switches already
+    out: list[str] = []
+    at, in_class, class_start = 0, False, 0
+    while at < len(pattern):
+        rest = pattern[at:]
+        char = pattern[at]
+        if char == "\\":
+            escape = pattern[at : at + 2]
+            if escape == "\\Z" and not in_class:
+                escape = "\\z"
+            elif escape in ("\\N", "\\p", "\\P"):
+                raise ValueError(f"pattern part {escape} is not supported: {pattern!r}")
+            elif m := re.match(r"\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}", rest):
+                at += len(m[0]) - 2
+                escape = f"\\x{{{int(m[0][2:], 16):x}}}"
+            elif m := re.match(r"\\0[0-7]{0,2}|\\[0-3][0-7]{2}", rest):
+                at += len(m[0]) - 2
+                escape = f"\\x{{{int(m[0][1:], 8):x}}}"
+            elif in_class and escape == "\\b":
+                escape = "\\x08"
+            elif escape == "\\v":
+                escape = "\\x0b"
+            out.append(escape)
+            at += 2
+            continue
+        if in_class:
+            first = at == class_start
+            if char == "]" and not first:
+                in_class = False
+                out.append("]")
+            elif char in "[]" or char == "&" or (verbose and char in " \t\n#"):
+                out.append("\\" + char)
+            else:
+                out.append(char)
+            at += 1
+            continue
+        if char == "[":
+            in_class = True
+            negated = pattern.startswith("[^", at)
+            out.append("[^" if negated else "[")
+            at += 2 if negated else 1
+            class_start = at
+            continue
+        if char == "(":
+            if m := re.match(r"\(\?P<(\w+)>", rest):
+                out.append(f"(?<{own[m[1]]}>")
+                at += len(m[0])
+                continue
+            if m := re.match(r"\(\?P=(\w+)\)", rest):
+                out.append(f"\\k<{own[m[1]]}>")
+                at += len(m[0])
+                continue
+            if m := re.match(r"\(\?#[^)]*\)", rest):
+                at += len(m[0])
+                continue
+            if rest.startswith("(?("):
+                raise ValueError(f"conditional groups are not supported: {pattern!r}")
+        if char == "{":
+            m = re.match(r"\{(\d*)(,?)(\d*)\}", rest)
+            if m and out and (m[1] or (m[2] and m[3])):
+                out.append(f"{{{m[1] or 0}{m[2]}{m[3]}}}")
+                at += len(m[0])
+            else:
+                out.append("\\{")
+                at += 1
+            continue
+        if char == "^" and flags & re.MULTILINE:
+            out.append(r"(?:\A|(?<=\n))")
+            at += 1
+            continue
+        if char == "}":
+            out.append("\\}")
+            at += 1
+            continue
+        out.append(char)
+        at += 1
+    return "".join(out)
 
 
 def pinned(value: Column) -> Column:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .text import first_of, strip
 
 # Month names in order, three letters each.
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_MONTH = "|".join(MONTHS[i : i + 3] for i in range(0, 36, 3))
+_MONTH = "|".join(MONTHS)
 _CLOCK = r"(\d\d?):(\d\d?):(\d\d?)"
 _DAY = r"( ?\d|\d\d)"
 # Three families; only one of them matches, so the groups of the same part can
@@ -47,7 +47,7 @@ def parse_timestamp(text: Column, default_year: int = 1900) -> Column:
     def build(part: Column) -> Column:
         name = F.lower(part[1])
         month = F.when(
-            name.rlike("^[a-z]"), ((F.instr(F.lit(MONTHS), name) + F.lit(2)) / F.lit(3)).cast("int")
+            name.rlike("^[a-z]"), F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("int")
         ).otherwise(name.try_cast("int"))
         year = F.when(part[6] != "", F.lit(default_year)).otherwise(part[0].try_cast("int"))
         clock = [F.coalesce(F.nullif(part[i], F.lit("")).try_cast("int"), F.lit(0)) for i in (3, 4, 5)]

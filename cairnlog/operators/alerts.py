@@ -12,14 +12,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.fields import order_columns
+from ..functions.fields import LINE_ORDER, order_columns
 from ..functions.text import pinned
 from ..functions.timestamps import micros
 from ..session import broadcast_if_small, settle, ship_package
@@ -66,44 +67,50 @@ def evaluate_rules(
     Entries of equal time count in their order.  An entry without a time cannot
     be inside a cooldown, so it fires.  ``ready`` tells, by rule number, from
     which time (in microseconds) on a rule that fired earlier may fire again.
+    The order need not be unique and may hold NULLs: of entries equal in time and
+    order one fires (by a hash of its columns); only entries equal in every
+    column count as one and fire together.
+
+    The entries are read twice, whatever the rules: once for the match times, and
+    once to pick those that fire.
     """
     order = order_columns(df, order_by)
     hits = match_rules(df, rules)
-    free = [no for no, rule in enumerate(rules) if rule.cooldown_micros == 0]
-
-    def timed(rows: DataFrame) -> DataFrame:
-        # Pinned, or each mention below would parse the time again.
-        stamp = pinned(entry_time(rows, timestamp))
-        return rows.withColumn("fired_at", stamp).select(*df.columns, "rule_no", "rule", "fired_at")
-
-    parts = []
-    if free:
-        parts.append(timed(hits.where(F.col("rule_no").isin(free))))
-    if len(free) < len(rules):
-        held = hits.where(~F.col("rule_no").isin(free)) if free else hits
-        stamped = timed(held)
-        cooldowns = F.array(*[F.lit(rule.cooldown_micros) for rule in rules])
+    cooldowns = F.array(*[F.lit(rule.cooldown_micros) for rule in rules])
+    # Pinned, or each mention below would parse the time again.
+    stamped = hits.withColumn("fired_at", pinned(entry_time(hits, timestamp)))
+    stamped = stamped.withColumn("_t", micros(F.col("fired_at"))).withColumn("_cooldown", F.get(cooldowns, F.col("rule_no")))
+    keys = list(order)
+    if tuple(order) != LINE_ORDER:
+        stamped, keys = stamped.withColumn("_tie", _row_hash(df)), [*order, "_tie"]
+    always = (F.col("_cooldown") == 0) | F.col("_t").isNull()
+    fired = stamped
+    if any(rule.cooldown_micros for rule in rules):
         # The first entry of every distinct match time; partial aggregation
         # folds a crowded instant before anything is shuffled.
-        ticks = earliest(
-            stamped.select("rule_no", *order, micros(F.col("fired_at")).alias("_t")), ["rule_no", "_t"], order, "_first"
-        )
-        ticks = settle(ticks.withColumn("_cooldown", F.get(cooldowns, F.col("rule_no"))))
-        known = ticks.where("_t IS NOT NULL")
+        held = stamped.where(~always).select("rule_no", "_t", "_cooldown", *keys)
+        ticks = settle(earliest(held, ["rule_no", "_t", "_cooldown"], keys, "_first"))
+        known = ticks
         if ready:
             cooling = [(F.col("rule_no") == no) & (F.col("_t") < at) for no, at in ready.items()]
             known = known.where(~reduce(or_, cooling))
         fires = settle(fire_times(known.select("rule_no", "_t", "_cooldown"), ticks_per_task))
-        keys = known.join(fires, ["rule_no", "_t"]).select("rule_no", "_first.*")
-        keys = broadcast_if_small(keys, fires.count(), row_bytes=64 + 256 * len(order))
-        parts.append(timed(held.join(keys, ["rule_no", *order], "left_semi")))
-        if ticks.where("_t IS NULL").limit(1).count():
-            parts.append(stamped.where("fired_at IS NULL"))
-    fired = reduce(DataFrame.unionByName, parts)
+        firing = known.join(fires, ["rule_no", "_t"])
+        firing = firing.select(*[F.col(c).alias(f"_f_{c}") for c in ("rule_no", "_t")], *[F.col(f"_first.{c}").alias(f"_f_{c}") for c in keys])
+        firing = broadcast_if_small(firing, fires.count(), row_bytes=64 + 256 * len(keys))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in ("rule_no", "_t", *keys)])
+        fired = stamped.join(firing, same, "left").where(always | F.col("_f_rule_no").isNotNull())
     channels = F.array(*[_names(rule.channels) for rule in rules])
+    fired = fired.select(*df.columns, "rule_no", "rule", "fired_at")
     return fired.withColumn("channels", F.get(channels, F.col("rule_no")))
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, maps as their entries."""
+    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
+    return F.xxhash64(*[F.map_entries(f"`{c}`") if c in maps else F.col(f"`{c}`") for c in df.columns])
+
+
 def _names(names: Sequence[str]) -> Column:
     return F.array(*[F.lit(n) for n in names]).cast("array<string>")
 

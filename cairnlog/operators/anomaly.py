@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.fields import numeric, order_columns
-from .blocks import ROWS_PER_BLOCK, earlier_blocks, needs_blocks, with_block
+from .blocks import earlier_blocks, with_block
 
 THRESHOLD = 3.0
 MIN_SAMPLES = 30
@@ -23,7 +23,6 @@ def score_anomalies(
     order_by: Sequence[str] | str | None = None,
     partition_by: Sequence[str] = (),
     reset_when: Column | None = None,
-    rows_per_block: int = ROWS_PER_BLOCK,
     prior: DataFrame | None = None,
 ) -> DataFrame:
     """Score a numeric field; adds value, n, mean, std, z_score, is_anomaly, skipped.
@@ -38,13 +37,11 @@ def score_anomalies(
     order = order_columns(df, order_by)
     scored, keys = _keyed(df, partition_by)
     if reset_when is not None:
-        scored = _with_epoch(scored, reset_when, keys, order, rows_per_block)
-        keys = [*keys, "_epoch"]
-    scored = scored.withColumn("value", numeric(df, name))
-    if prior is not None or needs_blocks(scored, keys, rows_per_block):
-        scored = _past_by_blocks(scored, keys, order, rows_per_block, prior)
-    else:
-        scored = _past_in_window(scored, keys, order)
+        scored = scored.withColumn("_reset", F.coalesce(reset_when, F.lit(False)).cast("long"))
+    cut = with_block(scored.withColumn("value", numeric(df, name)), order)
+    if reset_when is not None:
+        cut, keys = _with_epoch(cut, keys, order), [*keys, "_epoch"]
+    scored = _past_by_blocks(cut, keys, order, prior)
     kept = [c for c in df.columns if c not in RESULT_COLUMNS]
     return _judge(scored, threshold, min_samples).select(*kept, *RESULT_COLUMNS)
 
@@ -111,24 +108,11 @@ def _past(window: WindowSpec) -> dict[str, Column]:
     }
 
 
-def _past_in_window(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    earlier = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    past = _past(earlier)
-    return df.select("*", *[c.alias(f"_{k}") for k, c in past.items()])
-
-
-def _past_by_blocks(
-    df: DataFrame, keys: list[str], order: list[str], rows_per_block: int, prior: DataFrame | None
-) -> DataFrame:
-    """The same past, put together from earlier blocks and a window inside the block.
+def _past_by_blocks(cut: DataFrame, keys: list[str], order: list[str], prior: DataFrame | None) -> DataFrame:
+    """The past of each row of ``cut`` (with its ``_block``): earlier blocks, and a window inside the block.
 
     Sums are taken around the group's overall mean, so they do not cancel.
     """
-    cut = with_block(df, order, rows_per_block)
     totals = cut.groupBy(*keys, "_block").agg(*_totals())
     if prior is not None:
         # A NULL block sorts before all others, and joins none of them.
@@ -171,7 +155,7 @@ def _past_by_blocks(
         F.coalesce("m0", zero) + nb * F.coalesce("var1", zero) + gap * gap * na * nb / count
     )
     return both.select(
-        *df.columns,
+        *[c for c in cut.columns if c != "_block"],
         (F.col("n0") + F.col("n1")).alias("_n"),
         ((na * mean_a + nb * mean_b) / count).alias("_mean"),
         (squares / count).alias("_var"),
@@ -180,26 +164,20 @@ def _past_by_blocks(
     )
 
 
-def _with_epoch(
-    df: DataFrame, reset_when: Column, keys: list[str], order: list[str], rows_per_block: int
-) -> DataFrame:
-    """Number the stretches between resets, block by block where a group is large."""
-    flagged = df.withColumn("_reset", F.coalesce(reset_when, F.lit(False)).cast("long"))
-    upto = Window.unboundedPreceding, Window.currentRow
-    if not needs_blocks(flagged, keys, rows_per_block):
-        running = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(*upto)
-        return flagged.withColumn("_epoch", F.sum("_reset").over(running)).drop("_reset")
-    cut = with_block(flagged, order, rows_per_block)
+def _with_epoch(cut: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Number the stretches between resets: those of earlier blocks, and a running count inside the block."""
     totals = cut.groupBy(*keys, "_block").agg(F.sum("_reset").alias("resets"))
     prefix = totals.select(
         *keys, "_block", F.coalesce(F.sum("resets").over(earlier_blocks(keys)), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(*upto)
+    inside = (
+        Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
         cut.withColumn("_inside", F.sum("_reset").over(inside))
         .join(prefix, [*keys, "_block"])
         .withColumn("_epoch", F.col("_before") + F.col("_inside"))
-        .drop("_block", "_before", "_inside", "_reset")
+        .drop("_before", "_inside", "_reset")
     )
 
 

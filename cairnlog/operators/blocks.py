@@ -2,114 +2,39 @@
 
 A running value over an order (a z-score against all earlier entries, a position
 in a group) needs the past of each row.  A window over one big group would put
-that group into a single task.  Instead the order is cut into blocks of bounded
-size; totals per block are summed over the earlier blocks (few rows), and only
-inside a block a window runs.
+that group into a single task.  Instead the order is cut into blocks; totals per
+block are summed over the earlier blocks (few rows), and only inside a block a
+window runs.  This is the only way such values are computed, at every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.fields import LINE_ORDER
-from ..functions.timestamps import micros
+from ..session import settle
 
-ROWS_PER_BLOCK = 2_000_000
-MAX_BLOCKS = 20_000
-_SAMPLES_PER_BLOCK = 200
+#: Lines of one split in a block; splits are bounded already, unless a file can't be split.
+LINES_PER_BLOCK = 2_000_000
 
 
-def needs_blocks(df: DataFrame, keys: Sequence[str], rows_per_block: int) -> bool:
-    """Is any group too large for the window of one task?"""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > rows_per_block
-
-
-def with_block(
-    df: DataFrame, order_by: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK, name: str = "_block"
-) -> DataFrame:
+def with_block(df: DataFrame, order_by: Sequence[str], name: str = "_block") -> DataFrame:
     """Add a column that cuts the order into blocks and sorts like it.
 
-    The block is a function of the row alone (its order columns against fixed
-    cut points), so a recomputed task gives the same blocks.
+    Lines come in file splits, and the block is a function of the line's place.
+    Other orders, of any types and with NULLs first, are dealt in ranges of the
+    order columns themselves, one block a shuffle partition.  The ranges are
+    sampled, so the dealt rows are written once: every later read, also of a lost
+    task, sees the same blocks.
     """
     if tuple(order_by) == LINE_ORDER:
-        # Lines come in file splits of bounded size; long ones (gzip) are cut by
-        # number.  Whole-number division, as ``seq`` outgrows a double.
-        chunk = F.expr(f"seq div {int(rows_per_block)}")
+        # Whole-number division, as ``seq`` outgrows a double.
+        chunk = F.expr(f"seq div {LINES_PER_BLOCK}")
         return df.withColumn(name, F.struct("file", "block_start", chunk.alias("chunk")))
-    return _with_quantile_block(df, order_by, rows_per_block, name)
-
-
-def _with_quantile_block(df: DataFrame, order_by: Sequence[str], rows_per_block: int, name: str) -> DataFrame:
-    """Blocks between quantiles of the order columns.
-
-    Cut points come from a sample; they only shape the blocks, every row is in
-    one.  A value so frequent that it fills blocks by itself is a block of its
-    own, cut further by the next order column.
-    """
-    parts: list[str] = []
-    crowded: Column = F.lit(True)
-    rest = df
-    for level, column in enumerate(order_by):
-        number = _number(df, column)
-        cuts = _cut_points(rest, number, rows_per_block)
-        frequent = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-        edges = sorted({*cuts, *(_next_up(v) for v in frequent)})
-        part = f"{name}_{level}"
-        df = _bucket(df.withColumn(f"{part}_n", number), f"{part}_n", edges, part)
-        df = df.withColumn(part, F.when(crowded, F.col(part)).otherwise(0)).drop(f"{part}_n")
-        parts.append(part)
-        if not frequent:
-            break
-        crowded = crowded & number.isin(frequent)
-        rest = rest.where(number.isin(frequent))
-    return df.withColumn(name, F.struct(*parts)).drop(*parts)
-
-
-def _number(df: DataFrame, column: str) -> Column:
-    """The order column as a double that sorts alike (ties are allowed)."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        return micros(F.col(column)).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
-    raise ValueError(f"order column {column!r} is neither a number nor a time")
-
-
-def _cut_points(df: DataFrame, number: Column, rows_per_block: int) -> list[float]:
-    rows = df.count()
-    blocks = min(MAX_BLOCKS, -(-rows // rows_per_block))
-    if blocks <= 1:
-        return []
-    share = min(1.0, blocks * _SAMPLES_PER_BLOCK * 2 / rows)
-    sample = df.select(number.alias("n")).sample(share, seed=7)
-    steps = [i / blocks for i in range(1, blocks)]
-    cuts = sample.agg(F.percentile_approx("n", steps, max(10_000, blocks * 20))).first()[0]
-    return list(cuts or [])
-
-
-def _bucket(df: DataFrame, column: str, edges: list[float], name: str) -> DataFrame:
-    inner = [e for e in edges if math.isfinite(e)]
-    if not inner:
-        return df.withColumn(name, F.lit(0))
-    splits = [-math.inf, *inner, math.inf]
-    cut = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep")
-    return cut.transform(df).withColumn(name, F.col(name).cast("int"))
-
-
-def _next_up(value: float) -> float:
-    return math.nextafter(value, math.inf)
+    return settle(df.repartitionByRange(*order_by).withColumn(name, F.spark_partition_id()))
 
 
 def earlier_blocks(keys: Sequence[str], block: str = "_block") -> WindowSpec:

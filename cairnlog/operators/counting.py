@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import field, order_columns
-from .blocks import ROWS_PER_BLOCK, earlier_blocks, earliest, needs_blocks, with_block
+from .blocks import earlier_blocks, earliest, with_block
 
 
 def count_by(df: DataFrame, name: str) -> DataFrame:
@@ -49,23 +49,15 @@ def distribution(
     )
 
 
-def group_by(
-    df: DataFrame,
-    name: str,
-    order_by: Sequence[str] | str | None = None,
-    rows_per_block: int = ROWS_PER_BLOCK,
-) -> DataFrame:
+def group_by(df: DataFrame, name: str, order_by: Sequence[str] | str | None = None) -> DataFrame:
     """Every entry with its group and its position (from 1) inside it.
 
-    Groups stay rows: a list per group would have to fit one task.  A group
-    larger than ``rows_per_block`` is numbered block by block.
+    Groups stay rows: a list per group would have to fit one task.  Positions are
+    counted block by block.
     """
     order = order_columns(df, order_by)
     grouped = df.withColumn("group", field(df, name))
-    running = Window.partitionBy("group").orderBy(*order)
-    if not needs_blocks(grouped, ["group"], rows_per_block):
-        return grouped.withColumn("position", F.row_number().over(running).cast("long"))
-    cut = with_block(grouped, order, rows_per_block)
+    cut = with_block(grouped, order)
     before = (
         cut.groupBy("group", "_block")
         .agg(F.count("*").alias("_rows"))

@@ -40,6 +40,9 @@ def aggregate(df: DataFrame, make: Callable[[], Aggregator], schema: str) -> Dat
     whole_entry = F.col("fields") if is_log_frame(df) else F.struct(*df.columns)
     entries = df.select(whole_entry.alias("entry"))
     states = entries.mapInPandas(_fold(make), "slot long, state binary")
+    # A fresh state, so that there is one where no task had an entry.
+    fresh = [(0, bytearray(cloudpickle.dumps(make())))]
+    states = states.unionByName(df.sparkSession.createDataFrame(fresh, "slot long, state binary"))
     for slots in MERGE_SLOTS:
         slot = F.pmod(F.col("slot"), F.lit(slots)).cast("long")
         states = states.select(slot.alias("slot"), "state").groupBy("slot").applyInPandas(

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import numeric
 from ..functions.text import pinned
-from .blocks import ROWS_PER_BLOCK, earlier_blocks, with_block
+from ..session import settle
+from .blocks import earlier_blocks, with_block
 
 DEFAULT_PERCENTILES = (50, 90, 95, 99)
-MAX_DISTINCT = 1_000_000
 
 
 def percentile_name(p: float) -> str:
@@ -20,44 +20,35 @@ def percentile_name(p: float) -> str:
     return f"p{p:g}".replace(".", "_")
 
 
-def percentile(
-    df: DataFrame, name: str, p: float, max_distinct: int = MAX_DISTINCT, rows_per_block: int = ROWS_PER_BLOCK
-) -> DataFrame:
+def percentile(df: DataFrame, name: str, p: float) -> DataFrame:
     """One exact nearest-rank percentile; 0.0 where the field has no numbers."""
-    column = percentile_name(p)
-    return summary(df, name, [p], max_distinct, rows_per_block).select(column)
+    return summary(df, name, [p]).select(percentile_name(p))
 
 
-def summary(
-    df: DataFrame,
-    name: str,
-    percentiles: Sequence[float] = DEFAULT_PERCENTILES,
-    max_distinct: int = MAX_DISTINCT,
-    rows_per_block: int = ROWS_PER_BLOCK,
-) -> DataFrame:
+def summary(df: DataFrame, name: str, percentiles: Sequence[float] = DEFAULT_PERCENTILES) -> DataFrame:
     """Percentiles, min, max, mean and count of the numbers in a field, one row."""
-    values = _values(df, name)
-    facts = _facts(values)
+    counts = _counts(df, name)
     wanted = {percentile_name(p): _nearest_rank(p) for p in percentiles}
-    ranks = values_at_ranks(values, wanted, facts["distinct"] <= max_distinct, rows_per_block)
-    return ranks.select(
+    facts = _facts(counts)
+    return values_at_ranks(counts, wanted).select(
         *[F.coalesce(n, F.lit(0.0)).alias(n) for n in wanted],
         *[F.lit(facts[n]).cast("double").alias(n) for n in ("min", "max", "mean", "count")],
     )
 
 
-def _values(df: DataFrame, name: str) -> DataFrame:
-    return df.select(pinned(numeric(df, name)).alias("v")).where("v IS NOT NULL")
+def _counts(df: DataFrame, name: str) -> DataFrame:
+    """(v, c): each number of the field and how often it occurs, from one pass over the entries."""
+    values = df.select(pinned(numeric(df, name)).alias("v")).where("v IS NOT NULL")
+    return settle(values.groupBy("v").agg(F.count("*").alias("c")))
 
 
-def _facts(values: DataFrame) -> Row:
-    """What one pass tells of the values, their approximate variety included."""
-    return values.agg(
-        F.approx_count_distinct("v").alias("distinct"),
+def _facts(counts: DataFrame) -> Row:
+    """min, max, mean and count of the numbers: one row, also where there are none."""
+    return counts.agg(
         F.min("v").alias("min"),
         F.max("v").alias("max"),
-        F.avg("v").alias("mean"),
-        F.count("v").alias("count"),
+        F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum("c")).alias("mean"),
+        F.coalesce(F.sum("c"), F.lit(0)).alias("count"),
     ).first()
 
 
@@ -67,29 +58,15 @@ def _nearest_rank(p: float) -> Column:
     return F.greatest(F.lit(1), F.least(rank, F.col("n")))
 
 
-def values_at_ranks(
-    values: DataFrame, ranks: dict[str, Column], few_distinct: bool, rows_per_block: int
-) -> DataFrame:
+def values_at_ranks(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:
     """The values ``v`` at the given ranks (columns of ``n``), one row; NULL without values.
 
-    Equal values are counted together before anything is ordered.  A few counts
-    are ranked by one window.  Otherwise the value range is cut into blocks: a
-    running total over the blocks tells which hold a wanted rank, and only
-    those are ranked.
+    Equal values are counted together before anything is ordered.  The value
+    range is cut into blocks: a running total over the blocks tells which hold a
+    wanted rank, and only those are ranked.
     """
-    if few_distinct:
-        counts = values.groupBy("v").agg(F.count("*").alias("c"))
-        everything = Window.partitionBy(F.lit(0))
-        ranked = counts.select(
-            "v", F.sum("c").over(everything.orderBy("v")).alias("upto"), F.sum("c").over(everything).alias("n")
-        )
-        return ranked.agg(*[F.min(F.when(F.col("upto") >= r, F.col("v"))).alias(n) for n, r in ranks.items()])
-    return _ranks_in_blocks(values, ranks, rows_per_block)
-
-
-def _ranks_in_blocks(values: DataFrame, ranks: dict[str, Column], rows_per_block: int) -> DataFrame:
-    cut = with_block(values, ["v"], rows_per_block)
-    sizes = cut.groupBy("_block").agg(F.count("*").alias("rows"))
+    cut = with_block(counts, ["v"])
+    sizes = cut.groupBy("_block").agg(F.sum("c").alias("rows"))
     spans = sizes.select(
         "_block",
         F.coalesce(F.sum("rows").over(earlier_blocks([])), F.lit(0)).alias("before"),
@@ -105,13 +82,9 @@ def _ranks_in_blocks(values: DataFrame, ranks: dict[str, Column], rows_per_block
         .where("w.rank > before AND w.rank <= before + rows")
         .select("_block", "before", "w.name", "w.rank")
     )
-    counts = (
-        cut.join(F.broadcast(targets.select("_block").distinct()), "_block", "left_semi")
-        .groupBy("_block", "v")
-        .agg(F.count("*").alias("c"))
-    )
+    held = cut.join(F.broadcast(targets.select("_block").distinct()), "_block", "left_semi")
     upto = Window.partitionBy("_block").orderBy("v")
-    ranked = counts.select("_block", "v", F.sum("c").over(upto).alias("upto"))
+    ranked = held.select("_block", "v", F.sum("c").over(upto).alias("upto"))
     hits = (
         ranked.join(F.broadcast(targets), "_block")
         .where("before + upto >= rank")
@@ -121,17 +94,14 @@ def _ranks_in_blocks(values: DataFrame, ranks: dict[str, Column], rows_per_block
     return hits.agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ranks])
 
 
-def median(
-    df: DataFrame, name: str, max_distinct: int = MAX_DISTINCT, rows_per_block: int = ROWS_PER_BLOCK
-) -> DataFrame:
+def median(df: DataFrame, name: str) -> DataFrame:
     """Median (mean of the middle two) and count of a field's numbers, one row."""
-    values = _values(df, name)
-    facts = _facts(values)
+    counts = _counts(df, name)
     n = F.col("n")
     middle = {"low": F.floor((n + 1) / 2).cast("long"), "high": F.floor((n + 2) / 2).cast("long")}
-    found = values_at_ranks(values, middle, facts["distinct"] <= max_distinct, rows_per_block)
-    return found.select(
-        ((F.col("low") + F.col("high")) / 2).alias("median"), F.lit(facts["count"]).cast("long").alias("count")
+    count = _facts(counts)["count"]
+    return values_at_ranks(counts, middle).select(
+        ((F.col("low") + F.col("high")) / 2).alias("median"), F.lit(count).cast("long").alias("count")
     )
 
 

@@ -30,9 +30,9 @@ def condition(df: DataFrame, predicate: Predicate) -> Column:
     return predicate if isinstance(predicate, Column) else predicate(df)
 
 
-def regex_search(pattern: str, fields: Sequence[str] = (), ignore_case: bool = True) -> Predicate:
-    """True where a value (of any field, or of the named ones) contains a match."""
-    regex = java_regex(pattern, ignore_case)
+def regex_search(pattern: str, fields: Sequence[str] = (), ignore_case: bool = True, flags: int = 0) -> Predicate:
+    """True where a value (of any field, or of the named ones) contains a match; ``flags`` are those of ``re``."""
+    regex = java_regex(pattern, ignore_case, flags)
 
     def matches(df: DataFrame) -> Column:
         if fields:

@@ -13,9 +13,9 @@ from ..functions.text import java_regex
 from .predicates import Chain, contains_like, regex_search, time_range, where
 
 
-def raw_prefilter(lines: DataFrame, pattern: str, ignore_case: bool = True) -> DataFrame:
+def raw_prefilter(lines: DataFrame, pattern: str, ignore_case: bool = True, flags: int = 0) -> DataFrame:
     """Keep the lines that match, before they are parsed."""
-    return lines.where(F.col("raw").rlike(java_regex(pattern, ignore_case)))
+    return lines.where(F.col("raw").rlike(java_regex(pattern, ignore_case, flags)))
 
 
 def search(
@@ -28,23 +28,34 @@ def search(
     timestamp: str = "timestamp",
     limit: int = 0,
     order_by: Sequence[str] | str | None = None,
+    flags: int = 0,
 ) -> DataFrame:
     """Entries that match the pattern inside the time range; the first ``limit`` if given."""
-    chain = Chain().add(regex_search(pattern, [field] if field else [], not case_sensitive))
+    chain = Chain().add(regex_search(pattern, [field] if field else [], not case_sensitive, flags))
     if since is not None or until is not None:
         chain = chain.add(time_range(since, until, timestamp))
     found = chain.apply(df)
     return first_n(found, limit, order_by) if limit else found
 
 
+def match_count(df: DataFrame, pattern: str, **options: object) -> DataFrame:
+    """How many entries a search finds (``matches``), whatever part of them is shown.
+
+    ``options`` are those of :func:`search`; a ``limit`` among them is left aside.
+    """
+    return search(df, pattern, **{**options, "limit": 0}).agg(F.count(F.lit(1)).alias("matches"))
+
+
 def substring_search(
-    df: DataFrame, field: str, pattern: str, limit: int = 1000, order_by: Sequence[str] | str | None = None
+    df: DataFrame, field: str, pattern: str, limit: int = 0, order_by: Sequence[str] | str | None = None
 ) -> DataFrame:
-    """Rows whose field holds the text (SQL LIKE, case-sensitive), at most ``limit``.
+    """Rows whose field holds the text (SQL LIKE, case-sensitive); at most ``limit`` if given.
 
-    Without ``order_by`` any such rows will do, and the scan stops early.
+    With a limit and without ``order_by`` any such rows will do, and the scan stops early.
     """
     found = where(df, contains_like(field, pattern))
+    if limit <= 0:
+        return found
     return found.limit(limit) if order_by is None else first_n(found, limit, order_by)
 
 

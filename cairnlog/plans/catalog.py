@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -41,6 +42,8 @@ QUERIES: dict[str, Query] = {}
 
 NDJSON_KEYS = ("timestamp", "level", "message", "latency_ms", "k")
 FILES_PER_BATCH = 1000
+#: Slices of time in which events arrive at the streams.
+SLICES = 3
 
 
 def query(run: Query) -> Query:
@@ -232,7 +235,9 @@ def regex_case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def regex_python_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = regex_search(r"/(?P<kind>click|view)/(?P<who>\d+) HTTP", ["raw"])
+    text = r"""[[&&/](?P<event_type> click | view ) / (?P<user_id>\d{1,}) # both of them
+        [ ]HTTP"""
+    pattern = regex_search(text, ["raw"], flags=re.VERBOSE | re.MULTILINE)
     return where(_access(spark, sf_dir).drop("fields"), pattern).select("seq")
 
 
@@ -311,11 +316,41 @@ def search_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(found, "level", "message")
 
 
+@query
+def search_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = parse.parse_json(_ndjson(spark, sf_dir))
+    return search.match_count(frame, "warn|error", field="level", limit=25)
+
+
+@query
+def group_buckets_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = logs.table(spark, sf_dir, "events")
+    # A text order with NULLs, which come first, and ties, which the number breaks.
+    word = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("w"), (F.col("event_id") % 13).cast("string")))
+    grouped = counting.group_by(events.withColumn("word", word), "event_type", ["word", "event_id"])
+    return grouped.select("group", "position", "event_id")
+
+
+@query
+def alerts_tied_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The order says nothing (NULL or the same for all): times alone decide, and are unique.
+    events = logs.events(spark, sf_dir).withColumn("nothing", F.when(F.col("event_id") % 2 == 0, 1))
+    return alerts.evaluate_rules(events, RULES, "ts", "nothing").select("rule", "event_id")
+
+
+@query
+def alerts_within_one_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # All match times lie in one cooldown: the first fires, no other does.
+    rule = alerts.Rule("any", lambda df: F.lit(True), cooldown=100 * 365 * 86_400)
+    return alerts.evaluate_rules(logs.events(spark, sf_dir), [rule], "ts", "event_id").select("rule", "event_id")
+
+
 @query
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = logs.table(spark, sf_dir, "documents")
-    shown = strip(F.concat(F.lit(" \t"), F.left("text", F.lit(40)), F.lit(" \n")))
-    return documents.select("doc_id", shown.alias("head"), digest_prefix(F.col("text")).alias("digest"))
+    shown = strip(F.concat(F.lit(" \t"), F.col("text"), F.lit(" \n")))
+    cut = F.left("text", F.lit(40))
+    return documents.select("doc_id", F.md5(shown).alias("stripped_md5"), cut.alias("head"), digest_prefix(F.col("text")).alias("digest"))
 
 
 # -- counts, groups, numbers -------------------------------------------------
@@ -366,7 +401,7 @@ def group_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def group_buckets_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = logs.table(spark, sf_dir, "orders")
-    grouped = counting.group_by(orders, "o_orderstatus", ["o_orderdate", "o_orderkey"], rows_per_block=1000)
+    grouped = counting.group_by(orders, "o_orderstatus", ["o_orderdate", "o_orderkey"])
     return grouped.select("group", "position", "o_orderkey")
 
 
@@ -419,7 +454,7 @@ def percentile_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def percentile_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = logs.table(spark, sf_dir, "lineitem")
-    return _rounded(numeric.summary(prices, "l_extendedprice", max_distinct=1000, rows_per_block=5000), "mean")
+    return _rounded(numeric.summary(prices, "l_extendedprice"), "mean")
 
 
 @query
@@ -457,7 +492,7 @@ def custom_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def custom_median_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = logs.table(spark, sf_dir, "orders")
-    return _rounded(numeric.median(orders, "o_totalprice", max_distinct=100, rows_per_block=2000), "median")
+    return _rounded(numeric.median(orders, "o_totalprice"), "median")
 
 
 class WidestGap:
@@ -501,7 +536,7 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def anomaly_scores_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = logs.table(spark, sf_dir, "events")
-    return _scores(anomaly.score_anomalies(events, "value", order_by="ts", rows_per_block=700), "event_id")
+    return _scores(anomaly.score_anomalies(events, "value", order_by="ts"), "event_id")
 
 
 @query
@@ -544,10 +579,7 @@ def alerts_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def alerts_fired_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A tenth of the events, so that a rule needs several cells at any small scale.
-    tenth = logs.table(spark, sf_dir, "events").count() // 10
-    share = min(alerts.TICKS_PER_TASK, max(200, tenth))
-    return _alerts(spark, sf_dir, ticks_per_task=share).select("rule", "event_id")
+    return _alerts(spark, sf_dir, ticks_per_task=2000).select("rule", "event_id")
 
 
 @query
@@ -624,7 +656,7 @@ def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.table(spark, sf_dir, "pages").select("page_id", F.length(escape_html(F.col("html"))).cast("long").alias("chars"))
+    return logs.table(spark, sf_dir, "pages").select("page_id", F.md5(escape_html(F.col("html"))).alias("escaped_md5"))
 
 
 @query
@@ -663,11 +695,15 @@ def materialised_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams -----------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = logs.table(spark, sf_dir, name).schema
-    # A pattern, because a stream takes a folder or a pattern but not the path of one file.
-    path = f"{sf_dir}/{name}[.]parquet"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
+def _over_time(spark: SparkSession, sf_dir: str, advance: Callable[[DataFrame], None]) -> None:
+    """Let the events arrive in slices of time; after each the stream goes on from where it was."""
+    events = logs.table(spark, sf_dir, "events")
+    folder = workspace(spark, "arrivals")
+    span = events.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
+    edges = [span["a"] + (span["b"] + 1 - span["a"]) * i // SLICES for i in range(SLICES + 1)]
+    for low, high in zip(edges, edges[1:], strict=False):
+        events.where(F.col("event_id").between(low, high - 1)).write.mode("append").parquet(folder)
+        advance(spark.readStream.schema(events.schema).parquet(folder))
 
 
 def _appended(stream: DataFrame) -> DataFrame:
@@ -684,62 +720,92 @@ def _appended(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _replaced(stream: DataFrame) -> DataFrame:
-    """The same for a small complete result, replaced by every micro-batch."""
-    spark = stream.sparkSession
+def _replaced(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A small complete result over a stream of events, as the last micro-batch leaves it."""
     path = workspace(spark, "stream")
-    run = (
-        stream.writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{path}-progress")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+
+    def advance(events: DataFrame) -> None:
+        run = (
+            make(logs.with_level(events))
+            .writeStream.outputMode("complete")
+            .option("checkpointLocation", f"{path}-progress")
+            .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+
+    _over_time(spark, sf_dir, advance)
+    return _last_batch(spark.read.parquet(path))
+
+
+def _last_batch(batches: DataFrame) -> DataFrame:
+    last = batches.agg(F.max("batch")).first()[0]
+    if last < SLICES - 1:
+        raise RuntimeError("the stream took fewer batches than there were slices")
+    return batches.where(F.col("batch") == last).drop("batch")
+
+
+def _mixed_entries(events: DataFrame) -> DataFrame:
+    return parse.parse_auto(logs.event_lines(events, logs.mixed_line()), mode="line")
 
 
 @query
 def stream_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = logs.with_level(_stream(spark, sf_dir, "events"))
-    frame = parse.parse_auto(logs.event_lines(events, logs.mixed_line()), mode="line")
-    return _replaced(counters.level_counts(frame))
+    return _replaced(spark, sf_dir, lambda events: counters.level_counts(_mixed_entries(events)))
 
 
-def _by_batch(stream: DataFrame, make: Callable[[Callable[[DataFrame, int], None], str], Callable]) -> DataFrame:
-    """Run a stream through a batch writer into one folder per micro-batch, and read them."""
-    spark = stream.sparkSession
+@query
+def stream_top_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replaced(spark, sf_dir, lambda events: counters.top_levels(_mixed_entries(events)))
+
+
+@query
+def stream_line_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.when(F.col("event_id") % 9 == 0, F.concat(logs.mixed_line(), F.lit("}"))).otherwise(logs.mixed_line())
+    return _replaced(spark, sf_dir, lambda events: counters.line_counters(logs.event_lines(events, broken)))
+
+
+def _by_batch(
+    spark: SparkSession,
+    sf_dir: str,
+    prepare: Callable[[DataFrame], DataFrame],
+    make: Callable[[Callable[[DataFrame, int], None], str], Callable],
+) -> DataFrame:
+    """Run a stream of events through a batch writer into one folder per micro-batch, and read them."""
     path = workspace(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run = (
-        stream.writeStream.foreachBatch(make(keep, f"{path}-state"))
-        .option("checkpointLocation", f"{path}-progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    def advance(events: DataFrame) -> None:
+        run = (
+            prepare(events)
+            .writeStream.foreachBatch(make(keep, f"{path}-state"))
+            .option("checkpointLocation", f"{path}-progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+
+    _over_time(spark, sf_dir, advance)
     return spark.read.parquet(path)
 
 
 @query
 def stream_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _by_batch(
-        _stream(spark, sf_dir, "events"),
-        lambda sink, state: anomaly_writer("value", sink, state, "event_id", ["event_type"]),
-    )
-    return _scores(scored, "event_type", "event_id")
+    def writer(sink: Callable[[DataFrame, int], None], state: str) -> Callable:
+        return anomaly_writer("value", sink, state, "event_id", ["event_type"])
+
+    return _scores(_by_batch(spark, sf_dir, lambda events: events, writer), "event_type", "event_id")
 
 
 @query
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fired = _by_batch(
-        logs.with_level(_stream(spark, sf_dir, "events")),
-        lambda sink, state: alert_writer(RULES, sink, state, "ts", "event_id"),
-    )
-    return fired.select("rule_no", "rule", "event_id", "fired_at")
+    def writer(sink: Callable[[DataFrame, int], None], state: str) -> Callable:
+        return alert_writer(RULES, sink, state, "ts", "event_id")
+
+    return _by_batch(spark, sf_dir, logs.with_level, writer).select("rule_no", "rule", "event_id", "fired_at")
 
 
 @query

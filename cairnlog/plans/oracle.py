@@ -222,7 +222,8 @@ ORACLE: dict[str, str] = {
         " AND date_trunc('second', ts) BETWEEN '2024-01-05 06:00:00' AND '2024-01-20' ORDER BY event_id LIMIT 25"
     ),
     "text_functions": (
-        "SELECT doc_id, trim(left(text, 40), chr(9) || chr(10) || chr(13) || ' ') AS head, left(sha256(text), 32) AS digest FROM documents"
+        "SELECT doc_id, md5(trim(text, chr(9) || chr(10) || chr(13) || ' ')) AS stripped_md5, left(text, 40) AS head,"
+        " left(sha256(text), 32) AS digest FROM documents"
     ),
     # counts, groups, numbers
     "count_by": _mixed("SELECT coalesce(e_status, 'unknown') AS value, count(*) AS count FROM entries GROUP BY 1"),
@@ -324,7 +325,7 @@ UNION ALL SELECT 'numeric', NULL, 'skipped', 0.0""",
         + " || '</td>' || chr(10) || '  <td class=\"level\">WARN</td>' || chr(10) || '  <td>' || " + _ESCAPED.format("html")
         + " || '</td>' || chr(10) || '</tr>' AS row FROM pages"
     ),
-    "html_escape": f"SELECT page_id, length({_ESCAPED.format('html')}) AS chars FROM pages",
+    "html_escape": f"SELECT page_id, md5({_ESCAPED.format('html')}) AS escaped_md5 FROM pages",
     "ndjson_lines": _mixed(
         "SELECT CASE turn WHEN 0 THEN '{\"timestamp\":\"' || iso || '\",\"k\":' || k || '}'"
         " WHEN 1 THEN '{\"timestamp\":\"' || apache_time || '\",\"status\":' || status || '}'"
@@ -338,6 +339,20 @@ UNION ALL SELECT 'numeric', NULL, 'skipped', 0.0""",
         " (SELECT coalesce(e_level, 'unknown') AS value, count(*) AS count, min((file, seq)) AS first FROM entries GROUP BY 1) ORDER BY rank LIMIT 3"
     ),
     # streams
+    "search_match_count": _ev("SELECT count(*) AS matches FROM ev WHERE level IN ('WARN', 'ERROR')"),
+    "group_buckets_text_order": (
+        "SELECT event_type AS \"group\", event_id, row_number() OVER (PARTITION BY event_type ORDER BY "
+        "CASE WHEN event_id % 5 > 0 THEN 'w' || (event_id % 13) END NULLS FIRST, event_id) AS position FROM events"
+    ),
+    "alerts_tied_order": FIRED + "SELECT rule, event_id FROM fired",
+    "alerts_within_one_cooldown": "SELECT 'any' AS rule, arg_min(event_id, ts) AS event_id FROM events",
+    "stream_top_levels": _mixed(
+        "SELECT e_level AS level, count(*) AS count FROM entries WHERE e_level IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"
+    ),
+    "stream_line_counters": _mixed(
+        "SELECT count(*) FILTER (WHERE NOT (turn = 0 AND event_id % 9 = 0)) AS entries,"
+        " count(*) FILTER (WHERE turn = 0 AND event_id % 9 = 0) AS failures FROM mixed"
+    ),
     "stream_level_counts": _mixed("SELECT e_level AS level, count(*) AS count FROM entries WHERE e_level IS NOT NULL GROUP BY 1"),
     "stream_anomaly": (
         f"WITH {_past('events', 'value', 'PARTITION BY event_type', 'event_id')} SELECT event_type, event_id, z_score, is_anomaly, n FROM judged"

@@ -6,10 +6,14 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_settled: ContextVar[list[str] | None] = ContextVar("settled tables", default=None)
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -51,10 +55,29 @@ def settle(df: DataFrame) -> DataFrame:
     columns and know their size.
     """
     path = workspace(df.sparkSession, "settled")
+    if (owned := _settled.get()) is not None:
+        owned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables settled inside once it is left; results must have been written by then.
+
+    For work that goes on for ever, such as the batches of a stream.
+    """
+    token = _settled.set([])
+    try:
+        yield
+    finally:
+        paths = _settled.get() or []
+        _settled.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pin_splits(spark: SparkSession) -> None:
     """Freeze how files are cut into splits, unless the session already does.
 

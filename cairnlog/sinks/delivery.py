@@ -39,7 +39,7 @@ def deliver(
             try:
                 send(routed.where(F.col("channel") == name))
             except Exception as failure:  # best effort: no channel may stop the pipeline
-                error = f"{type(failure).__name__}: {failure}"[:500]
+                error = f"{type(failure).__name__}: {failure}"
                 logger.warning("channel %s failed: %s", name, error)
             outcomes.append((batch, name, error is None, error, datetime.now(timezone.utc)))
     finally:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
-import json
 import logging
 import time
 import uuid
@@ -27,11 +26,26 @@ def result_key(path: str, params: Mapping[str, Any], version: str | None = None)
     ``version`` (say, size and modification time of the source) makes the key
     follow the content too.
     """
-    identity: dict[str, Any] = {"path": path, "params": dict(params)}
-    if version is not None:
-        identity["version"] = version
-    text = json.dumps(identity, sort_keys=True)
-    return hashlib.sha256(text.encode()).hexdigest()[:32]
+    digest = hashlib.sha256()
+
+    def put(value: Any) -> None:
+        """A kind, a length and a body for each value, so that no two queries are spelled alike."""
+        if isinstance(value, Mapping):
+            entries = sorted(value.items(), key=lambda entry: str(entry[0]))
+            digest.update(b"m%d:" % len(entries))
+            for name, inner in entries:
+                put(str(name))
+                put(inner)
+        elif isinstance(value, (list, tuple)):
+            digest.update(b"l%d:" % len(value))
+            for inner in value:
+                put(inner)
+        else:
+            body = repr(value).encode()
+            digest.update(f"{type(value).__name__}{len(body)}:".encode() + body)
+
+    put((path, params, version))
+    return digest.hexdigest()
 
 
 @dataclass

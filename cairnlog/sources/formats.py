@@ -8,6 +8,8 @@ newline), and a split takes them apart.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -58,16 +60,23 @@ def _json_scan(raw: Column) -> Column:
     """The line as the only element of an array.
 
     The reader stops at the end of the first value and ignores what follows.
-    Inside an array, trailing text is an error and a second value an element.
+    Where the first closing brace ends the line nothing can follow, and the line
+    is read as it is.  Otherwise it is read inside an array, in which trailing
+    text is an error and a second value an element.
     """
+    flat = raw.startswith("{") & (F.instr(raw, "}") == F.length(raw))
     wrapped = F.concat(F.lit("["), raw, F.lit("]"))
-    return F.from_json(wrapped, f"array<{FIELDS_TYPE}>", _JSON_OPTIONS)
+    return F.when(flat, F.array(F.from_json(raw, FIELDS_TYPE, _JSON_OPTIONS))).otherwise(
+        F.from_json(wrapped, f"array<{FIELDS_TYPE}>", _JSON_OPTIONS)
+    )
 
 
 def _json_build(raw: Column, found: Column) -> Column:
     """Keys of a JSON object; NULL for malformed text and for other JSON values."""
+    # Values are looked at only where the line has one of the words at all.
+    words = reduce(or_, [raw.contains(word) for word in ("true", "false", "NaN", "Infinity")])
     ambiguous = F.exists(F.map_values(found[0]), lambda v: v.isin("true", "false", *NON_FINITE))
-    typed = F.when(ambiguous, _typed_text(raw, found[0])).otherwise(found[0])
+    typed = F.when(words & ambiguous, _typed_text(raw, found[0])).otherwise(found[0])
     return F.when((F.size(found) == 1) & _closes_once(raw), typed)
 
 

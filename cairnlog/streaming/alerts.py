@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timestamps import micros
 from ..operators.alerts import TICKS_PER_TASK, Rule, evaluate_rules
+from ..session import temporary_tables
 from .anomaly import Sink
 from .state import BatchState
 
@@ -32,13 +33,14 @@ def alert_writer(
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            before = state.before(batch.sparkSession, number)
-            # One row per rule that ever fired.
-            ready = {} if before is None else {r.rule_no: r.ready for r in before.collect()}
-            alerts = evaluate_rules(batch, rules, timestamp, order_by, ticks_per_task, ready).persist()
-            sink(alerts, number)
-            state.save(_ready_after(alerts, rules, ready), number)
-            alerts.unpersist()
+            with temporary_tables(batch.sparkSession):
+                before = state.before(batch.sparkSession, number)
+                # One row per rule that ever fired.
+                ready = {} if before is None else {r.rule_no: r.ready for r in before.collect()}
+                alerts = evaluate_rules(batch, rules, timestamp, order_by, ticks_per_task, ready).persist()
+                sink(alerts, number)
+                state.save(_ready_after(alerts, rules, ready), number)
+                alerts.unpersist()
         finally:
             batch.unpersist()
 

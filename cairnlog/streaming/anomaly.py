@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 
 from ..operators.anomaly import MIN_SAMPLES, THRESHOLD, score_anomalies, totals_of
-from ..operators.blocks import ROWS_PER_BLOCK
+from ..session import temporary_tables
 from .state import BatchState
 
 Sink = Callable[[DataFrame, int], None]
@@ -21,7 +21,6 @@ def anomaly_writer(
     partition_by: Sequence[str] = (),
     threshold: float = THRESHOLD,
     min_samples: int = MIN_SAMPLES,
-    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> Sink:
     """A ``foreachBatch`` function that scores each entry against all earlier ones.
 
@@ -35,12 +34,11 @@ def anomaly_writer(
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            prior = state.before(batch.sparkSession, number)
-            scored = score_anomalies(
-                batch, name, threshold, min_samples, order_by, partition_by, rows_per_block=rows_per_block, prior=prior
-            )
-            sink(scored, number)
-            state.save(totals_of(batch, name, partition_by, prior), number)
+            with temporary_tables(batch.sparkSession):
+                prior = state.before(batch.sparkSession, number)
+                scored = score_anomalies(batch, name, threshold, min_samples, order_by, partition_by, prior=prior)
+                sink(scored, number)
+                state.save(totals_of(batch, name, partition_by, prior), number)
         finally:
             batch.unpersist()
 

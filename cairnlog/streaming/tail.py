@@ -1,25 +1,14 @@
-"""Tail: follow new files of a folder, or the bytes appended to growing files."""
+"""Tail: the new lines of a folder that keeps receiving files."""
 
 from __future__ import annotations
 
-import glob
-import os
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
 
-from ..functions.text import strip_line
 from ..operators.project import normalise_entry
 from ..operators.search import raw_prefilter
-from ..session import ship_package
 from ..sources.parse import parse_auto
 
-CHUNK_BYTES = 64 << 20
-BATCH_BYTES = 1 << 30
-
 
 def tail_entries(lines: DataFrame, pattern: str = "", ignore_case: bool = True) -> DataFrame:
     """New lines, filtered while raw, as (ts, level, msg).
@@ -38,113 +27,3 @@ def tail_entries(lines: DataFrame, pattern: str = "", ignore_case: bool = True)
         F.when(~failed, F.col("level")).alias("level"),
         F.when(failed, F.col("raw")).otherwise(F.col("msg")).alias("msg"),
     )
-
-
-def stream_appends(spark: SparkSession, path: str, from_start: bool = False, **options: object) -> DataFrame:
-    """Lines appended to the files a glob names; the path must be mounted on all executors.
-
-    Starts at the current end unless ``from_start``.  A file that shrinks was
-    rotated and is read from its beginning.
-    """
-    ship_package(spark)
-    spark.dataSource.register(AppendedLines)
-    reader = spark.readStream.format("appended_lines").option("path", path)
-    if from_start:
-        reader = reader.option("from", "start")
-    rows = reader.options(**options).load()
-    return rows.select("file", "block_start", "seq", strip_line(F.col("raw")).alias("raw")).where(
-        "raw != ''"
-    )
-
-
-class AppendedLines(DataSource):
-    """Streaming source of complete lines appended to text files."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "appended_lines"
-
-    def schema(self) -> str:
-        return "file string, block_start long, seq long, raw string"
-
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _AppendReader(dict(self.options))
-
-
-class _Chunk(InputPartition):
-    def __init__(self, path: str, start: int, end: int) -> None:
-        self.path, self.start, self.end = path, start, end
-
-
-class _AppendReader(DataSourceStreamReader):
-    """Offset: for each file, the byte after the last complete line taken."""
-
-    def __init__(self, options: dict[str, str]) -> None:
-        self.pattern = options["path"]
-        self.from_start = options.get("from") == "start"
-        self.batch_bytes = int(options.get("maxbytespertrigger", BATCH_BYTES))
-        self.seen: dict[str, int] | None = None
-
-    def initialOffset(self) -> dict[str, int]:
-        if self.from_start:
-            return {}
-        return {path: _line_end(path, 0, os.path.getsize(path)) for path in self._files()}
-
-    def latestOffset(self) -> dict[str, int]:
-        if self.seen is None:
-            self.seen = self.initialOffset()
-        offsets = {}
-        for path in self._files():
-            size, start = os.path.getsize(path), self.seen.get(path, 0)
-            start = 0 if size < start else start
-            offsets[path] = _line_end(path, start, min(size, start + self.batch_bytes))
-        self.seen = offsets
-        return offsets
-
-    def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[InputPartition]:
-        self.seen = dict(end)
-        chunks: list[InputPartition] = []
-        for path, stop in sorted(end.items()):
-            at = start.get(path, 0)
-            at = 0 if stop < at else at
-            while at < stop:
-                cut = _line_end(path, at, min(stop, at + CHUNK_BYTES))
-                cut = stop if cut <= at else cut
-                chunks.append(_Chunk(path, at, cut))
-                at = cut
-        return chunks
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, int, str]]:
-        with open(partition.path, "rb") as file:
-            file.seek(partition.start)
-            at = partition.start
-            while at < partition.end:
-                line = file.readline()
-                if not line:
-                    break
-                yield partition.path, partition.start, at, line.decode("utf-8", "replace")
-                at += len(line)
-
-    def commit(self, end: dict[str, int]) -> None:
-        pass
-
-    def stop(self) -> None:
-        pass
-
-    def _files(self) -> list[str]:
-        return sorted(p for p in glob.glob(self.pattern) if os.path.isfile(p))
-
-
-def _line_end(path: str, start: int, stop: int) -> int:
-    """The byte after the last newline in [start, stop); ``start`` if there is none."""
-    step = 1 << 16
-    with open(path, "rb") as file:
-        at = stop
-        while at > start:
-            begin = max(start, at - step)
-            file.seek(begin)
-            found = file.read(at - begin).rfind(b"\n")
-            if found >= 0:
-                return begin + found + 1
-            at = begin
-    return start

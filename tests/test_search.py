@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from cairnlog.functions.text import java_regex
 from cairnlog.functions.timestamps import micros, parse_timestamp, time_bound
 from cairnlog.operators import project, search
 from cairnlog.operators.predicates import Chain, all_of, any_of, field_equals, python_predicate, regex_search, time_range, where
@@ -59,44 +61,82 @@ def messages(frame) -> list[str]:
 
 
 def test_regex_search(entries):
-    frame = entries([{"message": "disk error"}, {"message": "ok", "level": "error"}, {"message": "fine", "x": None}])
-    assert messages(where(frame, regex_search("ERROR"))) == ["disk error", "ok"]
-    assert messages(where(frame, regex_search("error", ["message"]))) == ["disk error"]
-    assert messages(where(frame, regex_search("ERROR", ignore_case=False))) == []
-    assert messages(where(frame, regex_search("none"))) == ["fine"]
-    assert messages(where(frame, regex_search("message"))) == []
-    assert messages(where(frame, regex_search(r"(?P<w>d)isk\b.*\Z"))) == ["disk error"]
+    frame = entries([{"message": "fan 3 stalled"}, {"message": "fine", "unit": "FAN"}, {"message": "idle", "unit": None}])
+    assert messages(where(frame, regex_search("Fan"))) == ["fan 3 stalled", "fine"]
+    assert messages(where(frame, regex_search("fan", ["message"]))) == ["fan 3 stalled"]
+    assert messages(where(frame, regex_search("Fan", ignore_case=False))) == []
+    assert messages(where(frame, regex_search("none"))) == ["idle"]
+    assert messages(where(frame, regex_search("unit"))) == []
+    assert messages(where(frame, regex_search("^fan.+ed$\\Z", flags=re.MULTILINE))) == ["fan 3 stalled"]
+
+
+# fmt: off
+PATTERNS = [
+    r"(?P<user_id>\d+)", r"a[[]b", r"us{,3}er", r"[u&&x]ser", r"(?P<a_b>x)y(?P=a_b)", r"^b", r"a.b", r"[]a]x", r"[^]a]x", r"x{2}",
+    r"x{2,}y", r"x{", r"{x}", r"a{b}", r"\x41", r"\u0041b", r"[\b]", r"end\Z", r"\Astart", r"(?i)ABC", r"(?s)a.b", r"[a-z&&b]",
+    r"a(?#comment)b", r"\$\{x\}", r"[[:alpha:]]", r"(?<=a)b", r"(?!a)b", r"\d+\.\d+", r"[\w.-]+@[\w-]+", r"a|b|", r"\101", r"[é-ü]",
+    r"\bdog\b", r"a\\b", r"[\]x]", r"[\\]", r"\t", r"(?:a{1,2})?c", r"^$", r"#x", r"[#]", r"\W", r"\S+\s\S+", r"(a)(b)\2", r"(?:ab)+",
+    r"a??b", r".*?c", r"[^\n]", r"[-a]", r"[a-]", r"~", r"<x>", r"&&", r"[&]", r"\-", r"x*y", r"\Ax$",
+]
+TEXTS = [
+    "user 42", "a[b", "user", "uuuer", "xser", "&ser", "xyx", "abc\nb", "a\nb", "axb", "]x", "ax", "bx", "xx", "xxxy", "x{", "{x}", "a{b}",
+    "A", "Ab", "AB", "\x08", "the end", "end\n", "start", "abc", "ab", "${x}", ":]", "l]", "3.14", "me@x-y", "", "b", "ü", "dog", "hot dogs",
+    "a\\b", "\\", "\t", "aac", "c", "#x", "a b", "abb", "abab", "-", "~", "<x>", "&&", "&", "x", "x\n",
+]
+# fmt: on
+
+
+@pytest.mark.filterwarnings("ignore::FutureWarning")
+def test_patterns_mean_what_they_mean_in_python(spark):
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
+    kinds = [(0, True), (re.MULTILINE, False), (re.DOTALL, False)]
+    columns = [F.col("t").rlike(java_regex(p, lower, flags)).alias(f"c{n}_{k}") for n, p in enumerate(PATTERNS) for k, (flags, lower) in enumerate(kinds)]
+    for row in table.select("t", *columns).collect():
+        for n, p in enumerate(PATTERNS):
+            for k, (flags, lower) in enumerate(kinds):
+                want = re.search(p, row.t, flags | (re.IGNORECASE if lower else 0)) is not None
+                assert row[f"c{n}_{k}"] == want, (p, flags, row.t)
+
+
+def test_patterns_that_cannot_be_are_refused_before_the_job():
+    with pytest.raises(re.error):
+        java_regex("a(")
+    with pytest.raises(ValueError, match="not supported"):
+        java_regex(r"(a)?(?(1)b|c)")
 
 
 def test_time_range(entries):
-    frame = entries([{"timestamp": f"2025-08-01T{h:02d}:00:00", "message": str(h)} for h in (9, 10, 11, 12)] + [{"message": "none"}, {"timestamp": "junk", "message": "junk"}])
-    assert messages(where(frame, time_range(start=datetime(2025, 8, 1, 10)))) == ["10", "11", "12"]
-    assert messages(where(frame, time_range(end="2025-08-01T11:00"))) == ["9", "10", "11"]
-    assert messages(where(frame, time_range("2025-08-01T10:00", "2025-08-01T11:00:00"))) == ["10", "11"]
-    assert messages(where(frame, time_range())) == ["9", "10", "11", "12"]
+    days = ("03-09", "03-10", "03-12")
+    frame = entries([{"timestamp": f"2031-{d} 06:30:00", "message": d} for d in days] + [{"message": "none"}, {"timestamp": "soon", "message": "junk"}])
+    assert messages(where(frame, time_range(start=datetime(2031, 3, 10, 6, 30)))) == ["03-10", "03-12"]
+    assert messages(where(frame, time_range(end="2031-03-10T06:30"))) == ["03-09", "03-10"]
+    assert messages(where(frame, time_range("2031-03-09T07:00", "2031-03-11"))) == ["03-10"]
+    assert messages(where(frame, time_range())) == list(days)
 
 
 def test_chain(entries):
-    frame = entries([{"message": "disk error", "level": "ERROR"}, {"message": "good", "level": "INFO"}, {"message": "net error", "level": "ERROR"}])
-    errors = Chain().add(regex_search("error")).add(field_equals("level", "ERROR"))
-    disk = Chain().add(lambda df: F.col("fields")["message"].contains("disk"))
-    assert len(errors) == 2 and len(errors & disk) == 3
-    assert messages(errors.apply(frame)) == ["disk error", "net error"]
-    assert messages((errors & disk).apply(frame)) == ["disk error"]
-    assert Chain().apply(frame).count() == 3
+    frame = entries([{"zone": "a", "temp": "71"}, {"zone": "b", "temp": "70"}, {"zone": "a", "temp": "12"}, {"temp": "70"}])
+    temps = lambda rows: [e["temp"] for e in dicts(rows)]
+    warm = Chain().add(regex_search("^7", ["temp"])).add(regex_search(".", ["zone"]))
+    in_a = Chain().add(lambda df: F.col("fields")["zone"].contains("a"))
+    assert len(warm) == 2 and len(warm & in_a) == 3
+    assert temps(warm.apply(frame)) == ["71", "70"]
+    assert temps((warm & in_a).apply(frame)) == ["71"]
+    assert Chain().apply(frame).count() == 4
     assert where(frame, any_of()).count() == 0
-    assert where(frame, all_of()).count() == 3
-    assert where(frame, any_of(field_equals("level", "INFO"), field_equals("absent", "x"))).count() == 1
-    assert where(frame, python_predicate(lambda e: e["level"] == "INFO")).count() == 1
+    assert where(frame, all_of()).count() == 4
+    assert where(frame, any_of(field_equals("zone", "b"), field_equals("absent", "x"))).count() == 1
+    assert where(frame, python_predicate(lambda e: e["temp"] == "70")).count() == 2
 
 
 def test_search_limit_takes_the_first(lines):
     from cairnlog.sources.parse import parse_auto
 
     frame = parse_auto(lines(JSON_LINES))
-    assert messages(search.search(frame, "start|stop", limit=1)) == ["started"]
-    assert messages(search.search(frame, "INFO", field="level", since="2025-08-01T10:03")) == ["stopped"]
-    assert search.first_n(frame, 0).count() == 4
+    assert messages(search.search(frame, "queue|compact", limit=2)) == ["queue at 91%", "queue at 40%"]
+    assert messages(search.search(frame, "error", field="level", since="2031-03-10T00:00")) == ["lost peer fe80::9"]
+    assert search.match_count(frame, "queue|compact", limit=1).first().matches == 3
+    assert search.first_n(frame, 0).count() == 5
 
 
 def test_time_filter_reaches_the_scan(spark, tmp_path, capsys):
@@ -112,6 +152,8 @@ def test_substring_search_wildcards(spark):
     table = spark.createDataFrame([(1, "a_b"), (2, "axb"), (3, "AXB"), (4, None)], "i int, t string")
     assert [r.i for r in search.substring_search(table, "t", "a_b", order_by="i").collect()] == [1, 2]
     assert search.substring_search(table, "t", "x", limit=1).count() == 1
+    many = spark.range(1500).select("id", F.lit("x").alias("t"))
+    assert search.substring_search(many, "t", "x").count() == 1500
 
 
 def test_projections(lines, entries):
@@ -120,15 +162,15 @@ def test_projections(lines, entries):
     mixed = parse_auto(lines([ACCESS_LINES[0], SYSLOG_LINES[0], JSON_LINES[1], "plain"]), "line")
     rows = [(r.ts, r.level, r.msg) for r in project.normalise_entry(mixed).orderBy("seq").collect()]
     assert rows == [
-        ("01/Aug/2025:10:00:00 +0000", "INFO", "GET /index.html → 200 (512 B)"),
-        ("Aug  1 10:00:00", "INFO", "[sshd] accepted key for ann"),
-        ("2025-08-01T10:01:00", "ERROR", "disk full"),
+        ("09/Mar/2031:23:58:11 +0100", "INFO", "HEAD /health → 204 (0 B)"),
+        ("Mar  9 23:58:13", "INFO", "[dhclient] bound to 10.9.8.7"),
+        ("2031-03-09T23:59:40", "ERROR", "lost peer fe80::1"),
         ("", "INFO", "plain"),
     ]
     odd = entries([{"level": "", "severity": "warn", "time": "t", "message": None, "body": "b"}])
     assert [(r.ts, r.level, r.msg) for r in project.normalise_entry(odd).collect()] == [("t", "WARN", "b")]
     assert project.default_columns(mixed) == ["host", "timestamp", "method", "path", "status", "bytes", "level"]
-    assert project.default_columns(mixed.where("format = 'json'")) == ["timestamp", "level", "message"]
+    assert project.default_columns(mixed.where("format = 'json'")) == ["timestamp", "level", "message", "peer"]
     assert project.default_columns(mixed.where("false")) == []
     assert dicts(project.select_fields(mixed, ["level", "none"]))[2:] == [{"level": "ERROR"}, {}]
     table = project.field_columns(entries([{"a": None, "b": 1}]), ["a", "b", "c"]).first()

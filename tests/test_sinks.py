@@ -23,11 +23,11 @@ def test_ndjson_keeps_types(lines, tmp_path):
     files.write_ndjson(frame.coalesce(1), str(tmp_path / "out"))
     rows = [json.loads(t) for t in text_of(tmp_path / "out").splitlines()]
     assert rows[0] == json.loads(line)
-    assert (rows[1]["status"], rows[1]["bytes"], rows[1]["referer"]) == (200, 512, None)
-    assert (rows[2]["pid"], rows[2]["priority"]) == ("811", None)
+    assert (rows[1]["status"], rows[1]["bytes"], rows[1]["referer"]) == (204, 0, None)
+    assert (rows[2]["pid"], rows[2]["priority"]) == ("4021", None)
     assert rows[3] == {"message": "note", "raw": True}
     files.write_ndjson(frame, str(tmp_path / "few"), ["i", "status"], limit=2)
-    assert [json.loads(t) for t in text_of(tmp_path / "few").splitlines()] == [{"i": 1}, {"status": 200}]
+    assert [json.loads(t) for t in text_of(tmp_path / "few").splitlines()] == [{"i": 1}, {"status": 204}]
 
 
 def test_csv(entries, tmp_path):

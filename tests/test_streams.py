@@ -14,7 +14,7 @@ from cairnlog.sources.parse import parse_auto
 from cairnlog.streaming import counters
 from cairnlog.streaming.alerts import alert_writer
 from cairnlog.streaming.anomaly import anomaly_writer
-from cairnlog.streaming.tail import stream_appends, tail_entries
+from cairnlog.streaming.tail import tail_entries
 
 from .conftest import ACCESS_LINES, JSON_LINES, SYSLOG_LINES
 
@@ -108,35 +108,31 @@ def test_lines_of_a_stream_equal_the_batch(spark, tmp_path):
     want = parse_auto(read_lines(spark, str(folder)), mode="line")
     assert sorted((r.file, r.format) for r in got.collect()) == sorted((r.file, r.format) for r in want.collect())
     in_order = [r.format for r in got.where("file LIKE '%0.log'").orderBy("seq").collect()]
-    assert in_order == ["json"] * 4 + ["apache"] * 3 + ["syslog"] * 3 + ["raw"]
-    assert {r.level: r["count"] for r in counters.level_counts(want).collect()} == {"INFO": 24, "ERROR": 3, "WARN": 3}
-    assert tuple(counters.line_counters(read_lines(spark, str(folder))).first()) == (33, 3)
-    assert [r.level for r in counters.top_levels(want, 1).collect()] == ["INFO"]
+    assert in_order == ["json"] * 5 + ["apache"] * 2 + ["syslog"] * 2 + ["raw"]
+    assert {r.level: r["count"] for r in counters.level_counts(want).collect()} == {"INFO": 9, "ERROR": 9, "WARN": 6, "DEBUG": 3}
+    assert tuple(counters.line_counters(read_lines(spark, str(folder))).first()) == (30, 3)
+    assert [r.level for r in counters.top_levels(want, 2).collect()] == ["ERROR", "INFO"]
     with pytest.raises(ValueError, match="mode='line'"):
         parse_auto(stream, mode="file")
 
 
-def test_tail_of_growing_files(spark, tmp_path):
-    log = tmp_path / "app.log"
-    log.write_text("old line\n")
-    out, progress = str(tmp_path / "tail"), str(tmp_path / "tail-c")
-    entries = tail_entries(stream_appends(spark, str(tmp_path / "*.log")), "error|bad|fresh")
-
-    def advance():
-        spark.catalog.clearCache()
-        query.processAllAvailable()
-        return sorted(r.msg for r in spark.read.schema(entries.schema).parquet(out).collect())
-
-    query = entries.writeStream.format("parquet").option("checkpointLocation", progress).start(out)
-    try:
-        query.processAllAvailable()
-        with log.open("a") as file:
-            file.write(JSON_LINES[1] + "\n{bad\nquiet\nno error yet without its newline")
-        assert advance() == ["disk full", "{bad"]
-        with log.open("a") as file:
-            file.write("!\n")
-        assert advance() == ["disk full", "no error yet without its newline!", "{bad"]
-        log.write_text("fresh\n")
-        assert advance() == ["disk full", "fresh", "no error yet without its newline!", "{bad"]
-    finally:
-        query.stop()
+def test_tail_of_new_files(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text("\n".join(JSON_LINES[:2]) + "\n{bad\nquiet\n")
+    entries = tail_entries(stream_lines(spark, str(folder)), "LOST|bad|fresh")
+    assert sorted(r.msg for r in collected(entries, tmp_path, "tail").collect()) == ["lost peer fe80::1", "{bad"]
+    (folder / "b.log").write_text("fresh\n")
+    assert sorted(r.msg for r in collected(entries, tmp_path, "tail").collect()) == ["fresh", "lost peer fe80::1", "{bad"]
+
+
+def test_batches_leave_no_tables(spark, table, tmp_path):
+    from cairnlog.session import shared_folder
+
+    rules = [Rule("r", F.col("v") > 50, 60)]
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in shared.glob("settled-*")}
+    for number in range(2):
+        alert_writer(rules, lambda batch, n: batch.count(), str(tmp_path / "s"), "ts", "i")(table, number)
+        anomaly_writer("v", lambda batch, n: batch.count(), str(tmp_path / "t"), "i", ["k"])(table, number)
+    assert {p.name for p in shared.glob("settled-*")} == before
