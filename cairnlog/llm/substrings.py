@@ -24,7 +24,7 @@ def remove_repeats(
     key: str = "doc_id",
     text: str = "text",
     length: int = 400,
-    group_limit: int = 4000,
+    group_limit: int = 32_768,
 ) -> DataFrame:
     """``df`` without ``text``, plus n_bytes, n_removed, n_spans and kept (binary).
 
@@ -48,7 +48,21 @@ def remove_repeats(
     )
     refined = _refine(df, key, text, shared.where("mixed"), length, gram, group_limit)
     intervals = agreed.unionByName(refined).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    return _apply(df, key, text, settle(intervals))
+    return _apply(df, key, text, settle(intervals.mapInArrow(_merged, intervals.schema)))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching runs of a text as one: few are left, so few are sent to the texts."""
+    for batch in batches:
+        lists = batch["runs"]
+        sizes = pa.compute.list_value_length(lists).to_numpy()
+        flat = lists.flatten()
+        both = np.stack([flat.field("start").to_numpy(), flat.field("end").to_numpy()], axis=1)
+        parts = [cover(x, 2**62) for x in np.split(both, np.cumsum(sizes)[:-1])] if len(sizes) else []
+        ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype("i4")
+        values = np.concatenate(parts) if parts else np.empty((0, 2), np.int64)
+        runs = pa.StructArray.from_arrays([pa.array(values[:, 0]), pa.array(values[:, 1])], names=["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch["k_id"], batch["k_text"], pa.ListArray.from_arrays(pa.array(ends), runs)], names=[*_KEY, "runs"])
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -115,7 +129,7 @@ def _contexts(df: DataFrame, key: str, text: str, classes: DataFrame, length: in
     wanted = classes.groupBy(*_KEY).agg(F.collect_list(F.struct("bucket", "span", "copies", "position")).alias("wanted"))
     wanted = settle(wanted)
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("wanted")).alias("m")).first()
-    small = broadcast_if_small(wanted, size["n"] + (size["m"] or 0), 64)
+    small = broadcast_if_small(wanted, size["n"] + (size["m"] or 0), 40)
     source = _keyed(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text).join(small, _KEY)
     source = source.select(text_or_empty(text).alias("t"), "wanted")
 
@@ -202,7 +216,7 @@ def mix_parts(bucket: np.ndarray, part: np.ndarray, back: np.ndarray, window: np
 def _apply(df: DataFrame, key: str, text: str, intervals: DataFrame) -> DataFrame:
     names = [n for n in fresh_names(df, ADDED) if n != text]
     size = intervals.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("runs")).alias("m")).first()
-    small = broadcast_if_small(intervals, 2 * size["n"] + (size["m"] or 0), 40)
+    small = broadcast_if_small(intervals, 2 * size["n"] + (size["m"] or 0), 24)
     # names of the input stay apart from the key's, whatever they are called
     source = df.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("r"), F.col(f"`{key}`").alias("id"), text_or_empty(text).alias("t"))
     source = _keyed(source, "id", "t").join(small, _KEY, "left").select("r.*", "t", "runs")

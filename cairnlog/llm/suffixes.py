@@ -118,16 +118,11 @@ def repeated_windows(
     window that holds them.
     """
     reach = length - gram
-    table = np.zeros((len(contexts), reach + length), np.uint8)
     right = np.array([len(c) for c in contexts]) - left
-    for row, (context, before) in enumerate(zip(contexts, left.tolist(), strict=True)):
-        table[row, reach - before : reach - before + len(context)] = np.frombuffer(context, np.uint8)
-    powers = _power_tables(reach + length + 1)
-    prefix = np.zeros((len(contexts), reach + length + 1), np.uint64)
-    np.cumsum(_BYTE[table] * powers[0, : reach + length], axis=1, out=prefix[:, 1:])
-    grams = mix((prefix[:, gram:] - prefix[:, :-gram]) * powers[1, : reach + length + 1 - gram])
-    starts = reach - np.arange(reach + 1)
-    pair = mix(grams[:, starts] * np.uint64(3) + grams[:, starts + length - gram])
+    pair = np.empty((len(contexts), reach + 1), np.uint64)
+    for first in range(0, len(contexts), 1024):  # hashes of a few contexts at a time bound the memory
+        some = slice(first, first + 1024)
+        pair[some] = _window_ids(contexts[some], left[some].tolist(), length, gram)
     ids = mix(pair ^ mix(bucket)[:, None]) + np.arange(reach + 1, dtype=np.uint64) * _BASE
     back = np.arange(reach + 1)
     exists = (back <= left[:, None]) & (length - back <= right[:, None])
@@ -142,6 +137,20 @@ def repeated_windows(
     return exists, repeats, pair
 
 
+def _window_ids(contexts: list[bytes], left: list[int], length: int, gram: int) -> np.ndarray:
+    """Identifiers of the windows that begin 0, 1, 2, ... bytes before the anchor."""
+    reach = length - gram
+    table = np.zeros((len(contexts), reach + length), np.uint8)
+    for row, (context, before) in enumerate(zip(contexts, left, strict=True)):
+        table[row, reach - before : reach - before + len(context)] = np.frombuffer(context, np.uint8)
+    powers = _power_tables(reach + length + 1)
+    prefix = np.zeros((len(contexts), reach + length + 1), np.uint64)
+    np.cumsum(_BYTE[table] * powers[0, : reach + length], axis=1, out=prefix[:, 1:])
+    grams = mix((prefix[:, gram:] - prefix[:, :-gram]) * powers[1, : reach + length + 1 - gram])
+    starts = reach - np.arange(reach + 1)
+    return mix(grams[:, starts] * np.uint64(3) + grams[:, starts + length - gram])
+
+
 def cover(intervals: np.ndarray, n: int) -> np.ndarray:
     """Disjoint maximal runs of the union of (start, end) intervals within 0 to n."""
     if not len(intervals):
