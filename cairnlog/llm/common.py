@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_folder
 
 #: Column names the operators add for themselves; an input column of that name is refused.
 HIDDEN = "__llm_"
@@ -83,12 +82,16 @@ def slices(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder (lineage is cut, rows are kept)."""
-    folder = shared_folder(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def least_hashes(df: DataFrame, column: str, tie: Column, n: int, rows: int) -> list:
+    """The ``n`` rows of ``df`` (of ``rows``) with the least hashes in ``column``: a sample that no plan or size changes.
+
+    Only hashes below a limit that some 2 n rows are expected to have are looked
+    at, so what tasks send to the driver does not grow with their number.
+    """
+    if rows > 4 * n:
+        limit = -(2**63) + 2**64 * 2 * n // rows
+        df = df.where(F.col(column) < limit)
+    return df.orderBy(column, tie).limit(n).collect()
 
 
 def partitions(spark: SparkSession) -> int:

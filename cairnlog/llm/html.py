@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_names, slices, text_or_empty, with_fields
+from .common import fresh_names, least_hashes, slices, text_or_empty, with_fields
 from .trees import Boosted, boost
 
 # fixed values: elements of HTML by how they are laid out or closed
@@ -360,7 +360,7 @@ def learn(df: DataFrame, key: str = "page_id", html: str = "html", sample: int =
     """
     source = df.select(F.xxhash64(F.col(f"`{key}`")).alias("h"), text_or_empty(html).alias("t"))
     marked = source.where(F.col("t").rlike("(?i)<(article|main)[\\s>]"))
-    rows = marked.orderBy("h", F.xxhash64("t")).limit(sample).collect()
+    rows = least_hashes(marked, "h", F.xxhash64("t"), sample, marked.count())
     return fit(list(dict.fromkeys(r["t"] for r in rows)))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_names, slices, text_or_empty, with_fields
+from .common import fresh_names, least_hashes, slices, text_or_empty, with_fields
 from .recurrent import REST, Network, codes, decode, train
 from .syncmers import code_points
 
@@ -78,8 +78,10 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     """
     texts = df.select(F.xxhash64(F.col(f"`{key}`")).alias("h"), text_or_empty(text).alias("t"))
     marked = F.col("t").rlike("[0-9@]")
+    counts = texts.agg(F.count_if(marked).alias("marked"), F.count_if(~marked).alias("plain")).first()
     picked = [
-        texts.where(which).orderBy("h", F.xxhash64("t")).limit(n).collect() for which, n in ((marked, sample), (~marked, sample // 3))
+        least_hashes(texts.where(which), "h", F.xxhash64("t"), n, rows)
+        for which, n, rows in ((marked, sample, counts["marked"]), (~marked, sample // 3, counts["plain"]))
     ]
     return fit(*(list(dict.fromkeys(r["t"] for r in rows)) for rows in picked))
 

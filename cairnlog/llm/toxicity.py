@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chain import marginals, pair_counts
-from .common import fresh_names, slices, text_or_empty, with_fields
+from .common import fresh_names, least_hashes, slices, text_or_empty, with_fields
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Words whose scores a worker remembers before it starts anew.
@@ -101,7 +101,12 @@ def train(
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     known = known.select(F.col(key).cast("bigint").alias("k"), F.col(label).cast("int").alias("y")).distinct()
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class).collect()]
+    known = known.withColumn("h", F.xxhash64("k"))
+    picked = [
+        (r["k"], r["y"])
+        for y in (0, 1)
+        for r in least_hashes(known.where(F.col("y") == y), "h", F.col("k"), per_class, shares.get(y, 0))
+    ]
     if not picked:
         return Model({}, np.zeros(2), np.zeros((2, 2)), np.array([-20.0, 0.0, 0.0]))
     ids = docs.sparkSession.createDataFrame(picked, "k bigint, y int")  # at most 2 x per_class rows
