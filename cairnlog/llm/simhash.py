@@ -283,8 +283,13 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", distance:
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each component: the one with its least key; all columns stay."""
+    """``df`` with one row of each component: the one with its least key; all columns stay.
+
+    Rows that share that key are not told apart and stay together; rows without a
+    key stay, since nothing names them.
+    """
     found = components(df, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("__llm_k")).distinct()
     keep = settle(found)
     own = F.col(f"`{key}`").cast("bigint") == F.col("__llm_k")
-    return df.join(broadcast_if_small(keep, keep.count(), 32), own, "left_semi")
+    kept = df.join(broadcast_if_small(keep, keep.count(), 32), own, "left_semi")
+    return kept.unionByName(df.where(F.col(f"`{key}`").isNull()))

@@ -110,8 +110,8 @@ def train(
     if not picked:
         return Model({}, np.zeros(2), np.zeros((2, 2)), np.array([-20.0, 0.0, 0.0]))
     ids = docs.sparkSession.createDataFrame(picked, "k bigint, y int")  # at most 2 x per_class rows
-    found = docs.join(F.broadcast(ids), F.col(f"`{key}`").cast("bigint") == F.col("k"))
-    rows = found.select("k", text_or_empty(text).alias("t"), "y").toPandas().sort_values(["k", "t"])
+    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), text_or_empty(text).alias("t"))
+    rows = texts.join(F.broadcast(ids), "k").toPandas().sort_values(["k", "t"])
     rows = rows.drop_duplicates("t")
     return fit([tokens(t) for t in rows["t"]], rows["y"].to_numpy(), shares)
 

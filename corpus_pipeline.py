@@ -17,8 +17,10 @@ from cairnlog.session import ship_package, workspace
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of one half or more go; learned from the labelled ones among ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return scored.where("score < 0.5").select(*docs.columns)
+    # columns of the input that are called like the operator's own wait under other names
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("score", "spans")}
+    scored = toxicity.score(docs.withColumnsRenamed(own), toxicity.train(docs, labels))
+    return scored.where("score < 0.5").select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,21 @@ def test_stages_take_effect(spark, docs, tmp_path):
         before = after
 
 
+def test_stages_handle_odd_rows(spark, odd):
+    from pyspark.sql import functions as F
+
+    before = odd.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, SF)
+        if name == "packing":
+            assert after.agg(F.sum("length")).first()[0] > 0
+        else:
+            assert after.columns == before.columns
+            assert after.where("score = 7").count() == 1
+            assert stage(spark, before.limit(0), SF).collect() == []
+            before = after
+
+
 def test_run(spark):
     result = corpus_pipeline.run(spark, SF)
     assert result.columns[:3] == ["doc_id", "start", "length"] and result.count() > 0
