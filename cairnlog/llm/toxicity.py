@@ -144,18 +144,27 @@ def fit(texts: list[list[str]], y: np.ndarray, shares: dict[int, int], rounds: i
 
 def explain(toxic: list[set[str]], clean: list[set[str]], least: int = 3, precision: float = 0.97) -> set[str]:
     """Features that explain toxic documents, best first, each for documents not yet explained."""
-    kinds = ("w ", "p ")
-    of = [{f for w in d for f in features(w) if f.startswith(kinds)} for d in toxic]
-    against: dict[str, int] = {}
+    def marks_of(words: set[str]) -> set[str]:
+        return {f for w in words for f in features(w) if f[0] in "wp"}
+
+    # rare features go before anything is kept for them
+    counts: dict[str, int] = {}
+    for d in toxic:
+        for f in marks_of(d):
+            counts[f] = counts.get(f, 0) + 1
+    pro: dict[str, list[int]] = {f: [] for f, n in counts.items() if n >= least}
+    del counts
+    against = dict.fromkeys(pro, 0)
+    for i, d in enumerate(toxic):
+        for f in marks_of(d):
+            if f in pro:
+                pro[f].append(i)
     for d in clean:
-        for f in {f for w in d for f in features(w) if f.startswith(kinds)}:
-            against[f] = against.get(f, 0) + 1
-    pro: dict[str, list[int]] = {}
-    for i, d in enumerate(of):
-        for f in d:
-            pro.setdefault(f, []).append(i)
+        for f in marks_of(d):
+            if f in against:
+                against[f] += 1
     scale = len(toxic) / len(clean)
-    pure = {f: np.array(i) for f, i in pro.items() if len(i) >= least and len(i) / (len(i) + scale * against.get(f, 0)) >= precision}
+    pure = {f: np.array(i) for f, i in pro.items() if len(i) / (len(i) + scale * against[f]) >= precision}
     left, marks = np.ones(len(toxic), bool), set()
     # greedy cover with stale bounds: a feature's gain only falls
     heap = [(-len(i), -len(f), f) for f, i in pure.items()]
