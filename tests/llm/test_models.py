@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import collections
 import itertools
 import re
 
@@ -123,6 +124,39 @@ def test_loss_difference_by_hand(spark, docs, nothing):
     assert lm.score(empty, empty, queries.BYTE_FILE, queries.BYTE_RANKS).collect() == []
 
 
+def test_every_subword_and_its_bigrams_count(spark):
+    rare = [f"zq{a}{b}vx" for a in "abcdefghij" for b in "klmnopqrst"]
+    common = "the quick brown fox jumps over the lazy dog and runs away from it again "
+    rows = [(i, common * 20 + f" {w} Ж{chr(0x410 + i % 32)} 日本 {w[::-1]}", i % 2 == 0) for i, w in enumerate(rare)]
+    rows += [(1000, " ".join(rare[0::2]), False), (1001, " ".join(rare[1::2]), False), (None, None, None)]
+    marked = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean")
+    got = {r.doc_id: r for r in lm.score(marked, marked.where("is_target"), queries.BYTE_FILE, queries.BYTE_RANKS).collect()}
+    bpe = byte_bpe(queries.BYTE_FILE, queries.BYTE_RANKS)
+    pairs = {key: list(itertools.pairwise([-1, *bpe.ids(text or "").tolist()])) for key, text, _ in rows}
+    both = {side: collections.Counter(p for key, _, t in rows if t or not side for p in pairs[key]) for side in (True, False)}
+    before, single = ({s: collections.Counter() for s in both} for _ in range(2))
+    for side, table in both.items():
+        for (h, w), n in table.items():
+            before[side][h] += n
+            single[side][w] += n
+
+    def loss(side, h, w):
+        share = (single[side][w] + 1) / (single[side].total() + bpe.size + 1)
+        return -np.log((both[side][h, w] + 50 * share) / (before[side][h] + 50))
+
+    for key in pairs:
+        t, b = (np.mean([loss(s, *p) for p in pairs[key]]) if pairs[key] else 0.0 for s in (True, False))
+        assert got[key].n_tokens == len(pairs[key])
+        assert got[key].target_loss == pytest.approx(t) and got[key].background_loss == pytest.approx(b)
+    assert got[1000].score < got[1001].score
+    table = lm.counts(lm.block_counts(lm.encoded(marked, ["doc_id"], "is_target", *_all_classes(bpe), queries.BYTE_FILE, queries.BYTE_RANKS, "text"), "<u2", bpe.size + 1))
+    assert {(r.previous - 1, r.current - 1): (r.target, r.every) for r in table.collect()} == {p: (both[True][p], n) for p, n in both[False].items()}
+
+
+def _all_classes(bpe):
+    return np.arange(1, bpe.size + 1), "<u2"
+
+
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
