@@ -18,8 +18,8 @@ WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited text."""
-    found = syncmers.with_neighbours(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every anchor of every text and of its edited text, and likeness over all of them."""
+    found = syncmers.with_neighbours(read(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return found.select(
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )

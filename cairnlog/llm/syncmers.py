@@ -3,8 +3,9 @@
 A k-mer of code points is chosen if the least of its inner s-mers stands first or
 last in it.  That depends on the k-mer alone, so a choice is the same wherever
 the k-mer occurs: shared passages keep their anchors, whatever stands around.
-The fingerprint is the bottom sketch of the chosen k-mers' hashes: exact for
-small sets, and of the same size for any text.
+The fingerprint is the list of all chosen k-mers with their positions, and two
+texts are compared over all of them.  The bottom sketch of their hashes, of the
+same size for any text, is a short form that only estimates the likeness.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import partitions, text_or_empty
 from .suffixes import Rolling, mix, sliding_least
 
 K, S, SLOTS = 20, 10, 128
+#: Characters of text whose results are handed on together; their lists are some nine times as long.
+BATCH = 2_000_000
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -63,8 +66,12 @@ def sketch(hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     return np.unique(values)[:slots]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, slots: int = SLOTS) -> float:
-    """Estimated share of common syncmers, 0 to 1 (exact while both have at most ``slots``); two empty texts are alike."""
+def likeness(a: np.ndarray, b: np.ndarray, slots: int | None = SLOTS) -> float:
+    """Share of common syncmers of two sets, 0 to 1; two empty texts are alike.
+
+    Of sketches it is an estimate (exact while both have at most ``slots``), of
+    whole sets, with ``slots`` None, it is exact.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.union1d(a, b)[:slots]
@@ -76,6 +83,19 @@ def shown(values: np.ndarray) -> str:
     return values.astype(">u4").tobytes().hex()
 
 
+def listed(places: np.ndarray, hashes: np.ndarray) -> str:
+    """All anchors in order as text: 24 hexadecimal digits each, 8 of the position and 16 of the hash."""
+    rows = np.empty(len(places), [("position", ">u4"), ("hash", ">u8")])
+    rows["position"], rows["hash"] = places, hashes
+    return rows.tobytes().hex()
+
+
+def unlisted(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """The (position, hash) that ``listed`` wrote."""
+    rows = np.frombuffer(bytes.fromhex(fingerprint), [("position", ">u4"), ("hash", ">u8")])
+    return rows["position"].astype(np.int64), rows["hash"].astype(np.uint64)
+
+
 def anchors(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:
     """(doc_id, position, hash) of every closed syncmer: for matching passages by position.
 
@@ -93,15 +113,16 @@ def anchors(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     return source.mapInArrow(run, "doc_id bigint, position bigint, hash bigint")
 
 
-def with_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", blocks_per_partition: int = 4) -> DataFrame:
+def with_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", blocks_per_partition: int = 4, whole: bool = False) -> DataFrame:
     """Fingerprint each text, its edited text, and compare with the next document's.
 
     The edited text has its last floor(n/2) code points replaced by the first as
     many (or all) of the next document in ascending key order; after the last
     comes the first.  Gives doc_id, n_chars, edited_text, fingerprint,
-    edited_fingerprint, near_edited, near_next.  Null texts are empty; null keys
-    come last; rows with equal keys follow each other by text; other columns are
-    not read; an empty table gives an empty table.
+    edited_fingerprint, near_edited, near_next: with ``whole`` the list of all
+    anchors and the likeness of the whole sets, else sketches and estimates.
+    Null texts are empty; null keys come last; rows with equal keys follow each
+    other by text; other columns are not read; an empty table gives an empty table.
 
     Documents are dealt once, in ranges of keys.  Range limits are keys that
     exist, so the row after a range is the row at the next limit, and only those
@@ -129,19 +150,28 @@ def with_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", bloc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # the document whose next one is to come
         names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            made = list(zip(*rows, strict=True)) or [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], names=names)
+
         for batch in batches:
-            rows = []
-            for copy, doc_id, text in zip(*(batch[c].to_pylist() for c in ("copy", "doc_id", "t")), strict=True):
+            rows, held = [], 0
+            for copy, doc_id, text in zip(*(batch[c] for c in ("copy", "doc_id", "t")), strict=True):
+                copy, doc_id, text = copy.as_py(), doc_id.as_py(), text.as_py()
                 if last is None and copy:
                     continue  # further rows with the key of the first one
                 points = code_points(text)
-                own = sketch(syncmers(points)[1])
+                own = _fingerprint(points, whole)
                 if last is not None:
-                    rows.append(_compared(last, text, points, own))
+                    rows.append(_compared(last, text, points, own, whole))
+                    held += len(last[2])
+                    if held > BATCH:
+                        yield table(rows)
+                        rows, held = [], 0
                 last = None if copy else (doc_id, text, points, own)
-            made = list(zip(*rows, strict=True)) or [[] for _ in names]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], names=names)
+            yield table(rows)
 
     return ordered.mapInArrow(
         run,
@@ -150,12 +180,22 @@ def with_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", bloc
     )
 
 
-def _compared(last: tuple, text: str, points: np.ndarray, following: np.ndarray) -> tuple:
+def _fingerprint(points: np.ndarray, whole: bool) -> tuple[str, np.ndarray]:
+    """A text's fingerprint as shown, and the set of hashes it is compared by."""
+    places, hashes = syncmers(points)
+    if whole:
+        return listed(places, hashes), np.unique(hashes)
+    own = sketch(hashes)
+    return shown(own), own
+
+
+def _compared(last: tuple, text: str, points: np.ndarray, following: tuple, whole: bool) -> tuple:
     doc_id, own_text, own_points, own = last
     half = len(own_points) // 2
     edited = own_text[: len(own_points) - half] + text[:half]
     edited_points = np.concatenate((own_points[: len(own_points) - half], points[:half]))
-    changed = sketch(syncmers(edited_points)[1])
+    changed = _fingerprint(edited_points, whole)
+    slots = None if whole else SLOTS
     return (
-        doc_id, len(own_points), edited, shown(own), shown(changed), likeness(own, changed), likeness(own, following),
+        doc_id, len(own_points), edited, own[0], changed[0], likeness(own[1], changed[1], slots), likeness(own[1], following[1], slots),
     )

@@ -5,8 +5,11 @@ import collections
 import numpy as np
 import pytest
 
+from cairnlog.llm import queries
 from cairnlog.llm import syncmers as S
 
+from .conftest import SF
+
 
 def _plain(text: str, k: int, s: int) -> list[int]:
     """Closed syncmers by the definition, with the module's own hash of s-mers."""
@@ -73,6 +76,40 @@ def test_neighbours(spark, docs, odd, nothing):
     assert S.with_neighbours(nothing).collect() == []
 
 
+def test_whole_fingerprints(spark, nothing):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared, long = word(1000), word(200_000)
+    texts = [long, long[:100_000] + shared + long[101_000:], word(80_000) + shared + word(80_000), "", "naïve 日本語 😀 and so on"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in S.with_neighbours(table, whole=True).collect()}
+    found = [S.syncmers(S.code_points(t)) for t in texts]
+    for i, (at, hashes) in enumerate(found):
+        places, kept = S.unlisted(got[i].fingerprint)
+        assert places.tolist() == at.tolist() and kept.tolist() == hashes.tolist()
+        a, b = set(hashes.tolist()), set(found[(i + 1) % len(texts)][1].tolist())
+        assert got[i].near_next == (len(a & b) / len(a | b) if a and b else float(a == b))
+        places, kept = S.unlisted(got[i].edited_fingerprint)
+        at, hashes = S.syncmers(S.code_points(got[i].edited_text))
+        assert places.tolist() == at.tolist() and kept.tolist() == hashes.tolist()
+        assert got[i].near_edited == S.likeness(np.unique(found[i][1]), np.unique(hashes), None)
+    assert got[0].fingerprint != got[1].fingerprint and got[0].near_next < 1.0
+    assert got[1].near_next > 0.0
+    # the passage is found by position: anchors in common lie the same distance apart
+    (p, a), (q, b) = (S.unlisted(got[i].fingerprint) for i in (1, 2))
+    where = dict(zip(a.tolist(), p.tolist(), strict=True))
+    assert {where[h] - at for h, at in zip(b.tolist(), q.tolist(), strict=True) if h in where} == {100_000 - 80_000}
+    assert S.with_neighbours(nothing, whole=True).collect() == []
+
+
+def test_the_query_keeps_every_anchor(spark, docs):
+    rows = {r.doc_id: r for r in queries.op1_syncmer_fingerprints(spark, SF).collect()}
+    for r in docs.limit(40).collect():
+        at, hashes = S.syncmers(S.code_points(r.text or ""))
+        places, kept = S.unlisted(rows[r.doc_id].fingerprint)
+        assert places.tolist() == at.tolist() and kept.tolist() == hashes.tolist()
+
+
 def test_anchor_table(spark, odd, nothing):
     rows = S.anchors(odd).where("doc_id = 1").collect()
     at, _ = S.syncmers(S.code_points("the same text, again and again"))
