@@ -167,6 +167,7 @@ def network_spans(net: Network, texts: list[str], lanes: int = LANES) -> list[li
         table[at : at + n, lane] = data[i][low : low + n]
     e = net.emissions(table)
     gain, cost = _bound(net, e)
+    enter, leave = _edges(net)
     own_pieces: dict[int, list[int]] = {}
     for p, (i, _, _) in enumerate(pieces):
         own_pieces.setdefault(i, []).append(p)
@@ -177,6 +178,8 @@ def network_spans(net: Network, texts: list[str], lanes: int = LANES) -> list[li
             _, low, n = pieces[p]
             first = 0 if low == 0 else MARGIN  # the margin's scores come from the window before
             sums[low + first : low + n] = gain[lane, at + first : at + n]
+        sums[0] += enter
+        sums[-1] += leave
         np.cumsum(sums, out=sums)
         least = np.minimum.accumulate(np.minimum(sums, 0.0))
         live = np.flatnonzero(sums - least > cost)
@@ -202,6 +205,17 @@ def _bound(net: Network, e: np.ndarray) -> tuple[np.ndarray, float]:
     return np.ascontiguousarray(gain.T), float(cost)
 
 
+def _edges(net: Network) -> tuple[float, float]:
+    """What ``_bound`` asks too much of a span that begins at a text's first character, and of one that ends at its last.
+
+    The first has the scores of a beginning in place of a move from outside, the
+    second no move to outside.
+    """
+    inner, outside = net.move[1:, 1:].max(axis=0), net.move[0, 0]
+    enter = (net.first[1:] - net.first[0] - inner).max() - (net.move[0, 1:] - inner).max() + outside
+    return max(float(enter), 0.0), max(float(outside - net.move[1:, 0].max()), 0.0)
+
+
 def _spans(net: Network, scores: np.ndarray, live: np.ndarray, since: np.ndarray, around: int = 64) -> list[tuple[int, int, int]]:
     """Decode only where spans can be: from where their sum began to rise to where it is high, and ``around`` it."""
     out = []

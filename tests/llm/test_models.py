@@ -254,6 +254,28 @@ def test_network_finds_what_patterns_label(network):
     assert base[0] == own and set(own) <= set(both[0])
 
 
+def test_spans_at_the_edges_of_a_text_are_not_pruned():
+    rng = np.random.default_rng(11)
+    edges = 0
+    for _ in range(150):
+        net = recurrent.Network.random(len(pii.KINDS) + 1, 6, 4, rng)
+        net.bias[0] = 0.2
+        net.move[0, 1:] = net.move[1:, 0] = -2.0
+        net.move[1:, 1:] -= 3.0 * (1 - np.eye(len(pii.KINDS)))
+        net.first[1:] = rng.normal(size=len(pii.KINDS))
+        text = "".join(rng.choice(list("ab1@ .-+"), 30))
+        tags = recurrent.decode(net.emissions(_codes(text)[:, None])[:, :, 0], net.move, net.first)
+        cuts = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), len(tags)]
+        want = [(a, b, int(tags[a]) - 1) for a, b in itertools.pairwise(cuts) if tags[a]]
+        edges += any(a == 0 or b == len(text) for a, b, _ in want)
+        assert pii.network_spans(net, [text])[0] == want
+    assert edges > 20
+
+
+def _codes(text):
+    return pii.codes(pii.code_points(text))
+
+
 def test_find_and_mask(spark, odd, nothing, network):
     rows = {r.doc_id: r for r in pii.find(odd, network).collect() if r.doc_id}
     assert [(s.kind, s.start) for s in rows[9].base_spans] == [("phone", 26), ("email", 44)]
