@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chain import marginals, pair_counts
@@ -91,12 +91,13 @@ def held_out(key: Column) -> Column:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, per_key: int = 4
 ) -> Model:
     """Fit on labelled rows that are not held out: at most ``per_class`` documents of each label.
 
     Which ones is decided by a hash of the key, the same at every size.  Rows
-    without key or label are not used; equal texts are used once.
+    without key or label are not used; equal texts are used once.  Of a key that
+    repeats, the ``per_key`` texts with the least hashes are used.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     known = known.select(F.col(key).cast("bigint").alias("k"), F.col(label).cast("int").alias("y")).distinct()
@@ -111,7 +112,10 @@ def train(
         return Model({}, np.zeros(2), np.zeros((2, 2)), np.array([-20.0, 0.0, 0.0]))
     ids = docs.sparkSession.createDataFrame(picked, "k bigint, y int")  # at most 2 x per_class rows
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), text_or_empty(text).alias("t"))
-    rows = texts.join(F.broadcast(ids), "k").toPandas().sort_values(["k", "t"])
+    # a key may have any number of rows: each task keeps its first few of a key before they meet
+    own = Window.partitionBy("k", "y").orderBy(F.xxhash64("t"), "t")
+    rows = texts.join(F.broadcast(ids), "k").dropDuplicates(["k", "y", "t"]).withColumn("r", F.row_number().over(own))
+    rows = rows.where(F.col("r") <= per_key).toPandas().sort_values(["k", "t"])
     rows = rows.drop_duplicates("t")
     return fit([tokens(t) for t in rows["t"]], rows["y"].to_numpy(), shares)
 

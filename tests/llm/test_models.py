@@ -92,6 +92,17 @@ def test_held_out_labels_are_not_used(spark, docs):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_a_repeated_key_gives_few_texts_to_training(spark, monkeypatch):
+    rows = [(1, f"text number {i}") for i in range(300)] + [(1, "text number 1")] * 50 + [(2, "another one"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, shares: got.append((len(texts), y.tolist())))
+    monkeypatch.setattr(toxicity, "held_out", lambda key: F.lit(False))
+    toxicity.train(docs, labels)
+    assert got == [(6, [1] * 4 + [0] * 2)]
+
+
 def test_loss_difference_by_hand(spark, docs, nothing):
     marked = docs.select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("is_target")).unionByName(
         spark.createDataFrame([(None, None, None), (10**6, "", True)], "doc_id long, text string, is_target boolean")
