@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from . import bpe, exact, html, lm, packing, pii, simhash, substrings, syncmers, toxicity
+from . import bpe, exact, html, licenses, lm, packing, pii, runs, simhash, substrings, syncmers, toxicity, trie
 from .common import read
 
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -108,6 +108,43 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the conversations after each got its beginning from the first of its hundred."""
+    turns, members = trie.rebuilt(trie.numbered(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return trie.prefix_trie(turns, members)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every text, every tenth of which repeats its end."""
+    docs = runs.planted(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_license_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases in every text, and the labels of templates that accept a stretch of it."""
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, more = (F.transform(c, lambda x: x["label"]) for c in ("places", "stretches"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["start"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p["start"])).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -121,6 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_simhash_components,
         op10_personal_data,
+        op11_prefix_trie,
+        op12_periodic_runs,
+        op13_license_wording,
     )
 }
 
