@@ -9,14 +9,14 @@ has more of them than one task should hold, the time axis is cut: see
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,6 @@ from ..session import broadcast_if_small, settle, ship_package
 from .blocks import earliest
 from .predicates import Predicate, condition, entry_time
 
-TICKS_PER_TASK = 8_000_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -59,7 +57,7 @@ def evaluate_rules(
     rules: Sequence[Rule],
     timestamp: str = "timestamp",
     order_by: Sequence[str] | str | None = None,
-    ticks_per_task: int = TICKS_PER_TASK,
+    blocks: int | None = None,
     ready: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """The alerts: entries that fire a rule, with rule_no, rule, fired_at, channels.
@@ -94,7 +92,7 @@ def evaluate_rules(
         if ready:
             cooling = [(F.col("rule_no") == no) & (F.col("_t") < at) for no, at in ready.items()]
             known = known.where(~reduce(or_, cooling))
-        fires = settle(fire_times(known.select("rule_no", "_t", "_cooldown"), ticks_per_task))
+        fires = settle(fire_times(known.select("rule_no", "_t", "_cooldown"), blocks))
         firing = known.join(fires, ["rule_no", "_t"])
         firing = firing.select(*[F.col(c).alias(f"_f_{c}") for c in ("rule_no", "_t")], *[F.col(f"_first.{c}").alias(f"_f_{c}") for c in keys])
         firing = broadcast_if_small(firing, fires.count(), row_bytes=64 + 256 * len(keys))
@@ -123,144 +121,83 @@ def fired_rules(alerts: DataFrame, order_by: Sequence[str] | str | None = None)
     return alerts.groupBy(*order).agg(F.transform(pairs, lambda p: p["rule"]).alias("rules"))
 
 
-def fire_times(ticks: DataFrame, ticks_per_task: int = TICKS_PER_TASK) -> DataFrame:
+def fire_times(ticks: DataFrame, blocks: int | None = None) -> DataFrame:
     """Which of the match times (rule_no, _t, _cooldown; distinct) fire: (rule_no, _t).
 
-    Few enough per rule: one fold per rule.  Otherwise time is cut into cells of
-    one cooldown, and cells into groups of a size a task can hold.  Going up, a
-    group is reduced to a map from each possible first fire to the last fire it
-    leads to; only fires in the group's first cell can start it, so each round
-    leaves a fraction of the rows.  Going down, the known first fire of a group
-    gives the first fire of each part.  Every row keeps its exact time.
+    Every time points to the next one at least a cooldown later; the fires are the
+    times that a rule's first one leads to.  Times are dealt in blocks of their
+    order.  Inside a block pointers are followed at once, so a block is left with
+    the times at which an earlier block can enter it, those of its first cooldown,
+    each with the time from which on the rule may fire again.  The entries of all
+    blocks are linked, and the links are doubled by joins until they lead nowhere:
+    a number of rounds logarithmic in the blocks, for all rules together.  However
+    the times lie, a task holds one block.  ``blocks`` defaults to the session's
+    shuffle partitions.
     """
     ship_package(ticks.sparkSession)
-    largest = ticks.groupBy("rule_no").count().agg(F.max("count")).first()[0] or 0
-    if largest <= ticks_per_task:
-        return ticks.groupBy("rule_no").applyInPandas(_fold_rule, "rule_no int, _t long")
-
-    start = ticks.groupBy("rule_no").agg(F.min("_t").alias("_t0"))
-    celled = ticks.join(F.broadcast(start), "rule_no").select(
-        "rule_no",
-        F.expr("(_t - _t0) div _cooldown").alias("cell"),
-        "_t",
-        F.col("_t").alias("last"),
-        "_cooldown",
-    )
-    level = settle(celled)
-    facts = level.groupBy("rule_no", "cell").count().agg(F.max("count"), F.max("cell")).first()
-    crowd, last_cell = facts[0], facts[1]
-    fan_in = ticks_per_task // crowd
-    if fan_in < 2:
-        return _fold_in_order(ticks)
-    levels = [level]
-    while last_cell > 0:
-        last_cell //= fan_in
-        level = settle(
-            level.withColumn("part", F.col("cell"))
-            .withColumn("cell", F.expr(f"cell div {fan_in}"))
-            .groupBy("rule_no", "cell")
-            .applyInPandas(_reduce_group, level.schema)
-        )
-        levels.append(level)
-    # One group per rule is left; nothing fired before it.
-    entry = start.select("rule_no", F.lit(0).cast("long").alias("cell"), F.col("_t0").alias("ready"))
-    for level in reversed(levels[:-1]):
-        parts = level.withColumn("part", F.col("cell")).withColumn("cell", F.expr(f"cell div {fan_in}"))
-        entry = settle(
-            parts.join(entry, ["rule_no", "cell"])
-            .groupBy("rule_no", "cell")
-            .applyInPandas(_enter_parts, "rule_no int, cell long, ready long")
-        )
-    return entry.select("rule_no", F.col("ready").alias("_t"))
-
-
-def next_fires(times: np.ndarray, cooldown: int, ready: int | None = None) -> np.ndarray:
-    """Positions that fire in ascending, distinct times; none before ``ready``."""
-    fired: list[int] = []
-    at = 0 if ready is None else int(np.searchsorted(times, ready))
-    if at == len(times):
-        return np.array(fired, dtype=np.int64)
-    following = np.searchsorted(times, times + cooldown).tolist()
-    while at < len(times):
-        fired.append(at)
-        at = following[at]
-    return np.array(fired, dtype=np.int64)
-
-
-def _fold_rule(group: pd.DataFrame) -> pd.DataFrame:
-    times = np.sort(group["_t"].to_numpy())
-    fired = times[next_fires(times, int(group["_cooldown"].iloc[0]))]
-    return pd.DataFrame({"rule_no": group["rule_no"].iloc[0], "_t": fired})
-
-
-def _parts(group: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(part, ascending times, last fire each leads to), in order of the parts."""
-    group = group.sort_values(["part", "_t"])
-    return [
-        (int(part), rows["_t"].to_numpy(), rows["last"].to_numpy()) for part, rows in group.groupby("part")
-    ]
-
-
-def _reduce_group(group: pd.DataFrame) -> pd.DataFrame:
-    """First fires of the group, each with the last fire it leads to.
-
-    Parts are chained from the last to the first.  A chain that enters later
-    than the first part does so at the first time of what follows it.
+    order = ["rule_no", "_t"]
+    spread = ticks.repartitionByRange(blocks, *order) if blocks else ticks.repartitionByRange(*order)
+    dealt = settle(spread.withColumn("block", F.spark_partition_id()))
+    inside = dealt.groupBy("rule_no", "block")
+    entries = settle(inside.applyInPandas(_entries, "rule_no int, block int, _t long, ready long"))
+    marked = settle(entries.groupBy("rule_no").agg(F.min("_t").alias("_t")))
+    links = settle(_linked(entries, blocks))
+    while not links.isEmpty():
+        # the fires known so far lead to as many more; at most one entry a rule and block is ever marked
+        ahead = links.join(F.broadcast(marked), order).select("rule_no", F.col("then").alias("_t"))
+        marked = settle(marked.unionByName(ahead))
+        further = links.select("rule_no", F.col("_t").alias("then"), F.col("then").alias("after"))
+        links = settle(links.join(further, ["rule_no", "then"]).select("rule_no", "_t", F.col("after").alias("then")))
+    entered = entries.join(F.broadcast(marked), order, "left_semi").select("rule_no", "block", F.col("_t").alias("entry"))
+    return dealt.join(F.broadcast(entered), ["rule_no", "block"]).groupBy("rule_no", "block").applyInPandas(_fires, "rule_no int, _t long")
+
+
+def _linked(entries: DataFrame, blocks: int | None) -> DataFrame:
+    """(rule_no, _t, then): for each entry the first entry of any block at which its rule may fire again.
+
+    Entries and the times they wait for are dealt together in ranges; what a range
+    does not answer is answered by the first entry of the ranges after it.
     """
-    cooldown = int(group["_cooldown"].iloc[0])
-    times = last = None
-    for _, part_times, part_last in reversed(_parts(group)):
-        if times is None:
-            times, last = part_times, part_last
-            continue
-        follow = np.searchsorted(times, part_last + cooldown)
-        reached = follow < len(times)
-        led = np.where(reached, last[np.minimum(follow, len(times) - 1)], part_last)
-        times, last = np.append(part_times, times[0]), np.append(led, last[0])
+    kinds = [("_t", 1), ("ready", 0)]
+    both = reduce(DataFrame.unionByName, [entries.select("rule_no", F.col(c).alias("at"), F.lit(k).alias("kind")) for c, k in kinds]).distinct()
+    order = ["rule_no", "at", "kind"]
+    spread = both.repartitionByRange(blocks, *order) if blocks else both.repartitionByRange(*order)
+    dealt = settle(spread.withColumn("part", F.spark_partition_id()))
+    entry = F.when(F.col("kind") == 1, F.col("at"))
+    firsts = dealt.groupBy("rule_no", "part").agg(F.min(entry).alias("first"))
+    later = Window.partitionBy("rule_no").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = settle(firsts.withColumn("first", F.min("first").over(later)))
+    own = Window.partitionBy("rule_no", "part").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("own", F.min(entry).over(own)).where("kind = 0").join(F.broadcast(firsts), ["rule_no", "part"])
+    found = found.select("rule_no", F.col("at").alias("ready"), F.coalesce("own", "first").alias("then")).where("then IS NOT NULL")
+    return entries.join(found, ["rule_no", "ready"]).select("rule_no", "_t", "then")
+
+
+def following(times: np.ndarray, cooldown: int) -> np.ndarray:
+    """The position each ascending time points to; the number of times where none is late enough."""
+    return np.searchsorted(times, times + cooldown)
+
+
+def _entries(group: pd.DataFrame) -> pd.DataFrame:
+    """The times of a block's first cooldown and the next one, each with the time its last fire in the block waits for."""
+    times, cooldown = np.sort(group["_t"].to_numpy()), int(group["_cooldown"].iloc[0])
+    n = len(times)
+    last, leads = np.arange(n + 1), np.append(following(times, cooldown), n)
+    while (leads[:n] < n).any():  # as many steps at once as were made before
+        last = np.where(leads < n, last[leads], last)
+        leads = leads[leads]
+    first = min(int(np.searchsorted(times, times[0] + cooldown)) + 1, n)
     return pd.DataFrame(
-        {
-            "rule_no": group["rule_no"].iloc[0],
-            "cell": group["cell"].iloc[0],
-            "_t": times,
-            "last": last,
-            "_cooldown": cooldown,
-        }
-    )
-
-
-def _enter_parts(group: pd.DataFrame) -> pd.DataFrame:
-    """The fire that enters each part of a group, given the one that enters the group."""
-    cooldown = int(group["_cooldown"].iloc[0])
-    ready = int(group["ready"].iloc[0])
-    cells, entries = [], []
-    for part, times, last in _parts(group):
-        at = int(np.searchsorted(times, ready))
-        if at == len(times):
-            continue
-        cells.append(part)
-        entries.append(int(times[at]))
-        ready = int(last[at]) + cooldown
-    return pd.DataFrame({"rule_no": group["rule_no"].iloc[0], "cell": cells, "ready": entries}).astype(
-        {"rule_no": "int32", "cell": "int64", "ready": "int64"}
+        {"rule_no": group["rule_no"].iloc[0], "block": group["block"].iloc[0], "_t": times[:first], "ready": times[last[:first]] + cooldown}
     )
 
 
-def _fold_in_order(ticks: DataFrame) -> DataFrame:
-    """Fold a rule whose single cooldown holds more times than a task should.
-
-    The times stream through in order, one batch in memory, whole batches
-    skipped while the rule cools down.
-    """
-
-    def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[int, int] = {}
-        for batch in batches:
-            for rule_no, rows in batch.groupby("rule_no", sort=False):
-                times, cooldown = rows["_t"].to_numpy(), int(rows["_cooldown"].iloc[0])
-                fired = times[next_fires(times, cooldown, ready.get(rule_no))]
-                if len(fired):
-                    ready[rule_no] = int(fired[-1]) + cooldown
-                    yield pd.DataFrame({"rule_no": np.int32(rule_no), "_t": fired})
-
-    ordered = ticks.repartition("rule_no").sortWithinPartitions("rule_no", "_t")
-    return ordered.mapInPandas(fold, "rule_no int, _t long")
+def _fires(group: pd.DataFrame) -> pd.DataFrame:
+    """The fires of a block that is entered at a known time."""
+    times = np.sort(group["_t"].to_numpy())
+    leads = following(times, int(group["_cooldown"].iloc[0])).tolist()
+    at, fired = int(np.searchsorted(times, group["entry"].iloc[0])), []
+    while at < len(times):
+        fired.append(at)
+        at = leads[at]
+    return pd.DataFrame({"rule_no": group["rule_no"].iloc[0], "_t": times[fired]})

@@ -579,7 +579,7 @@ def alerts_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def alerts_fired_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts(spark, sf_dir, ticks_per_task=2000).select("rule", "event_id")
+    return _alerts(spark, sf_dir, blocks=7).select("rule", "event_id")
 
 
 @query

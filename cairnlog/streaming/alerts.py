@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import micros
-from ..operators.alerts import TICKS_PER_TASK, Rule, evaluate_rules
+from ..operators.alerts import Rule, evaluate_rules
 from ..session import temporary_tables
 from .anomaly import Sink
 from .state import BatchState
@@ -20,7 +20,6 @@ def alert_writer(
     state_path: str,
     timestamp: str = "timestamp",
     order_by: Sequence[str] | str | None = None,
-    ticks_per_task: int = TICKS_PER_TASK,
 ) -> Sink:
     """A ``foreachBatch`` function that evaluates the rules and hands on the alerts.
 
@@ -37,7 +36,7 @@ def alert_writer(
                 before = state.before(batch.sparkSession, number)
                 # One row per rule that ever fired.
                 ready = {} if before is None else {r.rule_no: r.ready for r in before.collect()}
-                alerts = evaluate_rules(batch, rules, timestamp, order_by, ticks_per_task, ready).persist()
+                alerts = evaluate_rules(batch, rules, timestamp, order_by, ready=ready).persist()
                 sink(alerts, number)
                 state.save(_ready_after(alerts, rules, ready), number)
                 alerts.unpersist()

@@ -3,11 +3,9 @@ from __future__ import annotations
 import json
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnlog.operators import alerts
 from cairnlog.operators.alerts import Rule, evaluate_rules, fire_times, fired_rules
 from cairnlog.operators.anomaly import score_anomalies
 from cairnlog.operators.predicates import field_equals
@@ -79,21 +77,24 @@ def match_times() -> dict[int, tuple[int, list[int]]]:
     return {2 * i + j: (c, sorted(set(times))) for i, times in enumerate(shapes) for j, c in enumerate((1000, 37))}
 
 
-@pytest.mark.parametrize("ticks_per_task", [10**6, 400, 3])
-def test_fire_times_agree_with_a_plain_fold(spark, ticks_per_task):
-    """One fold per rule, several levels of cells, and the ordered stream give the same."""
+@pytest.mark.parametrize("blocks", [None, 1, 6, 40])
+def test_fire_times_agree_with_a_plain_fold(spark, blocks):
+    """However the times are cut into blocks, the fires are those of one fold per rule."""
     cases = match_times()
     rows = [(rule, t, cooldown) for rule, (cooldown, times) in cases.items() for t in times]
     ticks = spark.createDataFrame(rows, "rule_no int, _t long, _cooldown long").repartition(5)
-    got = fire_times(ticks, ticks_per_task).collect()
+    got = fire_times(ticks, blocks).collect()
     for rule, (cooldown, times) in cases.items():
         assert sorted(r["_t"] for r in got if r.rule_no == rule) == fold(times, cooldown), rule
+    assert fire_times(ticks.where("false"), blocks).collect() == []
 
 
-def test_next_fires_from_a_ready_time():
-    times = np.array([1, 5, 9, 20])
-    assert alerts.next_fires(times, 5, 6).tolist() == [2, 3]
-    assert alerts.next_fires(times, 5, 99).tolist() == []
+def test_one_cooldown_is_spread_over_blocks(spark, monkeypatch):
+    """A rule that every row matches inside one cooldown: no task sees more than a block."""
+    ticks = spark.range(20_000).select(F.lit(0).alias("rule_no"), (F.col("id") * 3).alias("_t"), F.lit(10**9).alias("_cooldown"))
+    dealt = ticks.repartitionByRange(10, "rule_no", "_t").groupBy(F.spark_partition_id()).count()
+    assert dealt.count() == 10 and dealt.agg(F.max("count")).first()[0] < 4000
+    assert [tuple(r) for r in fire_times(ticks, 10).collect()] == [(0, 0)]
 
 
 def test_anomaly_rule(spark):
