@@ -50,13 +50,15 @@ def first_of(value: Column, then) -> Column:
 def java_regex(pattern: str, ignore_case: bool = True, flags: int = 0) -> str:
     """A Python ``re`` pattern for Java's engine, Unicode-aware and ``\\n``-only dots.
 
-    ``flags`` takes ``re.IGNORECASE``, ``re.MULTILINE``, ``re.DOTALL`` and
-    ``re.VERBOSE``.  The pattern is compiled here first, so a faulty one raises on
-    the driver; so does one with parts that Java would read differently.
+    ``flags`` takes ``re.IGNORECASE``, ``re.MULTILINE``, ``re.DOTALL``,
+    ``re.VERBOSE`` and ``re.ASCII``.  The pattern is compiled here first, so a
+    faulty one raises on the driver; so does one with parts that Java would read
+    differently.
     """
     compiled = re.compile(pattern, flags)
-    switches = "Ud" + "".join(
-        letter for letter, flag in (("m", re.MULTILINE), ("s", re.DOTALL), ("x", re.VERBOSE)) if compiled.flags & flag
+    # verbose patterns lose their spaces and comments here, so Java need not know
+    switches = ("d" if compiled.flags & re.ASCII else "Ud") + "".join(
+        letter for letter, flag in (("m", re.MULTILINE), ("s", re.DOTALL)) if compiled.flags & flag
     )
     if ignore_case or compiled.flags & re.IGNORECASE:
         switches = "i" + switches
@@ -64,22 +66,27 @@ def java_regex(pattern: str, ignore_case: bool = True, flags: int = 0) -> str:
 
 
 _LEADING_FLAGS = re.compile(r"\(\?[aiLmsux]+\)")
+# What \s stands for in ASCII patterns, and beyond what Java's stands for in others.
+_ASCII_SPACE = r" \t\n\x0b\f\r"
+_MORE_SPACE = r"\x1c-\x1f"
 
 
 def _translated(pattern: str, names: list[str], flags: int) -> str:
     """The pattern with everything respelled that Java spells otherwise.
 
-    Groups lose their names for ones that Java takes; ``[``, ``&&`` and spaces
-    (in verbose patterns) inside a class are escaped; ``{,n}`` becomes ``{0,n}``,
-    a brace that is no quantifier is escaped; ``^`` of several lines also stands
-    behind a last line break.
+    Groups lose their names for ones that Java takes; ``[`` and ``&&`` inside a
+    class are escaped; ``{,n}`` becomes ``{0,n}``, a brace that is no quantifier is
+    escaped; ``^`` of several lines also stands behind a last line break; ``\\s``
+    takes the separators \\x1c to \\x1f, too; spaces and comments of verbose patterns
+    go.  Flags for a part of the pattern are not supported.
     """
-    verbose = bool(flags & re.VERBOSE)
+    verbose, ascii_only = bool(flags & re.VERBOSE), bool(flags & re.ASCII)
+    space = _ASCII_SPACE if ascii_only else r"\s" + _MORE_SPACE
     own = {name: f"n{i}x" for i, name in enumerate(names)}
     if leading := _LEADING_FLAGS.match(pattern):
         pattern = pattern[leading.end() :]  # told by the switches already
     out: list[str] = []
-    at, in_class, class_start = 0, False, 0
+    at, in_class, class_start, negated = 0, False, 0, False
     while at < len(pattern):
         rest = pattern[at:]
         char = pattern[at]
@@ -99,6 +106,12 @@ def _translated(pattern: str, names: list[str], flags: int) -> str:
                 escape = "\\x08"
             elif escape == "\\v":
                 escape = "\\x0b"
+            elif escape == "\\s":
+                escape = space if in_class else f"[{space}]"
+            elif escape == "\\S":
+                if negated and in_class:
+                    raise ValueError(f"\\S in a negated class is not supported: {pattern!r}")
+                escape = f"[^{space}]"
             out.append(escape)
             at += 2
             continue
@@ -107,12 +120,21 @@ def _translated(pattern: str, names: list[str], flags: int) -> str:
             if char == "]" and not first:
                 in_class = False
                 out.append("]")
-            elif char in "[]" or char == "&" or (verbose and char in " \t\n#"):
+            elif char in "[]" or char == "&":
                 out.append("\\" + char)
             else:
                 out.append(char)
             at += 1
             continue
+        if verbose and char in " \t\n\r\f\v":
+            at += 1
+            if out and re.fullmatch(r"\\\d", out[-1]) and pattern[at : at + 1].isdigit():
+                out.append("(?:)")  # or the digit would belong to the number of the group
+            continue
+        if verbose and char == "#":
+            end = pattern.find("\n", at)
+            at = len(pattern) if end < 0 else end
+            continue
         if char == "[":
             in_class = True
             negated = pattern.startswith("[^", at)
@@ -132,6 +154,8 @@ def _translated(pattern: str, names: list[str], flags: int) -> str:
             if m := re.match(r"\(\?#[^)]*\)", rest):
                 at += len(m[0])
                 continue
+            if re.match(r"\(\?[aiLmsux]*-?[imsx]*[:)]", rest) and not rest.startswith("(?:"):
+                raise ValueError(f"flags for a part of the pattern are not supported: {pattern!r}")
             if rest.startswith("(?("):
                 raise ValueError(f"conditional groups are not supported: {pattern!r}")
         if char == "{":

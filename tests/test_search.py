@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from datetime import datetime
 
@@ -98,6 +99,54 @@ def test_patterns_mean_what_they_mean_in_python(spark):
                 assert row[f"c{n}_{k}"] == want, (p, flags, row.t)
 
 
+# fmt: off
+PIECES = [
+    "a", "b", "é", "3", r"\d", r"\D", r"\w", r"\W", r"\s", r"\S", " ", "  # list [1 (", "#", "\n", r"[ab ]", r"[^a\s]", r"[\s\d]", r"[\Sb]",
+    r"[^\d#]", "(a)", "(?:b|3)", r"\1", ".", "^", "$", "*", "+", "?", "{1,2}", "|", r"\ ", r"\#", r"\b", "٣", "(?=a)", "(?i:a)",
+]
+# fmt: on
+
+
+@pytest.mark.filterwarnings("ignore::FutureWarning")
+def test_generated_patterns_match_as_in_python_or_raise(spark):
+    rng = random.Random(11)
+    cases, refused = [], 0
+    while len(cases) < 320:
+        pattern = "".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 7)))
+        flags = rng.choice([0, re.ASCII, re.VERBOSE, re.VERBOSE | re.ASCII, re.VERBOSE | re.MULTILINE])
+        try:
+            re.compile(pattern, flags)
+        except re.error:
+            continue
+        try:
+            cases.append((pattern, flags, java_regex(pattern, False, flags)))
+        except ValueError:
+            refused += 1
+    assert refused < 100
+    texts = ["", "a", "b", "ab", "aab3", "x٣y", "a\x1cb", "a b", "é a", "a#b", "3\n3", "\x85", "aa3", "b\xa0b", "ÉA", "a\n", "[1", "_é٣"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    for first in range(0, len(cases), 80):
+        some = cases[first : first + 80]
+        for row in table.select("t", *[F.col("t").rlike(j).alias(f"c{i}") for i, (_, _, j) in enumerate(some)]).collect():
+            for i, (pattern, flags, java) in enumerate(some):
+                assert row[f"c{i}"] == (re.search(pattern, row.t, flags) is not None), (pattern, flags, java, row.t)
+
+
+def test_comments_ascii_and_separators(spark):
+    cases = [
+        ("foo  # list [1\n [ab]c", re.VERBOSE, {"fooac"}), (r"(?a)\d", 0, {"3"}), (r"a\sb", 0, {"a\x1cb", "a b"}), (r"a\sb", re.ASCII, {"a b"}),
+        (r"(a)\1 3", re.VERBOSE, {"aa3"}), (r"a\ b", re.VERBOSE, {"a b"}),
+    ]
+    rows = ["fooac", "foo [ab]c", "x٣y", "3", "a\x1cb", "a b", "aa3"]
+    table = spark.createDataFrame([(r,) for r in rows], "t string")
+    for pattern, flags, want in cases:
+        found = {r.t for r in table.where(F.col("t").rlike(java_regex(pattern, False, flags))).collect()}
+        assert found == want | ({"aa3"} if pattern == r"(?a)\d" else set()), pattern
+    for pattern in ("(?i:a)b", r"[^\Sa]"):
+        with pytest.raises(ValueError, match="not supported"):
+            java_regex(pattern)
+
+
 def test_patterns_that_cannot_be_are_refused_before_the_job():
     with pytest.raises(re.error):
         java_regex("a(")
