@@ -16,7 +16,39 @@ NULL_TEXT = "None"
 
 
 def is_log_frame(df: DataFrame) -> bool:
-    return "fields" in df.columns and isinstance(df.schema["fields"].dataType, T.MapType)
+    return "fields" in df.columns and isinstance(df.schema["fields"].dataType, (T.MapType, T.VariantType))
+
+
+def is_typed(df: DataFrame) -> bool:
+    """A log frame whose fields keep their types."""
+    return "fields" in df.columns and isinstance(df.schema["fields"].dataType, T.VariantType)
+
+
+def variant_path(name: str) -> str:
+    """The path of a top-level key, whatever it is called."""
+    for quote in ('"', "'"):
+        if quote not in name:
+            return f"$[{quote}{name}{quote}]"
+    raise ValueError(f"a key with both kinds of quotes can't be read from a VARIANT: {name!r}")
+
+
+def kind_of(value: Column) -> Column:
+    """int, float, bool, str, null, list or dict: what a VARIANT value is.
+
+    Numbers with a point are decimals there, of no scale if they are whole; whole
+    numbers are decimals only where they have more digits than a bigint.
+    """
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(kind.startswith("OBJECT"), "dict")
+        .when(kind.startswith("ARRAY"), "list")
+        .when(kind == "BIGINT", "int")
+        .when(kind.rlike(r"^DECIMAL\((19|[2-9]\d),0\)$"), "int")
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float")
+        .when(kind == "BOOLEAN", "bool")
+        .when(kind == "VOID", "null")
+        .otherwise("str")
+    )
 
 
 def order_columns(df: DataFrame, order_by: Sequence[str] | str | None = None) -> list[str]:
@@ -30,6 +62,8 @@ def order_columns(df: DataFrame, order_by: Sequence[str] | str | None = None) ->
 
 def has_field(df: DataFrame, name: str) -> Column:
     """Is the key there?  In an ordinary table a NULL counts as absent."""
+    if is_typed(df):
+        return F.try_variant_get("fields", variant_path(name), "variant").isNotNull()
     if is_log_frame(df):
         return F.map_contains_key("fields", name)
     return F.col(name).isNotNull() if name in df.columns else F.lit(False)
@@ -37,6 +71,11 @@ def has_field(df: DataFrame, name: str) -> Column:
 
 def as_text(df: DataFrame, name: str) -> Column:
     """The value as text, NULL where absent or null."""
+    if is_typed(df):
+        text = F.try_variant_get("fields", variant_path(name), "string")
+        kind = kind_of(F.try_variant_get("fields", variant_path(name), "variant"))
+        told = F.when(text.isin("true", "false") & (kind == "bool"), F.initcap(text))
+        return told.when(text.rlike(r"^-?\d{1,18}$") & (kind == "float"), F.concat(text, F.lit(".0"))).otherwise(text)
     if is_log_frame(df):
         return F.col("fields")[name]
     if name not in df.columns:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import field
+from ..functions.fields import numeric as numeric_field
 from ..functions.text import digest_prefix, escape_html, strip
 from ..operators import alerts, anomaly, counting, custom, numeric, project, search
 from ..operators.predicates import (
@@ -102,6 +103,28 @@ def parse_json_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(parse.parse_json(_ndjson(spark, sf_dir), exact=True), *NDJSON_KEYS)
 
 
+TYPED_COLUMNS = "timestamp string, level string, message string, latency_ms double, k bigint"
+
+
+@query
+def parse_json_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.typed_view(parse.parse_json_typed(_ndjson(spark, sf_dir)), TYPED_COLUMNS).drop("file", "block_start")
+
+
+@query
+def json_field_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.field_kinds(parse.parse_json_typed(_mixed(spark, sf_dir)))
+
+
+@query
+def typed_entries_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "typed")
+    parse.parse_json_typed(_ndjson(spark, sf_dir)).write.parquet(path)
+    frame = spark.read.parquet(path)
+    slow = Chain().add(field_equals("level", "ERROR")).add(lambda df: F.try_variant_get("fields", "$.latency_ms", "double") > 50)
+    return slow.apply(frame).select("seq", field(frame, "message").alias("message"), numeric_field(frame, "latency_ms").alias("latency_ms"))
+
+
 @query
 def parse_json_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_json(_mixed(spark, sf_dir)).select("seq", F.col("fields")["level"].alias("level"))

@@ -143,6 +143,12 @@ ORACLE: dict[str, str] = {
     "read_lines_stripped": _ev(f"SELECT {_SUFFIX} AS raw FROM ev"),
     "parse_json_lines": _ev(_NDJSON),
     "parse_json_exact": _ev(_NDJSON),
+    "parse_json_typed": _ev("SELECT event_id AS seq, iso AS timestamp, level, message, value AS latency_ms, CAST(k AS BIGINT) AS k FROM ev"),
+    "json_field_kinds": _mixed(
+        "SELECT name, CASE name WHEN 'latency_ms' THEN 'float' WHEN 'k' THEN 'int' ELSE 'str' END AS kind, count(*) AS count "
+        "FROM mixed, (VALUES ('timestamp'), ('level'), ('message'), ('latency_ms'), ('k')) AS keys(name) WHERE format = 'json' GROUP BY name"
+    ),
+    "typed_entries_stored": _ev("SELECT event_id AS seq, message, value AS latency_ms FROM ev WHERE level = 'ERROR' AND value > 50"),
     "parse_json_misfits": _mixed("SELECT seq, level FROM mixed WHERE format = 'json'"),
     "parse_access_log": _ev(_VIEW_ACCESS),
     "parse_syslog": _ev(

@@ -23,6 +23,9 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # typed entries are stored with a column per frequent key, which a scan of that key reads alone
+        .config("spark.sql.variant.writeShredding.enabled", "true")
+        .config("spark.sql.variant.inferShreddingSchema", "true")
     )
 
 

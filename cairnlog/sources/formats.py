@@ -57,27 +57,62 @@ def detect_format(raw: Column) -> Column:
 
 
 def _json_scan(raw: Column) -> Column:
-    """The line as the only element of an array.
+    """Keys of a JSON object; NULL for malformed text and for other JSON values."""
+    return _whole_line(
+        raw,
+        F.from_json(raw, FIELDS_TYPE, _JSON_OPTIONS),
+        F.from_json(_in_array(raw), f"array<{FIELDS_TYPE}>", _JSON_OPTIONS),
+        lambda found: F.when(F.size(found) == 1, found[0]),
+    )
+
+
+def _in_array(raw: Column) -> Column:
+    return F.concat(F.lit("["), raw, F.lit("]"))
+
 
-    The reader stops at the end of the first value and ignores what follows.
-    Where the first closing brace ends the line nothing can follow, and the line
-    is read as it is.  Otherwise it is read inside an array, in which trailing
-    text is an error and a second value an element.
+def _whole_line(raw: Column, alone: Column, listed: Column, single: Callable[[Column], Column]) -> Column:
+    """What the line is read as, if nothing follows the first value; each read happens where it is needed only.
+
+    A reader stops at the end of the first value and ignores what follows.  Where
+    the first closing brace ends the line nothing can follow, and the line is read
+    as it is.  Otherwise it is read inside an array, in which trailing text is an
+    error and a second value an element.
     """
     flat = raw.startswith("{") & (F.instr(raw, "}") == F.length(raw))
-    wrapped = F.concat(F.lit("["), raw, F.lit("]"))
-    return F.when(flat, F.array(F.from_json(raw, FIELDS_TYPE, _JSON_OPTIONS))).otherwise(
-        F.from_json(wrapped, f"array<{FIELDS_TYPE}>", _JSON_OPTIONS)
-    )
+    return F.when(flat, alone).when(_closes_once(raw), first_of(listed, single))
 
 
 def _json_build(raw: Column, found: Column) -> Column:
-    """Keys of a JSON object; NULL for malformed text and for other JSON values."""
+    """The keys, with booleans and non-finite numbers spelled as the log model does."""
+
+    def told(fields: Column) -> Column:
+        ambiguous = F.exists(F.map_values(fields), lambda v: v.isin("true", "false", *NON_FINITE))
+        return F.when(ambiguous, _typed_text(raw, fields)).otherwise(fields)
+
     # Values are looked at only where the line has one of the words at all.
     words = reduce(or_, [raw.contains(word) for word in ("true", "false", "NaN", "Infinity")])
-    ambiguous = F.exists(F.map_values(found[0]), lambda v: v.isin("true", "false", *NON_FINITE))
-    typed = F.when(words & ambiguous, _typed_text(raw, found[0])).otherwise(found[0])
-    return F.when((F.size(found) == 1) & _closes_once(raw), typed)
+    return F.when(words, first_of(found, told)).otherwise(found)
+
+
+def json_variant(raw: Column) -> Column:
+    """The JSON object as a VARIANT, whose values keep their types; NULL for anything else.
+
+    VARIANT takes no key twice and no NaN or Infinity; an object with those keeps
+    its values as texts, of a repeated key the last.
+    """
+    typed = _whole_line(
+        raw,
+        F.try_parse_json(raw),
+        F.try_parse_json(_in_array(raw)),
+        lambda found: F.when(F.try_variant_get(found, "$[1]", "variant").isNull(), F.try_variant_get(found, "$[0]", "variant")),
+    )
+
+    def last_values(fields: Column) -> Column:
+        entries, names = F.map_entries(fields), F.array_distinct(F.map_keys(fields))
+        values = F.transform(names, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
+        return F.to_variant_object(F.map_from_arrays(names, values))
+
+    return F.when(raw.startswith("{"), F.coalesce(typed, first_of(_json_build(raw, _json_scan(raw)), last_values)))
 
 
 def _closes_once(raw: Column) -> Column:
@@ -172,14 +207,16 @@ class LineParser(NamedTuple):
 
     ``scan`` takes the raw line apart; ``build`` makes the map of fields from
     the raw line and the scanned value, and may mention both any number of times.
+    ``once``: it looks at the scanned value once a line, so no column has to hold it.
     """
 
     scan: Callable[[Column], Column]
     build: Callable[[Column, Column], Column]
+    once: bool = False
 
 
 PARSERS = {
-    "json": LineParser(_json_scan, _json_build),
+    "json": LineParser(_json_scan, _json_build, once=True),
     "apache": LineParser(_access_scan, _access_build),
     "syslog": LineParser(_syslog_scan, _syslog_build),
 }

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_line
+from ..functions.text import strip, strip_line
 from ..session import pin_splits, ship_package
 
 _PLACE = ("_metadata.file_path AS file", "_metadata.file_block_start AS block_start")
@@ -59,5 +59,7 @@ def lines_from(df: DataFrame, raw: Column, seq: Column, file: Column | None = No
 
 
 def _stripped(lines: DataFrame) -> DataFrame:
+    # Asked of the line as it is: a condition on the stripped text would strip it twice.
+    visible = F.col("value").between("!", "~") | (strip(F.col("value")) != "")
     text = F.make_valid_utf8(strip_line(F.col("value")))
-    return lines.select("file", "block_start", "seq", text.alias("raw")).where("raw != ''")
+    return lines.where(visible).select("file", "block_start", "seq", text.alias("raw"))

@@ -8,11 +8,12 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.fields import LINE_ORDER
+from ..functions.fields import LINE_ORDER, kind_of, variant_path
 from ..functions.text import pinned
 from ..session import broadcast_if_small, settle, ship_package
-from .formats import FIELDS_TYPE, FORMATS, PARSERS, LineParser, detect_format, raw_fields
+from .formats import FIELDS_TYPE, FORMATS, PARSERS, LineParser, detect_format, json_variant, raw_fields
 
 ParseLine = Callable[[str], Mapping[str, object] | None]
 
@@ -26,6 +27,32 @@ def parse_json(lines: DataFrame, exact: bool = False) -> DataFrame:
     return _frame(lines, "json", python_fields(_json_object) if exact else PARSERS["json"])
 
 
+def parse_json_typed(lines: DataFrame) -> DataFrame:
+    """NDJSON with ``fields`` as a VARIANT: numbers, booleans, lists and objects keep their types.
+
+    One parse a line.  Operators that take a field name work on it as on any log
+    frame; :func:`typed_view` and :func:`field_kinds` read the types.
+    """
+    return _frame(lines, "json", json_variant)
+
+
+def typed_view(frame: DataFrame, schema: str) -> DataFrame:
+    """Columns of a typed frame next to their position, as in the DDL ``schema``; NULL where a value is of no such type."""
+    wanted = T.StructType.fromDDL(schema)
+    kinds = {f.name: f.dataType.simpleString() for f in wanted}
+    return frame.select(*LINE_ORDER, *[F.try_variant_get("fields", variant_path(n), k).alias(n) for n, k in kinds.items()])
+
+
+def field_kinds(frame: DataFrame) -> DataFrame:
+    """(name, kind, count) of a typed frame: how often each key has a value of each kind.
+
+    Kinds are int, float, bool, str, null, list and dict.
+    """
+    source = frame.sparkSession.tvf.variant_explode(F.col("fields").outer())
+    pairs = frame.select("fields").lateralJoin(source).select(F.col("key").alias("name"), kind_of(F.col("value")).alias("kind"))
+    return pairs.groupBy("name", "kind").agg(F.count("*").alias("count"))
+
+
 def parse_access_log(lines: DataFrame) -> DataFrame:
     return _frame(lines, "apache", PARSERS["apache"])
 
@@ -143,6 +170,8 @@ def _frame(
         fields = raw_fields(raw)
         for name, p in PARSERS.items():
             fields = F.when(F.col("format") == name, p.build(raw, F.col(f"_{name}"))).otherwise(fields)
+    elif isinstance(parser, LineParser) and parser.once:
+        scans, fields = [], parser.build(raw, parser.scan(raw))
     elif isinstance(parser, LineParser):
         scans = [parser.scan(raw).alias("_scan")]
         fields = parser.build(raw, F.col("_scan"))
