@@ -59,6 +59,26 @@ def substring_search(
     return found.limit(limit) if order_by is None else first_n(found, limit, order_by)
 
 
+def substring_sql(
+    spark: SparkSession, table: str, field: str, pattern: str, limit: int = 0, order_by: str | None = None
+) -> DataFrame:
+    """:func:`substring_search` as SQL over a table of the catalog.
+
+    Names and texts are bound as parameters and never become part of the statement.
+    ``table`` and ``field`` are identifiers: quote a part that holds more than
+    letters, digits and underscores in backticks.
+    """
+    statement = "SELECT * FROM IDENTIFIER(:table) WHERE IDENTIFIER(:field) LIKE concat('%', replace(:pattern, '\\\\', '\\\\\\\\'), '%')"
+    bound: dict[str, object] = {"table": table, "field": field, "pattern": pattern}
+    if order_by is not None:
+        statement += " ORDER BY IDENTIFIER(:order_by)"
+        bound["order_by"] = order_by
+    if limit > 0:
+        statement += " LIMIT :limit"
+        bound["limit"] = limit
+    return spark.sql(statement, args=bound)
+
+
 def first_n(df: DataFrame, n: int, order_by: Sequence[str] | str | None = None) -> DataFrame:
     """The first n entries in order; 0 means all of them.
 

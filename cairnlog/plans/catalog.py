@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import field
 from ..functions.fields import numeric as numeric_field
 from ..functions.text import digest_prefix, escape_html, strip
-from ..operators import alerts, anomaly, counting, custom, numeric, project, search
+from ..operators import alerts, anomaly, counting, custom, numeric, project, search, sketches
 from ..operators.predicates import (
     Chain,
     all_of,
@@ -25,7 +26,7 @@ from ..operators.predicates import (
     where,
 )
 from ..operators.stats import stats
-from ..session import workspace
+from ..session import settle, workspace
 from ..sinks import delivery, files, payloads
 from ..sinks.results import ResultStore, result_key
 from ..sources import parse
@@ -34,7 +35,7 @@ from ..sources.lines import read_lines, stream_lines
 from ..streaming import counters
 from ..streaming.alerts import alert_writer
 from ..streaming.anomaly import anomaly_writer
-from ..streaming.tail import tail_entries
+from ..streaming.tail import lines_from_now, tail_entries
 from . import event_logs as logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +193,18 @@ def custom_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(parse.parse_custom(_mixed(spark, sf_dir), "note", note), "note")
 
 
+@query
+def custom_rows_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def parts(line: str) -> Iterator[dict[str, object]]:
+        word, _, number = line.partition(" ")
+        if word == "note":
+            for part in range(int(number) % 3):
+                yield {"part": part * 10, "share": int(number) / 2}
+
+    found = parse.parse_rows(_mixed(spark, sf_dir), parts, "part bigint, share double")
+    return found.select("seq", "entry_no", "part", "share")
+
+
 @query
 def custom_python_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     def note(line: str) -> dict[str, object] | None:
@@ -543,6 +556,45 @@ def custom_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custom.aggregate(values, WidestGap, "count long, gap double")
 
 
+@query
+def custom_aggregator_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = logs.table(spark, sf_dir, "events").select("value", "event_type")
+    return custom.aggregate(values, WidestGap, "count long, gap double", ["event_type"])
+
+
+# -- sketches ----------------------------------------------------------------
+
+
+PERCENTS = (1, 50, 90, 99.9)
+
+
+@query
+def quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch a day, merged; per percent, whether its rank is as near as stated (thrice the error of 99 in 100)."""
+    events = logs.table(spark, sf_dir, "events")
+    daily = settle(sketches.quantile_sketches(events, "value", [F.to_date("ts").alias("day")]))
+    merged = sketches.quantiles(sketches.merge_quantiles(daily), PERCENTS)
+    names = ["p" + f"{p:g}".replace(".", "_") for p in PERCENTS]
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.col(c).alias("answer")) for p, c in zip(PERCENTS, names, strict=True)])
+    answers = settle(merged.select("n", F.explode(asked).alias("a")).select("n", "a.*"))
+    # ranks of four answers, counted over all values
+    below = events.where("value IS NOT NULL").join(F.broadcast(answers), F.col("value") <= F.col("answer"))
+    ranks = answers.join(below.groupBy("percent").agg(F.count(F.lit(1)).alias("rank")), "percent", "left")
+    near = F.abs(F.coalesce("rank", F.lit(0)) / F.col("n") - F.col("percent") / 100) <= 3 * sketches.rank_error() + 1 / F.col("n")
+    return ranks.select("percent", "n", near.alias("near"))
+
+
+@query
+def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch a file of lines and a level above it; whether the merged count is within five standard errors."""
+    lineitem = logs.table(spark, sf_dir, "lineitem")
+    parts = settle(sketches.distinct_sketches(lineitem, "l_partkey", ["l_returnflag", "l_linestatus"]))
+    merged = sketches.distinct_counts(sketches.merge_distinct(parts, ["l_returnflag"]))
+    exact = lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"))
+    near = F.abs(F.col("groups") - F.col("exact")) <= 5 * sketches.distinct_error() * F.col("exact") + 1
+    return merged.join(exact, "l_returnflag").select("l_returnflag", "exact", near.alias("near"))
+
+
 # -- anomalies and alerts ----------------------------------------------------
 
 
@@ -743,6 +795,14 @@ def _appended(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+@query
+def substring_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"documents {uuid.uuid4().hex}"
+    logs.table(spark, sf_dir, "documents").withColumnRenamed("text", "it's % text").createOrReplaceTempView(f"`{name}`")
+    found = search.substring_sql(spark, f"`{name}`", "`it's % text`", "the_an%ing", 50, "doc_id")
+    return found.select("doc_id", "lang")
+
+
 def _replaced(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A small complete result over a stream of events, as the last micro-batch leaves it."""
     path = workspace(spark, "stream")
@@ -789,6 +849,19 @@ def stream_line_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replaced(spark, sf_dir, lambda events: counters.line_counters(logs.event_lines(events, broken)))
 
 
+@query
+def stream_counted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.when(F.col("event_id") % 9 == 0, F.concat(logs.mixed_line(), F.lit("}"))).otherwise(logs.mixed_line())
+    path = workspace(spark, "counted")
+
+    def writer(sink: Callable[[DataFrame, int], None], state: str) -> Callable:
+        return counters.counted_writer(sink, path)
+
+    entries = _by_batch(spark, sf_dir, lambda events: logs.event_lines(logs.with_level(events), broken), writer)
+    written = entries.agg(F.count(F.lit(1)).alias("written"))
+    return counters.counted_totals(spark, path).join(F.broadcast(written))  # one row each
+
+
 def _by_batch(
     spark: SparkSession,
     sf_dir: str,
@@ -838,3 +911,18 @@ def tail_new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _appended(tail_entries(lines, "error|note")).select("ts", "level", "msg")
 
 
+@query
+def tail_from_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first slice of events is there before the start; the others arrive after it, the stream starting anew for each."""
+    events = logs.events(spark, sf_dir)
+    folder, path = workspace(spark, "arrivals"), workspace(spark, "stream")
+    span = events.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
+    for i in range(SLICES):
+        low, high = (span["a"] + (span["b"] + 1 - span["a"]) * j // SLICES for j in (i, i + 1))
+        arrived = events.where(F.col("event_id").between(low, high - 1))
+        arrived.select(logs.mixed_line().alias("value")).write.mode("append").text(folder)
+        lines = lines_from_now(spark, folder, f"{path}-progress", maxFilesPerTrigger=FILES_PER_BATCH)
+        entries = tail_entries(lines).select("ts", "level", "msg")
+        run = entries.writeStream.format("parquet").option("checkpointLocation", f"{path}-progress").trigger(availableNow=True)
+        run.start(path).awaitTermination()
+    return spark.read.schema(entries.schema).parquet(path)

@@ -166,6 +166,10 @@ ORACLE: dict[str, str] = {
     ),
     "parse_parallel": _mixed("SELECT format, e_level AS level, count(*) AS entries FROM entries GROUP BY ALL"),
     "custom_parser": _mixed("SELECT seq, CAST(seq AS VARCHAR) AS note FROM mixed WHERE format = 'raw'"),
+    "custom_rows_parser": _mixed(
+        "SELECT seq, i AS entry_no, i * 10 AS part, CAST(seq AS DOUBLE) / 2 AS share"
+        " FROM (SELECT seq, unnest(range(seq % 3)) AS i FROM mixed WHERE format = 'raw')"
+    ),
     "custom_python_parser": _mixed("SELECT seq, CAST(seq AS VARCHAR) AS note FROM mixed WHERE format = 'raw'"),
     # projections, filters, search
     "field_or_default": _mixed(
@@ -217,6 +221,7 @@ ORACLE: dict[str, str] = {
         "SELECT event_id, event_type FROM events WHERE ts >= '2024-01-15' AND event_type IN ('error', 'purchase')"
     ),
     "filter_python": _ev("SELECT event_id AS seq FROM ev WHERE CAST(k AS INTEGER) % 2 = 1 AND level <> 'INFO'"),
+    "substring_sql": "SELECT doc_id, lang FROM documents WHERE text LIKE '%the_an%ing%' ORDER BY doc_id LIMIT 50",
     "substring_search": "SELECT doc_id, lang FROM documents WHERE text LIKE '%the_an%ing%' ORDER BY doc_id LIMIT 50",
     "search_matches": _locked(
         "SELECT seq, fmt AS format FROM file_entries WHERE CASE WHEN e_raw = 'True' THEN regexp_matches(raw, 'error', 'i')"
@@ -287,6 +292,10 @@ UNION ALL SELECT 'numeric', NULL, 'skipped', 0.0""",
     ),
     "custom_median": "SELECT round(median(value), 6) AS median, count(value) AS count FROM events",
     "custom_median_in_blocks": "SELECT round(median(o_totalprice), 6) AS median, count(o_totalprice) AS count FROM orders",
+    "custom_aggregator_by_key": "SELECT event_type, count(*) AS count, round(max(value) - min(value), 6) AS gap FROM events GROUP BY event_type",
+    "quantile_sketches": "SELECT CAST(p AS DOUBLE) AS percent, count(value) AS n, true AS near"
+    " FROM events, (VALUES (1), (50), (90), (99.9)) AS v(p) GROUP BY p",
+    "distinct_sketches": "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS near FROM lineitem GROUP BY l_returnflag",
     "custom_aggregator": "SELECT count(*) AS count, round(max(value) - min(value), 6) AS gap FROM events",
     # anomalies and alerts
     "anomaly_scores": f"WITH {_past('events', 'value', '', 'event_id')} SELECT event_id, z_score, is_anomaly, n FROM judged",
@@ -355,6 +364,11 @@ UNION ALL SELECT 'numeric', NULL, 'skipped', 0.0""",
     "stream_top_levels": _mixed(
         "SELECT e_level AS level, count(*) AS count FROM entries WHERE e_level IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"
     ),
+    "stream_counted_lines": _mixed(
+        "SELECT count(*) FILTER (WHERE NOT (turn = 0 AND event_id % 9 = 0)) AS entries,"
+        " count(*) FILTER (WHERE turn = 0 AND event_id % 9 = 0) AS failures, CAST(3 AS BIGINT) AS batches,"
+        " count(*) FILTER (WHERE NOT (turn = 0 AND event_id % 9 = 0)) AS written FROM mixed"
+    ),
     "stream_line_counters": _mixed(
         "SELECT count(*) FILTER (WHERE NOT (turn = 0 AND event_id % 9 = 0)) AS entries,"
         " count(*) FILTER (WHERE turn = 0 AND event_id % 9 = 0) AS failures FROM mixed"
@@ -370,4 +384,10 @@ UNION ALL SELECT 'numeric', NULL, 'skipped', 0.0""",
         " WHEN 2 THEN '[' || event_type || '] value ' || val ELSE e_message END AS msg FROM entries"
         " WHERE regexp_matches(raw, 'error|note', 'i')"
     ),
+    "tail_from_now": _mixed(
+        "SELECT coalesce(e_timestamp, '') AS ts, coalesce(e_level, 'INFO') AS level,"
+        " CASE turn WHEN 1 THEN 'GET /' || event_type || '/' || user_id || ' → ' || status || ' (' || bytes || ' B)'"
+        " WHEN 2 THEN '[' || event_type || '] value ' || val ELSE e_message END AS msg FROM entries"
+        " WHERE event_id >= (SELECT min(event_id) + (max(event_id) + 1 - min(event_id)) // 3 FROM events)"
+    ),
 }

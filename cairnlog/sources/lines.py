@@ -26,15 +26,20 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return _stripped(scan.selectExpr(*_PLACE, "monotonically_increasing_id() AS seq", "value"))
 
 
-def stream_lines(spark: SparkSession, path: str, **options: object) -> DataFrame:
+def stream_lines(spark: SparkSession, path: str, after_millis: int | None = None, **options: object) -> DataFrame:
     """The same rows from a folder that keeps receiving files.
 
     Options go to the file source; ``maxFilesPerTrigger`` or
-    ``maxBytesPerTrigger`` bound a micro-batch, ``modifiedAfter`` starts from now.
-    A stream has no built-in line number, so one passes over the Arrow batches.
+    ``maxBytesPerTrigger`` bound a micro-batch.  The lines of files that were not
+    modified after ``after_millis`` (of the epoch) are left out; the source itself
+    takes no such option on a stream.  A stream has no built-in line number, so one
+    passes over the Arrow batches.
     """
     ship_package(spark)
-    scan = spark.readStream.options(**options).text(path).selectExpr(*_PLACE, "value")
+    scan = spark.readStream.options(**options).text(path)
+    if after_millis is not None:
+        scan = scan.where(F.col("_metadata.file_modification_time") > F.timestamp_millis(F.lit(after_millis)))
+    scan = scan.selectExpr(*_PLACE, "value")
     numbered = scan.mapInArrow(_number_lines, "file string, block_start long, value string, seq long")
     return _stripped(numbered)
 

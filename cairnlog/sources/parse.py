@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.fields import LINE_ORDER, kind_of, variant_path
 from ..functions.text import pinned
@@ -139,6 +141,35 @@ def python_fields(parse_line: ParseLine) -> Callable[[Column], Column]:
     return fields
 
 
+def parse_rows(lines: DataFrame, parse_line: Callable[[str], Iterable[Mapping[str, object]]], schema: str) -> DataFrame:
+    """Parse with a Python function that yields any number of entries a line, with typed values.
+
+    A table function applied to every line: the lines' columns, ``entry_no`` (from
+    0, in the order the entries are yielded) and the columns of the DDL
+    ``schema``, NULL where an entry lacks them.  A line without entries is
+    dropped; so is, from there on, one whose parser raises ValueError.
+    """
+    ship_package(lines.sparkSession)
+    columns = T.StructType.fromDDL(schema)
+    whole = T.StructType([T.StructField("entry_no", T.LongType()), *columns])
+
+    class Entries:
+        @staticmethod
+        def analyze(raw: AnalyzeArgument) -> AnalyzeResult:
+            if raw.dataType != T.StringType():
+                raise ValueError(f"lines are texts, not {raw.dataType.simpleString()}")
+            return AnalyzeResult(whole)
+
+        def eval(self, raw: str) -> Iterator[tuple]:
+            try:
+                for number, entry in enumerate(parse_line(raw)):
+                    yield (number, *[entry.get(name) for name in columns.names])
+            except ValueError:
+                return
+
+    return lines.lateralJoin(udtf(Entries)(F.col("raw").outer()))
+
+
 def _texts(entry: Mapping[str, object]) -> dict[str, str | None]:
     return {str(k): None if v is None else str(v) for k, v in entry.items()}
 

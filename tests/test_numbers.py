@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import bisect
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from cairnlog.operators import anomaly, counting, custom, numeric
+from cairnlog.operators import anomaly, counting, custom, numeric, sketches
 from cairnlog.operators.blocks import LINES_PER_BLOCK, with_block
 from cairnlog.operators.stats import stats
 
@@ -225,3 +226,81 @@ def test_custom_aggregator_and_output(spark, tmp_path):
     path = str(tmp_path / "out")
     custom.write_custom(table, lambda rows: "\n".join(f"v={r['v']}" for r in rows), path)
     assert spark.read.text(path).count() == 1000
+
+
+class Spread:
+    """Counts entries and keeps the extremes, by batches of columns."""
+
+    def __init__(self):
+        self.n, self.low, self.high = 0, None, None
+
+    def add_batch(self, rows):
+        values = rows["v"].dropna()
+        self.n += len(rows)
+        if len(values):
+            self.low = min(x for x in (self.low, float(values.min())) if x is not None)
+            self.high = max(x for x in (self.high, float(values.max())) if x is not None)
+
+    def merge(self, other):
+        self.n += other.n
+        self.low = min((x for x in (self.low, other.low) if x is not None), default=None)
+        self.high = max((x for x in (self.high, other.high) if x is not None), default=None)
+
+    def result(self):
+        return {"n": self.n, "low": self.low, "high": self.high}
+
+
+class Listed(Spread):
+    """The same, entry by entry."""
+
+    add_batch = property()  # hasattr() is false
+
+    def add(self, entry):
+        self.n += 1
+        if entry["v"] is not None:
+            self.low = min(x for x in (self.low, entry["v"]) if x is not None)
+            self.high = max(x for x in (self.high, entry["v"]) if x is not None)
+
+
+@pytest.mark.parametrize("make", [Spread, Listed])
+@pytest.mark.parametrize("held", [10_000, 1])
+def test_custom_aggregator_by_key(spark, monkeypatch, make, held):
+    monkeypatch.setattr(custom, "HELD_KEYS", held)
+    rows = [(["hot", "a", "b", None][0 if i % 2 else i % 8 // 2], float(i) if i % 5 else None) for i in range(2000)]
+    table = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    assert table.rdd.getNumPartitions() == 7  # half the rows are one key's, in all tasks
+    got = {r.k: (r.n, r.low, r.high) for r in custom.aggregate(table, make, "n long, low double, high double", ["k"]).collect()}
+    want = {}
+    for k in ("hot", "a", "b", None):
+        values = [v for key, v in rows if key == k and v is not None]
+        want[k or "unknown"] = (sum(key == k for key, _ in rows), min(values), max(values))
+    assert got == want
+    assert custom.aggregate(table.where("false"), make, "n long, low double, high double", ["k"]).collect() == []
+    alone = custom.aggregate(table.where("k = 'a' AND v IS NULL"), make, "n long, low double, high double", ["k"]).first()
+    assert alone.n > 0 and alone.low is None
+
+
+def test_quantile_sketches_merge(spark):
+    rows = [(i % 7, float((i * 7919) % 10_007), None) for i in range(10_007)] + [(1, 5.0, None)] * 3000 + [(9, None, None)]
+    table = spark.createDataFrame(rows, "part long, v double, w double")
+    parts = sketches.quantile_sketches(table, "v", ["part"])
+    merged = sketches.quantiles(sketches.merge_quantiles(parts), [0, 10, 50, 99.9, 100]).first()
+    values = sorted(v for _, v, _ in rows if v is not None)
+    assert merged.n == len(values) and parts.count() == 7
+    for name, share in (("p0", 0), ("p10", 0.1), ("p50", 0.5), ("p99_9", 0.999), ("p100", 1)):
+        low, high = (f(values, merged[name]) / len(values) for f in (bisect.bisect_left, bisect.bisect_right))
+        assert low - 3 * sketches.rank_error() <= share <= high + 3 * sketches.rank_error()
+    assert sketches.rank_error(800) < sketches.rank_error() < 0.01
+    assert sketches.quantile_sketches(table, "w", ["part"]).collect() == []
+    assert sketches.quantiles(sketches.merge_quantiles(sketches.quantile_sketches(table, "w")), [50]).first().p50 is None
+
+
+def test_distinct_sketches_merge(spark):
+    table = spark.range(30_000).select((F.col("id") % 3).alias("part"), (F.col("id") % 12_000).cast("string").alias("v"))
+    parts = sketches.distinct_sketches(table, "v", ["part"])
+    whole = sketches.distinct_counts(sketches.merge_distinct(sketches.distinct_sketches(table, "v"))).first()
+    merged = sketches.distinct_counts(sketches.merge_distinct(parts)).first()
+    assert merged.groups == whole.groups and abs(merged.groups - 12_000) < 5 * sketches.distinct_error() * 12_000
+    missing = spark.createDataFrame([(None,), (None,)], "v string")
+    assert sketches.distinct_counts(sketches.distinct_sketches(missing, "v")).first().groups == 1
+    assert sketches.distinct_sketches(table.where("false"), "v", ["part"]).collect() == []

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnlog.functions.text import java_regex
+from cairnlog.operators.search import substring_sql
 from cairnlog.functions.timestamps import micros, parse_timestamp, time_bound
 from cairnlog.operators import project, search
 from cairnlog.operators.predicates import Chain, all_of, any_of, field_equals, python_predicate, regex_search, time_range, where
@@ -224,3 +225,18 @@ def test_projections(lines, entries):
     assert dicts(project.select_fields(mixed, ["level", "none"]))[2:] == [{"level": "ERROR"}, {}]
     table = project.field_columns(entries([{"a": None, "b": 1}]), ["a", "b", "c"]).first()
     assert tuple(table) == ("None", "1", "")
+
+
+def test_substring_sql_binds_names_and_texts(spark):
+    rows = [(1, "100% sure"), (2, "it's; DROP TABLE x --"), (3, None), (4, ""), (5, "back\\slash"), (6, "a_b"), (7, "100 sure")]
+    spark.createDataFrame(rows, "`the id` int, `odd ' name` string").createOrReplaceTempView("`odd; table %`")
+
+    def found(pattern, **options):
+        return [r[0] for r in substring_sql(spark, "`odd; table %`", "`odd ' name`", pattern, order_by="`the id`", **options).collect()]
+
+    assert found("'s; DROP TABLE x --") == [2] and found("\\") == [5] and found("100_ sure") == [1]
+    assert found("a%b") == [6] and found("' OR 1 = 1 --") == [] and found("") == [1, 2, 4, 5, 6, 7] and found("", limit=2) == [1, 2]
+    for table, field in (("`odd; table %` WHERE true --", "`the id`"), ("`odd; table %`", "true OR `the id`")):
+        with pytest.raises(Exception, match="(?i)parse|syntax|identifier"):
+            substring_sql(spark, table, field, "x").collect()
+    spark.catalog.dropTempView("odd; table %")

@@ -90,6 +90,22 @@ def test_typed_entries(lines, spark, tmp_path):
         field(frame, "both \" and '")
 
 
+def test_a_line_may_hold_several_entries(lines):
+    def parts(line):
+        if line.startswith("bad"):
+            yield {"n": 0}
+            raise ValueError(line)
+        for word in line.split():
+            yield {"n": len(word), "word": word, "other": 1}
+
+    frame = parse.parse_rows(lines(["one three", "bad", "seven", "one three", "   "]), parts, "word string, n int, none double")
+    rows = frame.orderBy("seq", "entry_no").collect()
+    assert [(r.seq, r.entry_no, r.word, r.n, r.none) for r in rows] == [
+        (0, 0, "one", 3, None), (0, 1, "three", 5, None), (1, 0, None, 0, None), (2, 0, "seven", 5, None), (3, 0, "one", 3, None), (3, 1, "three", 5, None),
+    ]
+    assert parse.parse_rows(lines([]), parts, "n int").collect() == []
+
+
 def test_access_log(lines):
     frame = parse.parse_access_log(lines([*ACCESS_LINES, "half [an access] \"line"]))
     rows = parse.access_view(frame).orderBy("seq").collect()

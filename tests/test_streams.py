@@ -14,7 +14,7 @@ from cairnlog.sources.parse import parse_auto
 from cairnlog.streaming import counters
 from cairnlog.streaming.alerts import alert_writer
 from cairnlog.streaming.anomaly import anomaly_writer
-from cairnlog.streaming.tail import tail_entries
+from cairnlog.streaming.tail import lines_from_now, tail_entries
 
 from .conftest import ACCESS_LINES, JSON_LINES, SYSLOG_LINES
 
@@ -133,6 +133,49 @@ def test_tail_of_new_files(spark, tmp_path):
     assert advance() == ["fresh", "lost peer fe80::1", "{bad"]
 
 
+def test_tail_from_now(spark, tmp_path):
+    folder, out = tmp_path / "logs", str(tmp_path / "tail")
+    folder.mkdir()
+    (folder / "old.log").write_text("old\n")
+    os.utime(folder / "old.log", (1_000_000, 1_000_000))
+
+    def advance():
+        entries = tail_entries(lines_from_now(spark, str(folder), out + "-c", maxFilesPerTrigger=1))
+        run = entries.writeStream.format("parquet").option("checkpointLocation", out + "-c").trigger(availableNow=True)
+        run.start(out).awaitTermination()
+        return sorted(r.msg for r in spark.read.schema(entries.schema).parquet(out).collect())
+
+    assert advance() == []
+    (folder / "b.log").write_text("second\n")
+    (folder / "c.log").write_text("third\n")
+    assert advance() == ["second", "third"]
+    (folder / "late.log").write_text("late\n")
+    os.utime(folder / "late.log", (2_000_000, 2_000_000))  # arrives later, but is older than the start
+    (folder / "d.log").write_text("fourth\n")
+    assert advance() == ["fourth", "second", "third"]
+    assert advance() == ["fourth", "second", "third"]
+
+
+def test_lines_are_counted_as_they_are_written(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text("\n".join([*JSON_LINES, "{bad"]) + "\n")
+    (folder / "b.log").write_text("\n".join([*SYSLOG_LINES, "{bad", "{worse"]) + "\n")
+    (folder / "c.log").write_text("")
+    path, out = str(tmp_path / "counts"), str(tmp_path / "out")
+    write = counters.counted_writer(lambda df, n: df.select("raw").write.mode("overwrite").parquet(f"{out}/batch={n}"), path)
+
+    def step(df, n):
+        for _ in range(2 if n == 0 else 1):  # a batch that runs again counts once
+            write(df, n)
+
+    run = stream_lines(spark, str(folder), maxFilesPerTrigger=1).writeStream.foreachBatch(step)
+    run.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    good = len(JSON_LINES) + len(SYSLOG_LINES)
+    assert tuple(counters.counted_totals(spark, path).first()) == (good, 3, 3)
+    assert spark.read.schema("raw string").parquet(out).count() == good
+
+
 def test_batches_leave_no_tables(spark, table, tmp_path):
     from cairnlog.session import shared_folder
 
