@@ -10,7 +10,9 @@ gives the document's score.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .chain import marginals, pair_counts
 from .common import fresh_names, least_hashes, slices, text_or_empty, with_fields
 
@@ -55,13 +58,15 @@ class Model:
         if None in out:
             if len(known) > REMEMBERED:
                 known.clear()
-            weight = self.weights.get
             for i, gain in enumerate(out):
                 if gain is None:
-                    gain = known[words[i]] = weight("bias", 0.0) + sum(weight(f, 0.0) for f in features(words[i]))
-                    out[i] = gain
+                    out[i] = known[words[i]] = self.gain(words[i])
         return out
 
+    def gain(self, word: str) -> float:
+        weight = self.weights.get
+        return weight("bias", 0.0) + sum(weight(f, 0.0) for f in features(word))
+
     def tag(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """Marginals of each text's tokens, and each text's score."""
         found = [self.gains(tokens(t)) for t in texts]
@@ -115,101 +120,152 @@ def train(
     # a key may have any number of rows: each task keeps its first few of a key before they meet
     own = Window.partitionBy("k", "y").orderBy(F.xxhash64("t"), "t")
     rows = texts.join(F.broadcast(ids), "k").dropDuplicates(["k", "y", "t"]).withColumn("r", F.row_number().over(own))
-    rows = rows.where(F.col("r") <= per_key).toPandas().sort_values(["k", "t"])
-    rows = rows.drop_duplicates("t")
-    return fit([tokens(t) for t in rows["t"]], rows["y"].to_numpy(), shares)
+    rows = settle(rows.where(F.col("r") <= per_key).select("k", "y", "t"))
+    return fit(Sample.read(rows.orderBy("k", "t")), shares)
+
+
+class Sample:
+    """Documents as arrays of word numbers; every word, and what it is made of, is kept once."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.texts: list[np.ndarray] = []
+        self.y: list[int] = []
+
+    @classmethod
+    def read(cls, rows: DataFrame) -> Sample:
+        """The rows (t, y) in order, a partition at a time; of equal texts the first."""
+        made, seen = cls(), set()
+        for r in rows.select("t", "y").toLocalIterator():
+            digest = hashlib.md5(r["t"].encode(), usedforsecurity=False).digest()
+            if digest not in seen:
+                seen.add(digest)
+                made.add(r["t"], r["y"])
+        return made
+
+    def add(self, text: str, y: int) -> None:
+        number = self.words.setdefault
+        self.texts.append(np.fromiter((number(w, len(self.words)) for w in tokens(text)), np.int32))
+        self.y.append(y)
 
 
-def fit(texts: list[list[str]], y: np.ndarray, shares: dict[int, int], rounds: int = 60) -> Model:
+def fit(sample: Sample, shares: dict[int, int], rounds: int = 60) -> Model:
     """Label tokens, train the field on sentences, then the curve on documents."""
-    toxic = [set(t) for t, is_toxic in zip(texts, y, strict=True) if is_toxic]
-    clean = [set(t) for t, is_toxic in zip(texts, y, strict=True) if not is_toxic]
+    y = np.array(sample.y)
     share = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1.0)
     prior = float(np.log(share / (1 - share)))
-    if not toxic or not clean:
+    if y.all() or not y.any() or not sample.words:
         return Model({}, np.zeros(2), np.zeros((2, 2)), np.array([prior, 0.0, 0.0]))
-    marks = explain(toxic, clean)
-    sequences, targets = _sentences(texts, y, marks)
-    weights, start, step = _train_field(sequences, targets, rounds)
+    words = list(sample.words)
+    marks = explain(words, [np.unique(t) for t in sample.texts], y)
+    marked = np.array([any(f in marks for f in features(w)) for w in words], bool)
+    sequences, targets = _sentences(sample.texts, y, marked)
+    weights, start, step = _train_field(words, sequences, targets, rounds)
     model = Model(weights, start, step, np.zeros(3))
-    found = [model.gains(t) for t in texts]
-    sizes = np.array([len(x) for x in found])
-    gain = np.concatenate([np.array(x, float) for x in found])
-    starts = np.zeros(len(gain), bool)
-    first = np.cumsum(sizes) - sizes
-    starts[first[sizes > 0]] = True
-    x = summary(marginals(gain, starts, start, step), first, sizes)
+    x = _summaries(np.array([model.gain(w) for w in words]), sample.texts, start, step)
     counts = np.bincount(y, minlength=2)
     weight = np.array([shares.get(0, 1) / max(counts[0], 1), shares.get(1, 1) / max(counts[1], 1)])[y]
     model.curve = _logistic(x, y, weight / weight.mean())
-    model._known.clear()
     return model
 
 
-def explain(toxic: list[set[str]], clean: list[set[str]], least: int = 3, precision: float = 0.97) -> set[str]:
-    """Features that explain toxic documents, best first, each for documents not yet explained."""
-    def marks_of(words: set[str]) -> set[str]:
-        return {f for w in words for f in features(w) if f[0] in "wp"}
-
-    # rare features go before anything is kept for them
-    counts: dict[str, int] = {}
-    for d in toxic:
-        for f in marks_of(d):
-            counts[f] = counts.get(f, 0) + 1
-    pro: dict[str, list[int]] = {f: [] for f, n in counts.items() if n >= least}
-    del counts
-    against = dict.fromkeys(pro, 0)
-    for i, d in enumerate(toxic):
-        for f in marks_of(d):
-            if f in pro:
-                pro[f].append(i)
-    for d in clean:
-        for f in marks_of(d):
-            if f in against:
-                against[f] += 1
-    scale = len(toxic) / len(clean)
-    pure = {f: np.array(i) for f, i in pro.items() if len(i) / (len(i) + scale * against[f]) >= precision}
-    left, marks = np.ones(len(toxic), bool), set()
+def _summaries(gain: np.ndarray, texts: list[np.ndarray], start: np.ndarray, step: np.ndarray, block: int = 100_000) -> np.ndarray:
+    """``summary`` of every text, a block of texts of some ``block`` tokens at a time."""
+    out, some, total = [], [], 0
+    for text in [*texts, None]:
+        if some and (text is None or total + len(text) > block):
+            sizes = np.array([len(t) for t in some])
+            first = np.cumsum(sizes) - sizes
+            starts = np.zeros(total, bool)
+            starts[first[sizes > 0]] = True
+            out.append(summary(marginals(gain[np.concatenate(some)], starts, start, step), first, sizes))
+            some, total = [], 0
+        if text is not None:
+            some.append(text)
+            total += len(text)
+    return np.concatenate(out)
+
+
+def explain(words: list[str], documents: list[np.ndarray], y: np.ndarray, least: int = 3, precision: float = 0.97) -> set[str]:
+    """Features that explain toxic documents, best first, each for documents not yet explained.
+
+    ``documents`` are the distinct word numbers of each document.  Features for
+    which no document is left are kept where chance would not give a single one
+    of all features as many toxic documents among those that have it.
+    """
+    index: dict[str, int] = {}
+    made = [[index.setdefault(f, len(index)) for f in features(w) if f[0] in "wp"] for w in words]
+    ends = np.cumsum([0] + [len(m) for m in made])
+    flat = np.fromiter((f for m in made for f in m), np.int32, int(ends[-1]))
+    del made
+
+    def marks_of(own: np.ndarray) -> np.ndarray:
+        sizes = ends[own + 1] - ends[own]
+        return np.unique(flat[np.arange(sizes.sum()) + np.repeat(ends[own] - (np.cumsum(sizes) - sizes), sizes)])
+
+    counts = np.zeros((2, len(index)), np.int32)
+    for own, label in zip(documents, y.tolist(), strict=True):
+        counts[label, marks_of(own)] += 1
+    toxic = [own for own, label in zip(documents, y.tolist(), strict=True) if label]
+    scale = len(toxic) / (len(documents) - len(toxic))
+    pure = (counts[1] >= least) & (counts[1] >= precision * (counts[1] + scale * counts[0]))
+    hits: dict[int, list[int]] = {f: [] for f in np.flatnonzero(pure).tolist()}
+    for i, own in enumerate(toxic):
+        here = marks_of(own)
+        for f in here[pure[here]].tolist():
+            hits[f].append(i)
+    names = list(index)
+    share = len(toxic) / len(documents)
+    sure = [f for f in hits if _tail(int(counts[1, f]), int(counts[:, f].sum()), share) * len(index) < 1]
+    left, marks = np.ones(len(toxic), bool), {names[f] for f in sure}
     # greedy cover with stale bounds: a feature's gain only falls
-    heap = [(-len(i), -len(f), f) for f, i in pure.items()]
+    heap = [(-len(i), -len(names[f]), names[f], f) for f, i in hits.items()]
     heapq.heapify(heap)
     while heap:
-        bound, size, f = heapq.heappop(heap)
-        gain = int(left[pure[f]].sum())
+        bound, size, name, f = heapq.heappop(heap)
+        gain = int(left[hits[f]].sum())
         if gain < least:
             continue
         if gain < -bound:
-            heapq.heappush(heap, (-gain, size, f))
+            heapq.heappush(heap, (-gain, size, name, f))
             continue
-        marks.add(f)
-        left[pure[f]] = False
+        marks.add(name)
+        left[hits[f]] = False
     return marks
 
 
-def _sentences(texts: list[list[str]], y: np.ndarray, marks: set[str], width: int = 16) -> tuple[list[list[str]], list[np.ndarray]]:
+def _tail(hits: int, n: int, share: float) -> float:
+    """Probability of ``hits`` or more in ``n`` draws that hit with probability ``share``."""
+    return sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(hits, n + 1))
+
+
+def _sentences(texts: list[np.ndarray], y: np.ndarray, marked: np.ndarray, width: int = 16) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Stretches of ``width`` tokens: all with a marked token, and twice as many without, clean documents first."""
-    marked, plain = [], []
-    for words, is_toxic in sorted(zip(texts, y.tolist(), strict=True), key=lambda x: x[1]):
-        for at in range(0, len(words), width):
-            part = words[at : at + width]
-            tags = np.array([bool(is_toxic) and any(f in marks for f in features(w)) for w in part], float)
-            (marked if tags.any() else plain).append((part, tags))
-    step = max(1, len(plain) // (2 * len(marked) + 2000))
-    chosen = marked + plain[::step]
+    with_marks, plain = [], []
+    for i in np.argsort(y, kind="stable").tolist():
+        text = texts[i]
+        tags = (marked[text] & bool(y[i])).astype(float)
+        for at in range(0, len(text), width):
+            part = (text[at : at + width], tags[at : at + width])
+            (with_marks if part[1].any() else plain).append(part)
+    step = max(1, len(plain) // (2 * len(with_marks) + 2000))
+    chosen = with_marks + plain[::step]
     return [c[0] for c in chosen], [c[1] for c in chosen]
 
 
-def _train_field(sequences: list[list[str]], targets: list[np.ndarray], rounds: int, decay: float = 1e-4) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
+def _train_field(
+    words: list[str], sequences: list[np.ndarray], targets: list[np.ndarray], rounds: int, decay: float = 1e-4
+) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over all sequences at once; features seen in fewer than three sequences have no weight."""
-    types: dict[str, int] = {}
-    own = np.array([types.setdefault(w, len(types)) for s in sequences for w in s])
+    used, own = np.unique(np.concatenate(sequences), return_inverse=True)
+    types = [words[i] for i in used.tolist()]
     counts: dict[str, int] = {}
-    for w, n in zip(types, np.bincount(own), strict=True):
+    for w, n in zip(types, np.bincount(own).tolist(), strict=True):
         for f in features(w):
-            counts[f] = counts.get(f, 0) + int(n)
+            counts[f] = counts.get(f, 0) + n
     index = {f: i + 1 for i, f in enumerate(f for f, n in counts.items() if n >= 3)}
     rows, columns = [], []
-    for w, i in types.items():
+    for i, w in enumerate(types):
         hit = [0] + [index[f] for f in features(w) if f in index]
         rows += [i] * len(hit)
         columns += hit

@@ -97,7 +97,7 @@ def test_a_repeated_key_gives_few_texts_to_training(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     got = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, y, shares: got.append((len(texts), y.tolist())))
+    monkeypatch.setattr(toxicity, "fit", lambda sample, shares: got.append((len(sample.texts), sample.y)))
     monkeypatch.setattr(toxicity, "held_out", lambda key: F.lit(False))
     toxicity.train(docs, labels)
     assert got == [(6, [1] * 4 + [0] * 2)]
