@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Column names the operators add for themselves; an input column of that name is refused.
+#: Beginning of the names of columns that the operators add for themselves.
 HIDDEN = "__llm_"
 
 
+def refuse_hidden(df: DataFrame) -> None:
+    """Raise where a column has a name that the operators use for their own."""
+    taken = [name for name in df.columns if name.lower().startswith(HIDDEN)]
+    if taken:
+        raise ValueError(f"columns may not begin with {HIDDEN}: {', '.join(taken)}")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables, whole."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

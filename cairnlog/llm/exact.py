@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, settle, workspace
-from .common import text_or_empty
+from .common import refuse_hidden, text_or_empty
 
 #: State on disk; files of many small stores are not reserved ahead.
 _STATE = {
@@ -156,6 +156,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Rows that stay are found by (key, text digest), so texts are not compared
     again.  Of rows equal in key and text one stays, whichever.
     """
+    refuse_hidden(df)
     found = deduplicate(df, key, text)
     keep = settle(
         found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")).where("kept")

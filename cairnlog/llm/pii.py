@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_names, least_hashes, slices, text_or_empty, with_fields
+from .common import fresh_names, least_hashes, refuse_hidden, slices, text_or_empty, with_fields
 from .recurrent import REST, Network, codes, decode, train
 from .syncmers import code_points
 
@@ -279,6 +279,7 @@ def mask(df: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     Overlapping spans become one mark, of the first one's kind.  A null text
     stays null.
     """
+    refuse_hidden(df)
 
     def work(texts: list[str], net: Network | None) -> list[pa.Array]:
         return [pa.array([_masked(t, s) for t, s in zip(texts, all_spans(texts, net)[1], strict=True)], pa.string())]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, settle
-from .common import arrow_map, partitions
+from .common import arrow_map, partitions, refuse_hidden
 
 SEED = 42
 _LOW = np.uint64(0x0101010101010101)
@@ -288,6 +288,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Rows that share that key are not told apart and stay together; rows without a
     key stay, since nothing names them.
     """
+    refuse_hidden(df)
     found = components(df, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("__llm_k")).distinct()
     keep = settle(found)
     own = F.col(f"`{key}`").cast("bigint") == F.col("__llm_k")
