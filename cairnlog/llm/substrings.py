@@ -13,7 +13,7 @@ from ..session import broadcast_if_small, settle
 from .common import fresh_names, text_or_empty, with_fields
 from .suffixes import cover, repeated_windows, text_anchors
 
-ADDED = ["n_bytes", "n_removed", "n_spans", "kept"]
+ADDED = ["n_bytes", "n_removed", "n_spans", "n_repeated_grams", "kept"]
 _KEY = ["k_id", "k_text"]
 #: Spread of the text's part of a row's key, so that it is no hash used elsewhere.
 _SALT = "substrings"
@@ -26,12 +26,14 @@ def remove_repeats(
     length: int = 400,
     group_limit: int = 32_768,
 ) -> DataFrame:
-    """``df`` without ``text``, plus n_bytes, n_removed, n_spans and kept (binary).
+    """``df`` without ``text``, plus n_bytes, n_removed, n_spans, n_repeated_grams and kept (binary).
 
     Each byte of a text (UTF-8; null is empty) goes that a ``length``-byte string
     covers which starts at another place too, in this or any other row; strings
     are judged on the input.  Repeated rows repeat each other's strings, whether
     or not their keys are equal or null.  Texts shorter than ``length`` keep all.
+    ``n_repeated_grams`` counts the text's anchors whose ``length`` / 2 bytes start
+    elsewhere, too: it tells of shared passages that are too short to be removed.
     ``group_limit`` bounds the distinct surroundings one task compares at once;
     larger buckets are cut, and their windows compared across the parts.
     """
@@ -48,7 +50,9 @@ def remove_repeats(
     )
     refined = _refine(df, key, text, shared.where("mixed"), length, gram, group_limit)
     intervals = agreed.unionByName(refined).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    return _apply(df, key, text, settle(intervals.mapInArrow(_merged, intervals.schema)))
+    counts = shared.groupBy(*_KEY).agg(F.count_distinct("position").alias("n_repeated_grams"))
+    merged = intervals.mapInArrow(_merged, intervals.schema)
+    return _apply(df, key, text, settle(counts.join(merged, _KEY, "left")))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,11 +219,11 @@ def mix_parts(bucket: np.ndarray, part: np.ndarray, back: np.ndarray, window: np
 
 def _apply(df: DataFrame, key: str, text: str, intervals: DataFrame) -> DataFrame:
     names = [n for n in fresh_names(df, ADDED) if n != text]
-    size = intervals.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("runs")).alias("m")).first()
+    size = intervals.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("runs"), F.lit(0))).alias("m")).first()
     small = broadcast_if_small(intervals, 2 * size["n"] + (size["m"] or 0), 24)
     # names of the input stay apart from the key's, whatever they are called
     source = df.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("r"), F.col(f"`{key}`").alias("id"), text_or_empty(text).alias("t"))
-    source = _keyed(source, "id", "t").join(small, _KEY, "left").select("r.*", "t", "runs")
+    source = _keyed(source, "id", "t").join(small, _KEY, "left").select("r.*", "t", "runs", F.coalesce("n_repeated_grams", F.lit(0)).alias("met"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +239,7 @@ def _apply(df: DataFrame, key: str, text: str, intervals: DataFrame) -> DataFram
                 spans.append(len(found))
                 edges = [0, *found.ravel().tolist(), data.size]
                 kept.append(b"".join(data[a:b].to_pybytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            made = [pa.array(x, pa.int64()) for x in (sizes, removed, spans)] + [pa.array(kept, pa.binary())]
+            made = [pa.array(x, pa.int64()) for x in (sizes, removed, spans)] + [batch.column(len(names) + 2), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *ADDED])
 
-    return source.mapInArrow(run, with_fields(df, names, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
+    return source.mapInArrow(run, with_fields(df, names, "n_bytes bigint, n_removed bigint, n_spans bigint, n_repeated_grams bigint, kept binary"))

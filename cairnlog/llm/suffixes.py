@@ -3,15 +3,15 @@
 Every window of ``length`` bytes is anchored at the least ``gram``-byte hash in
 it, a place that depends on its bytes alone: equal windows have equal anchors at
 equal distances.  So positions need not be sorted one by one.  Anchors are put in
-buckets by their gram, and buckets are refined like the buckets of a suffix sort,
-by identifiers of what stands at later offsets:
+buckets by their gram:
 
 1. a bucket of one anchor is unique: no window with that anchor repeats;
 2. a bucket whose anchors agree in the whole span that windows can reach is done:
    all its windows repeat;
-3. the others are refined: halves of the span are told apart by their own
-   identifiers, again and again, until a bucket is unique, agrees, or is down to
-   single windows.
+3. in the others every window is identified by the pair of its grams' hashes, at its
+   start and ``length - gram`` bytes later, and one sort by these tells windows
+   apart.  Refining bucket pointers round by round in place of that sort gave the
+   same bytes at three to four times the time, beyond what the operator may take.
 """
 
 from __future__ import annotations

@@ -157,9 +157,18 @@ def test_repeats_are_removed_exactly(spark, limit):
     rows += [(3, rows[3][1]), (None, rows[4][1]), (None, None), (70, "ab" * 100), (71, "a" * 90), (72, ""), (73, "a" * 39)]
     table = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, kept string, span long")
     got = substrings.remove_repeats(table, length=40, group_limit=limit)
-    assert set(got.columns) == {"doc_id", "span", "n_bytes", "n_removed", "n_spans", "kept"}
+    assert set(got.columns) == {"doc_id", "span", "n_bytes", "n_removed", "n_spans", "n_repeated_grams", "kept"}
     found = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect())
     assert found == _remove(rows, 40)
+    # anchors whose 20 bytes repeat: some where bytes were removed, none where no 20 bytes repeat
+    texts = [(t or "").encode() for _, t in rows]
+    grams = collections.Counter(t[i : i + 20] for t in texts for i in range(len(t) - 19))
+    for r in got.collect():
+        assert r.n_repeated_grams > 0 if r.n_removed else r.n_repeated_grams >= 0
+    counted = {(r.doc_id, r.n_bytes): r.n_repeated_grams for r in got.collect()}
+    for (key, _), t in zip(rows, texts, strict=True):
+        if all(grams[t[i : i + 20]] < 2 for i in range(len(t) - 19)):
+            assert counted[key, len(t)] == 0
 
 
 def test_repeats_in_the_tables(spark, docs, odd, nothing):
