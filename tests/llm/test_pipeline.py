@@ -53,6 +53,10 @@ def test_run(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_return_a_row_for_each_of_the_table(spark, name):
     result = queries.QUERIES[name](spark, SF)
+    if name == "op11_prefix_trie":  # a row a node: every conversation ends at one
+        table = spark.read.parquet(f"{SF}/conversations.parquet")
+        assert result.where("depth = 0").first().n_convs == table.select("conv_id").distinct().count()
+        return
     table = "pages" if "page_id" in result.columns else "documents"
     rows = result.count()
     whole = spark.read.parquet(f"{SF}/{table}.parquet").count()
