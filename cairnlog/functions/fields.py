@@ -60,6 +60,13 @@ def order_columns(df: DataFrame, order_by: Sequence[str] | str | None = None) ->
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns: maps as their entries, VARIANT values as their JSON."""
+    hashable = {T.MapType: F.map_entries, T.VariantType: F.to_json}
+    columns = [(F.col(f"`{f.name}`"), hashable.get(type(f.dataType))) for f in df.schema.fields]
+    return F.xxhash64(*[plain(c) if plain else c for c, plain in columns])
+
+
 def has_field(df: DataFrame, name: str) -> Column:
     """Is the key there?  In an ordinary table a NULL counts as absent."""
     if is_typed(df):

@@ -18,9 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.fields import LINE_ORDER, order_columns
+from ..functions.fields import LINE_ORDER, order_columns, row_hash
 from ..functions.text import pinned
 from ..functions.timestamps import micros
 from ..session import broadcast_if_small, settle, ship_package
@@ -80,7 +79,7 @@ def evaluate_rules(
     stamped = stamped.withColumn("_t", micros(F.col("fired_at"))).withColumn("_cooldown", F.get(cooldowns, F.col("rule_no")))
     keys = list(order)
     if tuple(order) != LINE_ORDER:
-        stamped, keys = stamped.withColumn("_tie", _row_hash(df)), [*order, "_tie"]
+        stamped, keys = stamped.withColumn("_tie", row_hash(df)), [*order, "_tie"]
     always = (F.col("_cooldown") == 0) | F.col("_t").isNull()
     fired = stamped
     if any(rule.cooldown_micros for rule in rules):
@@ -103,12 +102,6 @@ def evaluate_rules(
     return fired.withColumn("channels", F.get(channels, F.col("rule_no")))
 
 
-def _row_hash(df: DataFrame) -> Column:
-    """A hash of all columns, maps as their entries."""
-    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
-    return F.xxhash64(*[F.map_entries(f"`{c}`") if c in maps else F.col(f"`{c}`") for c in df.columns])
-
-
 def _names(names: Sequence[str]) -> Column:
     return F.array(*[F.lit(n) for n in names]).cast("array<string>")
 

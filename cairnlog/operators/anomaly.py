@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.fields import numeric, order_columns
-from .blocks import earlier_blocks, with_block
+from .blocks import earlier_blocks, with_block, with_ties_broken
 
 THRESHOLD = 3.0
 MIN_SAMPLES = 30
@@ -32,10 +32,13 @@ def score_anomalies(
     NULL until there are ``min_samples`` of them and while they are all equal;
     it is an anomaly when strictly above the threshold.  ``reset_when`` restarts
     the statistics at the entries where it is true.  ``prior`` holds what went
-    before the first entry, as :func:`totals_of` gives it.
+    before the first entry, as :func:`totals_of` gives it.  Entries that tie in
+    the order follow a hash of all their columns.  In an order other than that of
+    lines the entries are written once with all columns, so select what is needed.
     """
     order = order_columns(df, order_by)
-    scored, keys = _keyed(df, partition_by)
+    unique, order = with_ties_broken(df, order)
+    scored, keys = _keyed(unique, partition_by)
     if reset_when is not None:
         scored = scored.withColumn("_reset", F.coalesce(reset_when, F.lit(False)).cast("long"))
     cut = with_block(scored.withColumn("value", numeric(df, name)), order)

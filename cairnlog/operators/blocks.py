@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.fields import LINE_ORDER
+from ..functions.fields import LINE_ORDER, row_hash
 from ..session import settle
 
 #: Lines of one split in a block; splits are bounded already, unless a file can't be split.
@@ -37,6 +37,19 @@ def with_block(df: DataFrame, order_by: Sequence[str], name: str = "_block") ->
     return settle(df.repartitionByRange(*order_by).withColumn(name, F.spark_partition_id()))
 
 
+def with_ties_broken(df: DataFrame, order_by: Sequence[str], name: str = "_tie") -> tuple[DataFrame, list[str]]:
+    """The rows and an order in which those that tie follow a hash of all their columns.
+
+    So a row's past does not depend on how the rows are partitioned, and an instant
+    that holds most rows, or an order that is the same for all, is cut into blocks
+    like any other.  Only rows equal in every column stay together; which of them
+    comes first makes no difference.  Lines have an order without ties.
+    """
+    if tuple(order_by) == LINE_ORDER:
+        return df, list(order_by)
+    return df.withColumn(name, row_hash(df)), [*order_by, name]
+
+
 def earlier_blocks(keys: Sequence[str], block: str = "_block") -> WindowSpec:
     """Window over per-block totals: all blocks before the current one."""
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import field, order_columns
-from .blocks import earlier_blocks, earliest, with_block
+from .blocks import earlier_blocks, earliest, with_block, with_ties_broken
 
 
 def count_by(df: DataFrame, name: str) -> DataFrame:
@@ -53,10 +53,12 @@ def group_by(df: DataFrame, name: str, order_by: Sequence[str] | str | None = No
     """Every entry with its group and its position (from 1) inside it.
 
     Groups stay rows: a list per group would have to fit one task.  Positions are
-    counted block by block.
+    counted block by block.  Entries that tie in the order follow a hash of all
+    their columns.  In an order other than that of lines the entries are written
+    once with all columns, so select what is needed.
     """
-    order = order_columns(df, order_by)
-    grouped = df.withColumn("group", field(df, name))
+    unique, order = with_ties_broken(df, order_columns(df, order_by))
+    grouped = unique.withColumn("group", field(df, name))
     cut = with_block(grouped, order)
     before = (
         cut.groupBy("group", "_block")
@@ -68,8 +70,7 @@ def group_by(df: DataFrame, name: str, order_by: Sequence[str] | str | None = No
         cut.withColumn("_inside", F.row_number().over(inside))
         .join(before, ["group", "_block"])
         .withColumn("position", F.coalesce("_before", F.lit(0)) + F.col("_inside"))
-        .drop("_block", "_before", "_inside")
-        .select(*grouped.columns, "position")
+        .select(*[c for c in grouped.columns if c != "_tie"], "position")
     )
 
 

@@ -430,8 +430,8 @@ def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def group_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = counting.group_by(logs.events(spark, sf_dir), "event_type", order_by="event_id")
-    return grouped.select("group", "position", "event_id")
+    events = logs.events(spark, sf_dir).select("event_id", "event_type")
+    return counting.group_by(events, "event_type", order_by="event_id").select("group", "position", "event_id")
 
 
 @query
@@ -441,6 +441,16 @@ def group_buckets_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("group", "position", "o_orderkey")
 
 
+@query
+def group_positions_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Days hold many orders, and the order within a day is left to the operator.
+    orders = logs.table(spark, sf_dir, "orders").select("o_orderdate", "o_orderstatus", "o_orderkey")
+    grouped = counting.group_by(orders, "o_orderstatus", "o_orderdate")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
+    positions = [F.min("position").alias("first"), F.max("position").alias("last"), F.count_distinct("position").alias("count")]
+    return grouped.groupBy("group", day).agg(*positions)
+
+
 @query
 def group_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.group_items(_mixed_frame(spark, sf_dir), "level", "unknown").select("seq")
@@ -604,8 +614,8 @@ def _scores(scored: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = anomaly.score_anomalies(logs.table(spark, sf_dir, "events"), "value", order_by="event_id")
-    return _scores(scored, "event_id")
+    events = logs.table(spark, sf_dir, "events").select("event_id", "value")
+    return _scores(anomaly.score_anomalies(events, "value", order_by="event_id"), "event_id")
 
 
 @query
@@ -616,11 +626,20 @@ def anomaly_scores_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def anomaly_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = logs.table(spark, sf_dir, "events")
+    events = logs.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     scored = anomaly.score_anomalies(events, "value", order_by="event_id", partition_by=["event_type"])
     return _scores(scored, "event_type", "event_id")
 
 
+@query
+def anomaly_tied_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # An order that is the same for all entries of a type: each has all numbers of the earlier types in its past.
+    events = logs.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    scored = anomaly.score_anomalies(events, "value", order_by="event_type")
+    past = [F.min("n").alias("least"), F.max("n").alias("most"), F.count_distinct("n").alias("pasts")]
+    return scored.groupBy("event_type").agg(*past)
+
+
 @query
 def anomaly_log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = _mixed_frame(spark, sf_dir).withColumn("file", F.lit("all"))

@@ -263,6 +263,10 @@ ORACLE: dict[str, str] = {
     "group_buckets_in_blocks": (
         'SELECT o_orderstatus AS "group", row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS position, o_orderkey FROM orders'
     ),
+    "group_positions_tied": (
+        'SELECT o_orderstatus AS "group", CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, min(position) AS first, max(position) AS last, count(DISTINCT position) AS count'
+        " FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS position FROM orders) GROUP BY 1, 2"
+    ),
     "group_items": _mixed("SELECT seq FROM mixed WHERE format = 'raw'"),
     "group_keys": _mixed("SELECT DISTINCT coalesce(e_level, 'unknown') AS \"group\" FROM entries"),
     "group_counts": 'SELECT l_returnflag AS "group", count(*) AS count FROM lineitem GROUP BY 1',
@@ -303,6 +307,10 @@ UNION ALL SELECT 'numeric', NULL, 'skipped', 0.0""",
     "anomaly_by_key": (
         f"WITH {_past('events', 'value', 'PARTITION BY event_type', 'event_id')} SELECT event_type, event_id, z_score, is_anomaly, n FROM judged"
     ),
+    "anomaly_tied_order": (
+        f"WITH {_past('events', 'value', '', 'event_type, event_id')}"
+        " SELECT event_type, min(n) AS least, max(n) AS most, count(DISTINCT n) AS pasts FROM judged GROUP BY 1"
+    ),
     "anomaly_log_entries": (
         f"WITH {MIXED}, {_past('entries', 'CASE WHEN turn = 0 THEN value END', '', 'seq', 2.5, 10)}"
         " SELECT seq, v IS NULL AS skipped, z_score FROM judged"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnlog.operators import anomaly, counting, custom, numeric, sketches
-from cairnlog.operators.blocks import LINES_PER_BLOCK, with_block
+from cairnlog.operators.blocks import LINES_PER_BLOCK, with_block, with_ties_broken
 from cairnlog.operators.stats import stats
 
 from .conftest import dicts
@@ -74,6 +74,39 @@ def test_blocks_sort_like_an_order_of_any_type(spark):
     assert rows == sorted(rows)
 
 
+@pytest.mark.parametrize("day", ["1", "id div 900", "IF(id > 1000, 5, NULL)"])
+def test_tied_orders_are_cut_and_defined(spark, day):
+    """One past per entry, whatever the partitions; NULLs, repeated rows and maps included."""
+    table = spark.range(3000).select(
+        F.expr(day).alias("day"), (F.col("id") % 700).cast("double").alias("v"), F.create_map(F.lit("k"), F.col("id") % 1400).alias("m"),
+        F.when(F.col("id") % 9 > 0, (F.col("id") % 2).cast("string")).alias("g"),
+    )
+
+    def results(parts):
+        dealt = table.repartition(parts)
+        scored = anomaly.score_anomalies(dealt, "v", order_by="day").select("day", "v", "m.k", "g", "n", F.round("mean", 6))
+        placed = counting.group_by(dealt, "g", "day").select("day", "v", "m.k", "group", "position")
+        assert "_tie" not in placed.columns
+        return [sorted(map(str, rows.collect())) for rows in (scored, placed)]
+
+    assert results(4) == results(3)
+    seen = anomaly.score_anomalies(table, "v", order_by="day").agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(seen) == (3000, 0, 2999)
+    unique, order = with_ties_broken(table, ["day"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = with_block(unique, order).groupBy("_block").count()
+        assert blocks.count() > 1 and blocks.agg(F.max("count")).first()[0] < 1500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tied_orders_of_nothing(spark):
+    nothing = spark.createDataFrame([], "day int, v double")
+    assert anomaly.score_anomalies(nothing, "v", order_by="day").count() == 0
+    assert counting.group_by(nothing, "v", "day").count() == 0
+
+
 def test_input_is_read_few_times(spark):
     def passes(work, rows=200):
         seen = spark.sparkContext.accumulator(0)
