@@ -6,7 +6,9 @@ then joined pair by pair: the text around a join is encoded anew in a window tha
 grows on both sides until the first and the last id of the window are ids that
 the sides already had.  In a BPE encoding every two neighbouring ids are
 compatible, and a sequence of which this holds is the encoding, so agreement at
-both edges makes the joined ids exact.
+both edges makes the joined ids exact.  How a text is split before its bytes are
+merged depends on what follows in runs of white space only, so neither a piece
+nor a window ends in one.
 """
 
 from __future__ import annotations
@@ -21,15 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HIDDEN, arrow_map, fresh_names, text_or_empty
-from .tokens import END_OF_TEXT, ByteBpe, byte_bpe, is_plain
+from .tokens import END_OF_TEXT, ByteBpe, byte_bpe
 
-#: Where a pre-token ends whatever stands around: white space between a plain character and a letter.
-_SAFE = regex.compile(r"[A-Za-z0-9.,;:!?][ \n][A-Za-z]")
-TEXT, UNIT = 0, 1
+#: Where a split is sure, after one character: white space between a letter, number or mark and a letter.
+_SURE = regex.compile(r"[\p{L}\p{N}.,;:!?](?=[ \n]\p{L})")
 
 
 def encode(
-    df: DataFrame, file: str, ranks: str, text: str = "text", ids: str = "ids", leaf_chars: int = 65_536
+    df: DataFrame, file: str, ranks: str, text: str = "text", ids: str = "ids", leaf_chars: int = 8192
 ) -> DataFrame:
     """``df`` with the column ``ids`` (array<int>): the ids of the whole text, no special tokens added.
 
@@ -91,127 +92,74 @@ def _encode_long(texts: DataFrame, file: str, ranks: str, leaf_chars: int) -> Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digest, text in zip(batch["digest"].to_pylist(), batch["t"].to_pylist(), strict=True):
-                pieces, kinds = leaves(text, leaf_chars)
-                n = len(pieces)
+                pieces = leaves(text, leaf_chars)
                 yield pa.RecordBatch.from_pydict(
-                    {"digest": [digest] * n, "leaf": list(range(n)), "kind": kinds, "piece": pieces},
-                    schema=pa.schema([("digest", "string"), ("leaf", pa.int32()), ("kind", pa.int32()), ("piece", "string")]),
+                    {"digest": [digest] * len(pieces), "leaf": list(range(len(pieces))), "piece": pieces},
+                    schema=pa.schema([("digest", "string"), ("leaf", pa.int32()), ("piece", "string")]),
                 )
 
     def leaf_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(file, ranks)
         for batch in batches:
-            made = [
-                bpe.ids(p) if kind == TEXT else encode_unit(bpe, p)
-                for p, kind in zip(batch["piece"].to_pylist(), batch["kind"].to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch["digest"], batch["leaf"], batch["kind"], _lists(made)], names=["digest", "leaf", "kind", "ids"]
-            )
+            made = [bpe.ids(p) for p in batch["piece"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["digest"], batch["leaf"], _lists(made)], names=["digest", "leaf", "ids"])
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("leaf")
-        ids = concatenate(byte_bpe(file, ranks), [np.asarray(x, "u4") for x in group["ids"]], list(group["kind"]))
+        ids = concatenate(byte_bpe(file, ranks), [np.asarray(x, "u4") for x in group["ids"]])
         return pd.DataFrame({"digest": [group["digest"].iloc[0]], "ids": [ids.astype("i4")]})
 
-    pieces = distinct.mapInArrow(cut, "digest string, leaf int, kind int, piece string")
-    encoded = pieces.repartition("digest", "leaf").mapInArrow(leaf_ids, "digest string, leaf int, kind int, ids array<int>")
+    pieces = distinct.mapInArrow(cut, "digest string, leaf int, piece string")
+    encoded = pieces.repartition("digest", "leaf").mapInArrow(leaf_ids, "digest string, leaf int, ids array<int>")
     return encoded.groupBy("digest").applyInPandas(tree, "digest string, ids array<int>")
 
 
-def leaves(text: str, size: int) -> tuple[list[str], list[int]]:
-    """Pieces of at most about ``size`` characters, and how each hangs on the one before.
+def leaves(text: str, size: int) -> list[str]:
+    """The text in pieces of at most some ``size`` characters, halved where a split is sure, else after any character.
 
-    TEXT: a pre-token ends there, so both sides keep their cutting.  UNIT: both
-    belong to one pre-token.  A text is halved at white space near its middle; a
-    plain text without such a place is cut at its pre-tokens, and a pre-token
-    beyond ``size`` in halves.  Other scripts without any white space stay whole.
+    No piece but the last ends in white space, and special tokens stay whole: a
+    run of white space beyond ``size`` is not cut.
     """
     pieces: list[str] = []
-    kinds: list[int] = []
-
-    def put(piece: str, kind: int) -> None:
-        pieces.append(piece)
-        kinds.append(kind)
-
-    def unit(piece: str, kind: int) -> None:
-        if len(piece) <= size:
-            put(piece, kind)
+    left = [(0, len(text))]
+    while left:
+        start, end = left.pop()
+        at = _place(text, start, end) if end - start > size else None
+        if at is None:
+            pieces.append(text[start:end])
         else:
-            half = len(piece) // 2
-            unit(piece[:half], kind)
-            unit(piece[half:], UNIT)
-
-    def halve(start: int, end: int) -> None:
-        if end - start <= size:
-            return put(text[start:end], TEXT)
-        middle = (start + end) // 2
-        found = _SAFE.search(text, middle, end)
-        if found is None:
-            for found in _SAFE.finditer(text, start, middle + 2):  # noqa: B007  the last one
-                pass
-        if found is not None:
-            halve(start, found.start() + 1)
-            return halve(found.start() + 1, end)
-        part = text[start:end]
-        if END_OF_TEXT in part or not is_plain(part):
-            return put(part, TEXT)
-        gathered = ""
-        for match in _pre_tokens().finditer(part):
-            token = match[0]
-            if gathered and len(gathered) + len(token) > size:
-                put(gathered, TEXT)
-                gathered = ""
-            if len(token) > size:
-                unit(token, TEXT)
+            left += [(at, end), (start, at)]
+    return pieces
+
+
+def _place(text: str, start: int, end: int) -> int | None:
+    """Where to cut, near the middle; None if all is white space or one special token."""
+    middle = (start + end) // 2
+    found = _SURE.search(text, middle, min(end, middle + 1000))
+    at = found.end() if found else middle
+    # First onwards, then backwards, past white space and out of a special token.
+    for step in (1, -1):
+        while start < at < end:
+            mark = text.find(END_OF_TEXT, max(start, at - len(END_OF_TEXT) + 1), min(end, at + len(END_OF_TEXT) - 1))
+            if 0 <= mark < at:
+                at = mark + len(END_OF_TEXT) if step > 0 else mark
+            elif text[at - 1].isspace():
+                at += step
             else:
-                gathered += token
-        if gathered:
-            put(gathered, TEXT)
-
-    halve(0, len(text))
-    return pieces, kinds
-
-
-def _pre_tokens() -> regex.Pattern:
-    import public_tokenizers
-
-    return regex.compile(public_tokenizers.PATTERN)
+                return at
+        at = middle
+    return None
 
 
-def encode_unit(bpe: ByteBpe, piece: str, leaf: int = 512) -> np.ndarray:
-    """The ids of one pre-token (or a part), by halves as well: merging is slow on long runs."""
-    parts = [piece[i : i + leaf] for i in range(0, len(piece), leaf)]
-    return concatenate(bpe, [np.array(bpe.unit(p), "u4") for p in parts], [UNIT] * len(parts))
-
-
-def concatenate(bpe: ByteBpe, ids: list[np.ndarray], kinds: list[int]) -> np.ndarray:
-    """Join encoded neighbours pair by pair; ``kinds[i]`` tells how piece i hangs on piece i - 1.
-
-    Pieces of one pre-token are joined first, then the pre-tokens.
-    """
-    for level in (UNIT, TEXT):
-        while True:
-            joined: list[np.ndarray] = []
-            kept: list[int] = []
-            i = 0
-            while i < len(ids):
-                if i + 1 < len(ids) and kinds[i + 1] >= level:
-                    joined.append(join(bpe, ids[i], ids[i + 1], kinds[i + 1]))
-                    kept.append(kinds[i])
-                    i += 2
-                else:
-                    joined.append(ids[i])
-                    kept.append(kinds[i])
-                    i += 1
-            done = len(joined) == len(ids)
-            ids, kinds = joined, kept
-            if done:
-                break
+def concatenate(bpe: ByteBpe, ids: list[np.ndarray]) -> np.ndarray:
+    """Join encoded neighbours pair by pair until one is left."""
+    while len(ids) > 1:
+        pairs = [join(bpe, a, b) for a, b in zip(ids[::2], ids[1::2], strict=False)]
+        ids = pairs + ids[2 * len(pairs) :]
     return ids[0] if ids else np.empty(0, "u4")
 
 
-def join(bpe: ByteBpe, left: np.ndarray, right: np.ndarray, kind: int, start: int = 4) -> np.ndarray:
+def join(bpe: ByteBpe, left: np.ndarray, right: np.ndarray, start: int = 4) -> np.ndarray:
     """The ids of two neighbouring pieces as one, from windows around the join that double until both sides agree."""
     if not len(left) or not len(right):
         return np.concatenate((left, right))
@@ -220,10 +168,9 @@ def join(bpe: ByteBpe, left: np.ndarray, right: np.ndarray, kind: int, start: in
         a, b = min(width, len(left)), min(width, len(right))
         while a < len(left) and _cut_character(bpe, left[-a]):
             a += 1
-        while b < len(right) and _cut_character(bpe, right[b]):
+        while b < len(right) and (_cut_character(bpe, right[b]) or _ends_in_space(bpe, right[:b])):
             b += 1
-        window = (bpe.raw(left[len(left) - a :]) + bpe.raw(right[:b])).decode("utf-8")
-        new = bpe.ids(window) if kind == TEXT else np.array(bpe.unit(window), "u4")
+        new = bpe.ids((bpe.raw(left[len(left) - a :]) + bpe.raw(right[:b])).decode("utf-8"))
         if (a == len(left) or new[0] == left[-a]) and (b == len(right) or new[-1] == right[b - 1]):
             return np.concatenate((left[: len(left) - a], new, right[b:]))
         width *= 2
@@ -232,3 +179,8 @@ def join(bpe: ByteBpe, left: np.ndarray, right: np.ndarray, kind: int, start: in
 def _cut_character(bpe: ByteBpe, number: int) -> bool:
     """Whether a token begins inside a character."""
     return 0x80 <= bpe.bytes_of[number][0] < 0xC0
+
+
+def _ends_in_space(bpe: ByteBpe, ids: np.ndarray) -> bool:
+    """Whether the text of ids ends in white space; a character has four ids at most."""
+    return bpe.raw(ids[-4:]).decode("utf-8", "ignore")[-1:].isspace()

@@ -39,9 +39,6 @@ class ByteBpe:
         self.words = tiktoken.Encoding(
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
         )
-        self.units = tiktoken.Encoding(
-            "units", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={}
-        )
         self.special = self.library.token_to_id(END_OF_TEXT)
         self.size = max(max(table.values()), self.special) + 1
         self.bytes_of: list[bytes] = [b""] * self.size
@@ -65,10 +62,6 @@ class ByteBpe:
             return self.words.encode_to_numpy(text, disallowed_special=()).astype("u4", copy=False)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "u4")
 
-    def unit(self, text: str) -> list[int]:
-        """The ids of one pre-token (or a part of one): merges only, no cutting."""
-        return self.units.encode_ordinary(text)
-
     def raw(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))

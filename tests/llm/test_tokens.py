@@ -44,12 +44,32 @@ def test_joined_halves_are_the_whole(both, libraries):
     kinds = ["aab", "abcdefgh", "é日a😀", "0123456789", "-=*", "the ing tion and", "x\n y"]
     for _ in range(150):
         text = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(2, 300)))
-        pieces, how = bpe.leaves(text, rng.randint(1, 40))
+        pieces = bpe.leaves(text, rng.randint(1, 40))
         assert "".join(pieces) == text
-        ids = [own.ids(p) if k == bpe.TEXT else np.array(own.unit(p), "u4") for p, k in zip(pieces, how, strict=True)]
-        assert bpe.concatenate(own, ids, how).tolist() == byte.encode(text, add_special_tokens=False).ids
+        assert bpe.concatenate(own, [own.ids(p) for p in pieces]).tolist() == byte.encode(text, add_special_tokens=False).ids
     run = "".join(rng.choice("ab") for _ in range(5000))
-    assert bpe.encode_unit(own, run, leaf=64).tolist() == byte.encode(run, add_special_tokens=False).ids
+    assert bpe.concatenate(own, [own.ids(p) for p in bpe.leaves(run, 64)]).tolist() == byte.encode(run, add_special_tokens=False).ids
+
+
+def test_long_texts_of_any_script_are_cut(both, libraries):
+    """Ids of the whole from leaves of few characters: words, marks, contractions, white space and special tokens."""
+    own, byte = both[0], libraries[0]
+    rng = random.Random(5)
+    words = {
+        "Cyrillic": ["съешь", "же", "ещё", "этих", "булок", "да", "№7", "—"], "Greek": ["ξεσκεπάζω", "την", "ψυχή", "ΣΑΣ", "ό,τι"],
+        "Arabic": ["نصٌّ", "حكيمٌ", "له", "سرٌّ", "١٢٣", "،"], "Hindi": ["हिन्दी", "में", "लेख", "।"], "marks": ["don't", "x'", "'s", "…", "\u00a0", "\u3000", "😀"],
+    }
+    solid = ["日本語の文章です。", "二つ目、", "가나다", "「引用」", "１２３", "é", "'s", "<|endoftext|>", "😀", "\u3000", "𠀀", "a"]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choices(w, k=120)) for w in words.values()]
+    texts += [" ".join(rng.choices(sum(words.values(), []) + solid, k=200)) for _ in range(10)]
+    texts += ["".join(rng.choices(solid, k=120)) for _ in range(10)] + ["語" * 700, "ё" * 700, "😀" * 300, "<|endoftext|>" * 40]
+    texts += ["".join(rng.choices("!'’\"stvelmdr x\u3000\n ", k=300)) for _ in range(60)]
+    for text in texts:
+        for size in (1, 7, 50):
+            pieces = bpe.leaves(text, size)
+            assert "".join(pieces) == text
+            assert max(len(p) for p in pieces) <= size + 26
+            assert bpe.concatenate(own, [own.ids(p) for p in pieces]).tolist() == byte.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("leaf", [65_536, 300])
