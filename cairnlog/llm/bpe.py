@@ -48,7 +48,16 @@ def encode(
     texts = df.where(is_long).select(text_or_empty(text).alias("t"))
     made = _encode_long(texts, file, ranks, leaf_chars)
     joined = long.join(made, long[HIDDEN + "d"] == made["digest"])
-    return short.unionByName(joined.select(*[long[n] for n in names], made["ids"].alias(ids)))
+    found = joined.select(*[long[n] for n in names], made["packed"].alias(HIDDEN + "p"))
+    schema = found.drop(HIDDEN + "p").withColumn(ids, F.lit(None).cast("array<int>")).schema
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(file, ranks)
+        for batch in batches:
+            made = _lists([np.frombuffer(x.as_buffer(), _packed(bpe)) for x in batch.column(len(names))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*names, ids])
+
+    return short.unionByName(found.mapInArrow(unpack, schema))
 
 
 def decode(df: DataFrame, file: str, ranks: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -86,32 +95,41 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 
 
 def _encode_long(texts: DataFrame, file: str, ranks: str, leaf_chars: int) -> DataFrame:
-    """(digest, ids) of each distinct text: leaves encoded as rows, then joined per text."""
-    distinct = texts.withColumn("digest", F.sha2("t", 256)).dropDuplicates(["digest"])
+    """(digest, packed) of each distinct text: leaves encoded as rows, then joined per text.
+
+    Leaves of copies are folded on their way to the tasks that encode them, and
+    ids travel as bytes (see :func:`_packed`).
+    """
+    cut_schema = pa.schema([("digest", "string"), ("leaf", pa.int32()), ("piece", "string")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digest, text in zip(batch["digest"].to_pylist(), batch["t"].to_pylist(), strict=True):
                 pieces = leaves(text, leaf_chars)
-                yield pa.RecordBatch.from_pydict(
-                    {"digest": [digest] * len(pieces), "leaf": list(range(len(pieces))), "piece": pieces},
-                    schema=pa.schema([("digest", "string"), ("leaf", pa.int32()), ("piece", "string")]),
-                )
+                rows = {"digest": [digest] * len(pieces), "leaf": list(range(len(pieces))), "piece": pieces}
+                yield pa.RecordBatch.from_pydict(rows, schema=cut_schema)
 
     def leaf_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(file, ranks)
         for batch in batches:
-            made = [bpe.ids(p) for p in batch["piece"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["digest"], batch["leaf"], _lists(made)], names=["digest", "leaf", "ids"])
+            made = [bpe.ids(p).astype(_packed(bpe)).tobytes() for p in batch["piece"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch["digest"], batch["leaf"], pa.array(made, pa.binary())], names=["digest", "leaf", "packed"]
+            )
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("leaf")
-        ids = concatenate(byte_bpe(file, ranks), [np.asarray(x, "u4") for x in group["ids"]])
-        return pd.DataFrame({"digest": [group["digest"].iloc[0]], "ids": [ids.astype("i4")]})
+        bpe = byte_bpe(file, ranks)
+        parts = [np.frombuffer(x, _packed(bpe)) for x in group.sort_values("leaf")["packed"]]
+        return pd.DataFrame({"digest": [group["digest"].iloc[0]], "packed": [concatenate(bpe, parts).astype(_packed(bpe)).tobytes()]})
+
+    pieces = texts.withColumn("digest", F.sha2("t", 256)).mapInArrow(cut, "digest string, leaf int, piece string")
+    encoded = pieces.dropDuplicates(["digest", "leaf"]).mapInArrow(leaf_ids, "digest string, leaf int, packed binary")
+    return encoded.groupBy("digest").applyInPandas(tree, "digest string, packed binary")
+
 
-    pieces = distinct.mapInArrow(cut, "digest string, leaf int, piece string")
-    encoded = pieces.repartition("digest", "leaf").mapInArrow(leaf_ids, "digest string, leaf int, ids array<int>")
-    return encoded.groupBy("digest").applyInPandas(tree, "digest string, ids array<int>")
+def _packed(bpe: ByteBpe) -> str:
+    """The number type that holds any id: two bytes where the vocabulary allows it."""
+    return "<u2" if bpe.size <= 1 << 16 else "<u4"
 
 
 def leaves(text: str, size: int) -> list[str]:
