@@ -48,16 +48,14 @@ def encode(
     texts = df.where(is_long).select(text_or_empty(text).alias("t"))
     made = _encode_long(texts, file, ranks, leaf_chars)
     joined = long.join(made, long[HIDDEN + "d"] == made["digest"])
-    found = joined.select(*[long[n] for n in names], made["packed"].alias(HIDDEN + "p"))
-    schema = found.drop(HIDDEN + "p").withColumn(ids, F.lit(None).cast("array<int>")).schema
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(file, ranks)
-        for batch in batches:
-            made = _lists([np.frombuffer(x.as_buffer(), _packed(bpe)) for x in batch.column(len(names))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*names, ids])
+    # An expression, unlike a mapped partition, lets columns that nobody asks for be left out before the join.
+    @F.arrow_udf("array<int>")
+    def unpacked(packed: pa.Array) -> pa.Array:
+        kind = _packed(byte_bpe(file, ranks))
+        return _lists([np.frombuffer(x.as_buffer(), kind) for x in packed])
 
-    return short.unionByName(found.mapInArrow(unpack, schema))
+    return short.unionByName(joined.select(*[long[n] for n in names], unpacked(made["packed"]).alias(ids)))
 
 
 def decode(df: DataFrame, file: str, ranks: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
