@@ -54,12 +54,13 @@ class Network:
         steps, width = lanes.shape
         hidden, kinds = self.tags.shape[2], self.tags.shape[1]
         size = self.embed.shape[1]
-        # sigmoid(x) = (1 + tanh(x / 2)) / 2: all gates are one tanh; a column of its own closes them on a reset
-        half = np.ones((1, 4 * hidden, 1))
-        half[:, : 3 * hidden] = 0.5
+        # one exponential for all gates: sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 2 sigmoid(2 x) - 1, which
+        # takes less time than tanh; a column of its own closes them on a reset
+        scale = np.full((1, 4 * hidden, 1), -1.0)
+        scale[:, 3 * hidden :] = -2.0
         shut = np.zeros((2, 4 * hidden, 1))
-        shut[:, : 3 * hidden] = -1e4
-        weights = np.concatenate((self.gates[:, :, : hidden + size] * half, self.gates[:, :, -1:] * half, shut), axis=2).astype("f4")
+        shut[:, : 3 * hidden] = 1e4
+        weights = np.concatenate((self.gates[:, :, : hidden + size] * scale, self.gates[:, :, -1:] * scale, shut), axis=2).astype("f4")
         table = np.zeros((size + 2, CHARACTERS), "f4")
         table[:size], table[size], table[size + 1, RESET] = self.embed.T, 1.0, 1.0
         tags = self.tags.astype("f4")
@@ -70,20 +71,27 @@ class Network:
         gates = np.empty((2, 4 * hidden, width), "f4")
         sigmoid, new = gates[:, : 3 * hidden], gates[:, 3 * hidden :]
         enter, keep, give = sigmoid[:, :hidden], sigmoid[:, hidden : 2 * hidden], sigmoid[:, 2 * hidden :]
-        for t in range(steps):
-            x[0] = table[:, lanes[t]]
-            x[1] = table[:, lanes[steps - 1 - t]]
-            np.matmul(weights, state, out=gates)
-            np.tanh(gates, out=gates)
-            sigmoid *= 0.5
-            sigmoid += 0.5
-            cell *= keep
-            np.multiply(enter, new, out=fresh)
-            cell += fresh
-            np.tanh(cell, out=fresh)
-            np.multiply(give, fresh, out=h)
-            np.matmul(tags[0], h[0], out=out[0, t])
-            np.matmul(tags[1], h[1], out=out[1, steps - 1 - t])
+        with np.errstate(over="ignore"):  # a gate that is shut: 1 / (1 + infinity)
+            for t in range(steps):
+                np.take(table, lanes[t].astype(np.intp), axis=1, out=x[0], mode="clip")
+                np.take(table, lanes[steps - 1 - t].astype(np.intp), axis=1, out=x[1], mode="clip")
+                np.matmul(weights, state, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                new *= 2
+                new -= 1
+                cell *= keep
+                np.multiply(enter, new, out=fresh)
+                cell += fresh
+                np.multiply(cell, -2, out=fresh)
+                np.exp(fresh, out=fresh)
+                fresh += 1
+                np.divide(2, fresh, out=fresh)
+                fresh -= 1
+                np.multiply(give, fresh, out=h)
+                np.matmul(tags[0], h[0], out=out[0, t])
+                np.matmul(tags[1], h[1], out=out[1, steps - 1 - t])
         total = out[0]
         total += out[1]
         total += self.bias.astype("f4")[None, :, None]

@@ -218,6 +218,25 @@ def test_lanes_and_windows_change_nothing():
     assert np.allclose(net.emissions(a[:, None])[:, :, 0], slow[:, 0], atol=1e-4)
 
 
+def test_gates_take_one_exponential_and_keep_their_values(monkeypatch):
+    """No tanh, which took over half of the time; shut gates and large cells stay finite."""
+    rng = np.random.default_rng(4)
+    net = recurrent.Network.random(5, 8, 8, rng)
+    net.gates *= 4
+    lanes = rng.integers(1, recurrent.CHARACTERS, (300, 3)).astype(np.uint8)
+    slow = recurrent._forward(net, lanes)[0]
+
+    def refused(*args, **more):
+        raise AssertionError("tanh")
+
+    monkeypatch.setattr(recurrent.np, "tanh", refused)
+    fast = net.emissions(lanes).transpose(0, 2, 1)
+    assert np.allclose(fast, slow, atol=2e-3)
+    lanes[0] = lanes[150] = recurrent.RESET
+    whole = net.emissions(lanes)
+    assert np.isfinite(whole).all() and np.allclose(whole[151:], net.emissions(lanes[151:]), atol=1e-5)
+
+
 def test_slopes_are_those_of_the_loss():
     rng = np.random.default_rng(5)
     net = recurrent.Network.random(3, 4, 3, rng)
