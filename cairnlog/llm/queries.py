@@ -77,8 +77,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 400-byte strings that also start elsewhere."""
-    kept = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_grams")
+    kept = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), n_words=51)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_grams", "n_shared_words")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

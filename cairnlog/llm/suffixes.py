@@ -25,6 +25,11 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers = np.ones((2, 1), np.uint64)
 
 
+def numbers(data: np.ndarray) -> np.ndarray:
+    """Symbols as 64-bit numbers: bytes by a table, words as they are."""
+    return _BYTE[data] if data.dtype == np.uint8 else data
+
+
 def _power_tables(n: int) -> np.ndarray:
     """Powers of the base and of its inverse (mod 2^64), grown as needed."""
     global _powers
@@ -65,6 +70,28 @@ class Rolling:
         return mix((self.prefix[end] - self.prefix[start]) * self.powers[1, start])
 
 
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text (bytes) start and end: runs without ASCII white space."""
+    inner = np.zeros(len(data) + 2, np.int8)
+    inner[1:-1] = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    edges = np.diff(inner)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def words(data: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """The words of a text (bytes) as 64-bit numbers, in blocks of words so that memory is bounded."""
+    starts, ends = word_places(data)
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + block, side="right")))
+        low = starts[first]
+        rolling = Rolling(_BYTE[data[low : ends[last - 1]]])
+        out[first:last] = rolling.slices(starts[first:last] - low, ends[first:last] - low)
+        first = last
+    return out
+
+
 def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
     """The least of each ``size`` neighbours."""
     width, out = 1, values
@@ -93,7 +120,7 @@ def text_anchors(data: np.ndarray, length: int, gram: int, block: int = 1 << 20)
     for first in range(0, n - length + 1, block):
         windows = min(block, n - length + 1 - first)
         low = max(first - reach + 1, 0)
-        rolling = Rolling(_BYTE[data[low : first + windows + 2 * length]])
+        rolling = Rolling(numbers(data[low : first + windows + 2 * length]))
         hashes = rolling.windows(gram)[first - low :][: windows + reach - 1]
         at = anchors(hashes, windows, reach) + first
         start, end = np.maximum(at - (length - gram), 0), np.minimum(at + length, n)
@@ -108,27 +135,37 @@ def text_anchors(data: np.ndarray, length: int, gram: int, block: int = 1 << 20)
 
 
 def repeated_windows(
-    bucket: np.ndarray, left: np.ndarray, contexts: list[bytes], copies: np.ndarray, length: int, gram: int
+    bucket: np.ndarray, left: np.ndarray, contexts: list[bytes], copies: np.ndarray, length: int, gram: int, symbol: type = np.uint8,
+    owner: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For contexts of anchors: which windows exist, which repeat in these rows, and the identifiers.
 
     Column l of each matrix is the window that begins l bytes before the anchor.
     A window's identifier is the pair of its grams' buckets, at its start and
     ``length - gram`` bytes later: grams are identified once and reused for every
-    window that holds them.
+    window that holds them.  With ``owner`` a window repeats if contexts of two owners
+    have it, or one with ``copies``.
     """
     reach = length - gram
-    right = np.array([len(c) for c in contexts]) - left
+    right = np.array([len(c) for c in contexts]) // np.dtype(symbol).itemsize - left
     pair = np.empty((len(contexts), reach + 1), np.uint64)
     for first in range(0, len(contexts), 1024):  # hashes of a few contexts at a time bound the memory
         some = slice(first, first + 1024)
-        pair[some] = _window_ids(contexts[some], left[some].tolist(), length, gram)
+        pair[some] = _window_ids(contexts[some], left[some].tolist(), length, gram, symbol)
     ids = mix(pair ^ mix(bucket)[:, None]) + np.arange(reach + 1, dtype=np.uint64) * _BASE
     back = np.arange(reach + 1)
     exists = (back <= left[:, None]) & (length - back <= right[:, None])
     where = np.flatnonzero(exists)
     order = where[np.argsort(ids.ravel()[where], kind="stable")]
     ordered = ids.ravel()[order]
+    if owner is not None and len(order):
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        row = order // (reach + 1)
+        low, high = (f.reduceat(owner[row], first) for f in (np.minimum, np.maximum))
+        shared = np.repeat((low != high) | np.maximum.reduceat(copies[row] > 1, first), np.diff(np.append(first, len(order))))
+        repeats = np.zeros(exists.size, bool)
+        repeats[order[shared]] = True
+        return exists, repeats.reshape(exists.shape), pair
     same = np.flatnonzero(ordered[1:] == ordered[:-1])
     repeats = np.zeros(exists.size, bool)
     repeats[order[same]] = True
@@ -137,15 +174,16 @@ def repeated_windows(
     return exists, repeats, pair
 
 
-def _window_ids(contexts: list[bytes], left: list[int], length: int, gram: int) -> np.ndarray:
+def _window_ids(contexts: list[bytes], left: list[int], length: int, gram: int, symbol: type) -> np.ndarray:
     """Identifiers of the windows that begin 0, 1, 2, ... bytes before the anchor."""
     reach = length - gram
-    table = np.zeros((len(contexts), reach + length), np.uint8)
+    table = np.zeros((len(contexts), reach + length), symbol)
     for row, (context, before) in enumerate(zip(contexts, left, strict=True)):
-        table[row, reach - before : reach - before + len(context)] = np.frombuffer(context, np.uint8)
+        own = np.frombuffer(context, symbol)
+        table[row, reach - before : reach - before + len(own)] = own
     powers = _power_tables(reach + length + 1)
     prefix = np.zeros((len(contexts), reach + length + 1), np.uint64)
-    np.cumsum(_BYTE[table] * powers[0, : reach + length], axis=1, out=prefix[:, 1:])
+    np.cumsum(numbers(table) * powers[0, : reach + length], axis=1, out=prefix[:, 1:])
     grams = mix((prefix[:, gram:] - prefix[:, :-gram]) * powers[1, : reach + length + 1 - gram])
     starts = reach - np.arange(reach + 1)
     return mix(grams[:, starts] * np.uint64(3) + grams[:, starts + length - gram])

@@ -171,6 +171,46 @@ def test_repeats_are_removed_exactly(spark, limit):
             assert counted[key, len(t)] == 0
 
 
+@pytest.mark.parametrize(("limit", "n"), [(4000, 12), (3, 11)])
+def test_shared_words_are_counted_exactly(spark, limit, n):
+    rng = random.Random(11)
+
+    def words(n):
+        return [rng.choice(["a", "b", "é", "日本", "x" * 30]) for _ in range(n)]
+
+    shared = [words(14) for _ in range(3)]
+    made = [sum((rng.choice([*shared, words(rng.randint(0, 9))])[rng.randint(0, 5) :] for _ in range(rng.randint(0, 5))), []) for _ in range(50)]
+    texts = [rng.choice(["", " "]) + "".join(w + rng.choice([" ", "\n", " \t "]) for w in own) for own in made]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[4]), (None, None), (70, "a b " * 40), (71, ""), (72, "q " * 11)]
+    # a passage of twelve words and few bytes in two texts: nothing of 400 bytes repeats
+    rows += [(80, "one two three four five six seven eight nine ten eleven twelve"), (81, "0 one two three four five six seven eight nine ten eleven twelve 13")]
+    table = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n_shared_words long")
+    got = substrings.remove_repeats(table, n_words=n, group_limit=limit).collect()
+    split = [(k, (t or "").split()) for k, t in rows]
+    owners = collections.defaultdict(set)
+    for row, (_, w) in zip(rows, split, strict=True):
+        for i in range(len(w) - n + 1):
+            owners[tuple(w[i : i + n])].add((row[0], row[1] or ""))
+    expected = collections.Counter()
+    for (key, w), (_, t) in zip(split, rows, strict=True):
+        gone = {i + j for i in range(len(w) - n + 1) if len(owners[tuple(w[i : i + n])]) > 1 for j in range(n)}
+        expected[key, len((t or "").encode()), len(gone)] += 1
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_shared_words) for r in got) == expected
+    by = {r.doc_id: r for r in got}
+    assert by[80].n_shared_words == by[81].n_shared_words == 12 and by[80].n_removed == 0
+
+
+def test_words_are_numbered_in_blocks():
+    from cairnlog.llm.suffixes import words
+
+    data = np.frombuffer(("  ab  cd\n" + "e" * 50 + " ab\t日本 cd").encode(), np.uint8)
+    whole = words(data)
+    assert len(whole) == 6 and whole[0] == whole[3] and whole[1] == whole[5] and len(set(whole.tolist())) == 4
+    for block in (1, 7, 30):
+        assert (words(data, block) == whole).all()
+    assert len(words(np.empty(0, np.uint8))) == 0
+
+
 def test_repeats_in_the_tables(spark, docs, odd, nothing):
     small = docs.select("doc_id", "text").limit(120)
     rows = [(r.doc_id, r.text) for r in small.collect()]
