@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIDDEN, arrow_map, fresh_names, text_or_empty
+from .common import HIDDEN, arrow_map, fresh_names, lean, ranges, slices, text_or_empty
 from .tokens import END_OF_TEXT, ByteBpe, byte_bpe
 
+#: Ids decoded, or bytes of leaves encoded, at a time.
+BLOCK = 1_000_000
 #: Where a split is sure, after one character: white space between a letter, number or mark and a letter.
 _SURE = regex.compile(r"[\p{L}\p{N}.,;:!?](?=[ \n]\p{L})")
 
@@ -41,7 +43,7 @@ def encode(
     names = fresh_names(df, [ids])
     is_long = F.char_length(text_or_empty(text)) > leaf_chars
     short = arrow_map(
-        df.where(~is_long), names, text, f"`{ids}` array<int>", _encoder(file, ranks, ids)
+        df.where(~is_long), names, text, f"`{ids}` array<int>", _encoder(file, ranks, ids), BLOCK
     )
     long = df.where(is_long).select(*[F.col(f"`{n}`") for n in names], text_or_empty(text).alias(HIDDEN + "t"))
     long = long.withColumn(HIDDEN + "d", F.sha2(HIDDEN + "t", 256)).drop(HIDDEN + "t")
@@ -68,10 +70,12 @@ def decode(df: DataFrame, file: str, ranks: str, ids: str = "ids", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(file, ranks)
         for batch in batches:
-            made = [bpe.text(_numbers(x)) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*names, text])
+            for first, last in ranges(pa.compute.list_value_length(batch.column(at)).to_pylist(), BLOCK):
+                part = batch.slice(first, last - first)
+                made = [bpe.text(_numbers(x)) for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=[*names, text])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _numbers(ids: pa.Scalar) -> np.ndarray:
@@ -102,26 +106,28 @@ def _encode_long(texts: DataFrame, file: str, ranks: str, leaf_chars: int) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, text in zip(batch["digest"].to_pylist(), batch["t"].to_pylist(), strict=True):
-                pieces = leaves(text, leaf_chars)
+            for digest, text in zip(batch["digest"], batch["t"], strict=True):
+                digest, pieces = digest.as_py(), leaves(text.as_py(), leaf_chars)
                 rows = {"digest": [digest] * len(pieces), "leaf": list(range(len(pieces))), "piece": pieces}
                 yield pa.RecordBatch.from_pydict(rows, schema=cut_schema)
 
     def leaf_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(file, ranks)
         for batch in batches:
-            made = [bpe.ids(p).astype(_packed(bpe)).tobytes() for p in batch["piece"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["digest"], batch["leaf"], pa.array(made, pa.binary())], names=["digest", "leaf", "packed"]
-            )
+            for first, last in slices(batch["piece"], BLOCK):
+                part = batch.slice(first, last - first)
+                made = [bpe.ids(p).astype(_packed(bpe)).tobytes() for p in part["piece"].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part["digest"], part["leaf"], pa.array(made, pa.binary())], names=["digest", "leaf", "packed"]
+                )
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
         bpe = byte_bpe(file, ranks)
         parts = [np.frombuffer(x, _packed(bpe)) for x in group.sort_values("leaf")["packed"]]
         return pd.DataFrame({"digest": [group["digest"].iloc[0]], "packed": [concatenate(bpe, parts).astype(_packed(bpe)).tobytes()]})
 
-    pieces = texts.withColumn("digest", F.sha2("t", 256)).mapInArrow(cut, "digest string, leaf int, piece string")
-    encoded = pieces.dropDuplicates(["digest", "leaf"]).mapInArrow(leaf_ids, "digest string, leaf int, packed binary")
+    pieces = texts.withColumn("digest", F.sha2("t", 256)).mapInArrow(lean(cut), "digest string, leaf int, piece string")
+    encoded = pieces.dropDuplicates(["digest", "leaf"]).mapInArrow(lean(leaf_ids), "digest string, leaf int, packed binary")
     return encoded.groupBy("digest").applyInPandas(tree, "digest string, packed binary")
 
 

@@ -73,15 +73,37 @@ def arrow_map(
                 columns = [part.column(i) for i in range(len(names))] + [made[n] for n in added]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a partition, after which the worker gives back the memory that is free.
+
+    Workers wait for their next task with what they hold, beside the others of
+    their executor.
+    """
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            pa.system_memory_pool().release_unused()
+
+    return mapped
 
 
 def slices(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``chars`` bytes each, one row at least."""
-    sizes = pa.compute.binary_length(texts).to_pylist()
+    return ranges(pa.compute.binary_length(texts).to_pylist(), chars)
+
+
+def ranges(sizes: list[int | None], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes sum up to ``most``, one at least; no size is 0."""
     start, total = 0, 0
     for i, size in enumerate(sizes):
-        if total and total + size > chars:
+        size = size or 0
+        if total and total + size > most:
             yield start, i
             start, total = i, 0
         total += size

@@ -18,7 +18,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Pieces remembered by a worker before it starts anew; bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Characters for which cutting, lower-casing and normalising are known to agree between libraries.
 PLAIN = "\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ"
 _NOT_PLAIN = re.compile(f"[^{PLAIN}]")
@@ -134,6 +134,10 @@ class WordBpe:
             out[i] = b"".join(ids)
         return out
 
+    def forget(self) -> None:
+        """Drop what is remembered."""
+        self._young, self._old = {}, {}
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         made = {c: ids for c in chunks if (ids := self._old.get(c)) is not None}
         new = [c for c in chunks if c not in made]

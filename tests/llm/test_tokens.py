@@ -83,6 +83,26 @@ def test_round_trip(spark, odd, nothing, libraries, leaf):
     assert bpe.encode(nothing, queries.BYTE_FILE, queries.BYTE_RANKS).collect() == []
 
 
+def test_decoded_batches_are_small(spark, monkeypatch):
+    """A worker holds the decoded texts of some ids at a time, and words only while it has a task."""
+    import pyarrow as pa
+
+    runs = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    monkeypatch.setattr(bpe, "BLOCK", 10)
+    bpe.decode(spark.createDataFrame([], "doc_id long, ids array<int>"), queries.BYTE_FILE, queries.BYTE_RANKS)
+    ids = [[1, 2, 3], None, [4] * 25, [], [5] * 6, [6] * 6]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    out = list(runs[0](iter([batch])))
+    assert [b.num_rows for b in out] == [2, 1, 2, 1]
+    own = byte_bpe(queries.BYTE_FILE, queries.BYTE_RANKS)
+    assert [t for b in out for t in b["decoded"].to_pylist()] == [own.text(np.array(x or [], "i4")) for x in ids]
+    packing.pieces(spark.createDataFrame([(1, "a")], "doc_id long, text string"), queries.WORD_FILE)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words to keep"])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in runs[1](iter([batch]))) == 1
+    assert not word_bpe(queries.WORD_FILE)._young
+
+
 def test_sequences_hold_every_id_once(spark, docs, odd, nothing, libraries):
     for table in (docs.select("doc_id", "text"), odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
         cut = packing.pieces(table, queries.WORD_FILE)
