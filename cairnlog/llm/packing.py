@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import settle
-from .common import HIDDEN, fresh_names, partitions, slices, text_or_empty, with_fields
+from .common import HIDDEN, fresh_names, lean, partitions, slices, text_or_empty, with_fields
 from .tokens import word_bpe
 
 PIECE = "start bigint, length bigint, doc_tokens bigint, ids binary"
 
 
 def pieces(
-    df: DataFrame, file: str, text: str = "text", end_id: int = 2, capacity: int = 4096, batch_chars: int = 4_000_000
+    df: DataFrame, file: str, text: str = "text", end_id: int = 2, capacity: int = 4096, batch_chars: int = 1_000_000
 ) -> DataFrame:
     """Cut each document's ids, ``end_id`` appended, into pieces of ``capacity`` ids and one shorter rest.
 
@@ -41,10 +41,11 @@ def pieces(
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = word_bpe(file)
         for batch in batches:
             texts = batch.column(len(names))
             for first, last in slices(texts, batch_chars):
-                packed = word_bpe(file).packed(texts.slice(first, last - first).to_pylist())
+                packed = bpe.packed(texts.slice(first, last - first).to_pylist())
                 rows, starts, totals, ids = [], [], [], []
                 for i, data in enumerate(packed, first):
                     data += end
@@ -57,8 +58,9 @@ def pieces(
                 lengths = [len(x) // 4 for x in ids]
                 made = [pa.array(x, pa.int64()) for x in (starts, lengths, totals)] + [pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(kept + made, names=[*names, "start", "length", "doc_tokens", "ids"])
+        bpe.forget()  # the worker waits for its next task without
 
-    return source.mapInArrow(run, with_fields(df, names, PIECE))
+    return source.mapInArrow(lean(run), with_fields(df, names, PIECE))
 
 
 @dataclass(frozen=True)

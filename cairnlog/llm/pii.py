@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_names, least_hashes, refuse_hidden, slices, text_or_empty, with_fields
+from .common import fresh_names, lean, least_hashes, refuse_hidden, slices, text_or_empty, with_fields
 from .recurrent import REST, Network, codes, decode, train
 from .syncmers import code_points
 
@@ -32,7 +32,7 @@ _SIGN = re.compile(r"[0-9@\[(]")
 
 #: Characters of a window, and of the margin on each side that only gives context.
 WINDOW, MARGIN = 2048, 64
-LANES = 768
+LANES = 512
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -306,9 +306,9 @@ def _mapped(df: DataFrame, net: Network | None, text: str, added: list[str], ddl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(names))
-            for first, last in slices(texts, 2_000_000):
+            for first, last in slices(texts, 1_000_000):
                 part = batch.slice(first, last - first)
                 made = work(texts.slice(first, last - first).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *made], names=[*names, *added])
 
-    return source.mapInArrow(run, with_fields(df, names, ddl))
+    return source.mapInArrow(lean(run), with_fields(df, names, ddl))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .chain import marginals, pair_counts
-from .common import fresh_names, least_hashes, slices, text_or_empty, with_fields
+from .common import fresh_names, lean, least_hashes, slices, text_or_empty, with_fields
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Words whose scores a worker remembers before it starts anew.
@@ -63,6 +63,10 @@ class Model:
                     out[i] = known[words[i]] = self.gain(words[i])
         return out
 
+    def forget(self) -> None:
+        """Drop the scores that are remembered."""
+        self._known.clear()
+
     def gain(self, word: str) -> float:
         weight = self.weights.get
         return weight("bias", 0.0) + sum(weight(f, 0.0) for f in features(word))
@@ -323,14 +327,15 @@ def score(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(names))
-            for first, last in slices(texts, 4_000_000):
+            for first, last in slices(texts, 1_000_000):
                 part = batch.slice(first, last - first)
                 own = texts.slice(first, last - first).to_pylist()
                 p, scores = shared.value.tag(own)
                 spans = [_spans(t, q, least) if len(q) and q.max() >= least else [] for t, q in zip(own, p, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(scores), pa.array(spans, kind)], names=[*names, "score", "spans"])
+        shared.value.forget()  # the worker waits for its next task without
 
-    return source.mapInArrow(run, with_fields(df, names, "score double, spans array<struct<start:bigint,end:bigint,probability:double>>"))
+    return source.mapInArrow(lean(run), with_fields(df, names, "score double, spans array<struct<start:bigint,end:bigint,probability:double>>"))
 
 
 def _spans(text: str, p: np.ndarray, least: float) -> list[dict]:

@@ -85,6 +85,23 @@ def test_toxicity_without_labels(spark, odd, nothing):
     assert toxicity.score(nothing, toxicity.train(nothing, none)).collect() == []
 
 
+def test_workers_keep_nothing_between_tasks(spark, monkeypatch):
+    import pyarrow as pa
+
+    model = toxicity.Model({"w bad": 3.0}, np.zeros(2), np.zeros((2, 2)), np.zeros(3))
+    runs = []
+    frame = spark.createDataFrame([(1, "a bad word")], "doc_id long, text string")
+    shared = type("Shared", (), {"value": model})()
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: shared)
+    toxicity.score(frame, model)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a bad word"]), pa.array(["a bad word"])], names=["doc_id", "text", "__llm_text"])
+    known = []
+    for _ in runs[0](iter([batch])):
+        known.append(len(model._known))
+    assert known == [3] and not model._known
+
+
 def test_held_out_labels_are_not_used(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
