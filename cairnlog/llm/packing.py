@@ -45,7 +45,7 @@ def pieces(
         for batch in batches:
             texts = batch.column(len(names))
             for first, last in slices(texts, batch_chars):
-                packed = bpe.packed(texts.slice(first, last - first).to_pylist())
+                packed = bpe.packed(texts.slice(first, last - first))
                 rows, starts, totals, ids = [], [], [], []
                 for i, data in enumerate(packed, first):
                     data += end

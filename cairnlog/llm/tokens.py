@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -74,13 +76,14 @@ class ByteBpe:
 class WordBpe:
     """The vocabulary with word ends: lower case, white space dropped.
 
-    Plain texts are cut at white space and the ids of the pieces remembered in
-    two generations.  New pieces are merged in bulk: a mark after each word
-    stands for the word end, and joining it to the last byte comes before all
-    other merges, which is what a vocabulary with word ends does.
+    Plain texts are cut at white space a block at a time, as Arrow columns, and
+    each distinct piece of a block is looked up once.  The ids of pieces are
+    remembered in two generations.  New pieces are merged in bulk: a mark after
+    each word stands for the word end, and joining it to the last byte comes
+    before all other merges, which is what a vocabulary with word ends does.
     """
 
-    _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-z0-9ß-öø-ÿ]+")
+    _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-z0-9ß-öø-ÿ]+|\n")
     _END = "\0"
 
     def __init__(self, file: str) -> None:
@@ -108,52 +111,56 @@ class WordBpe:
             whole = b"".join(map(letters.__getitem__, token.removesuffix(suffix)))
             put(whole + self._END.encode() * token.endswith(suffix), vocabulary[token])
         self._real = np.array(real, "<u4")
-        self._ends = np.array([t.endswith(self._END.encode()) for t in ranks])
+        self._break = list(ranks).index(f"\n{self._END}".encode())
+        # with no special token at all, tiktoken looks for one at every character
         self._bulk = tiktoken.Encoding(
-            "word ends", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}
+            "word ends", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(real)}
         )
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
-    def packed(self, texts: list[str]) -> list[bytes]:
+    def packed(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of whole texts as bytes (little-endian unsigned 32-bit numbers)."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if "<|" in text or not is_plain(text):
-                ids = self.library.encode(text, add_special_tokens=False).ids
-                out[i] = np.array(ids, "<u4").tobytes()
-            else:
-                cut[i] = text.split()
-        found = {i: list(map(self._young.get, chunks)) for i, chunks in cut.items()}
-        missed = {c for i, ids in found.items() if None in ids for c, x in zip(cut[i], ids, strict=True) if x is None}
-        made = self._learn(missed)
-        for i, ids in found.items():
-            if None in ids:
-                ids = [made[c] if x is None else x for c, x in zip(cut[i], ids, strict=True)]
-            out[i] = b"".join(ids)
-        return out
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        other = pa.compute.match_substring_regex(texts, _NOT_PLAIN.pattern + r"|<\|")
+        cut = pa.compute.ascii_split_whitespace(pa.compute.utf8_lower(texts.filter(pa.compute.invert(other))))
+        pieces = cut.flatten().dictionary_encode()
+        ids = self._of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # where the ids of each distinct piece begin, then those of each piece of the texts
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        numbers = pieces.indices.to_numpy()
+        starts, sizes = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        places = np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        edges = [0, *(4 * ends[np.cumsum(pa.compute.list_value_length(cut).to_numpy(), dtype=np.int64)]).tolist()]
+        plain = (data[a:b] for a, b in zip(edges, edges[1:], strict=False))
+        rest = (self.library.encode(t, add_special_tokens=False).ids for t in texts.filter(other).to_pylist())
+        return [np.array(next(rest), "<u4").tobytes() if x else next(plain) for x in other.to_numpy(zero_copy_only=False)]
 
     def forget(self) -> None:
         """Drop what is remembered."""
         self._young, self._old = {}, {}
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        made = {c: ids for c in chunks if (ids := self._old.get(c)) is not None}
-        new = [c for c in chunks if c not in made]
+    def _of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces in lower case."""
+        ids = list(map(self._young.get, pieces))
+        made = {p: self._old.get(p) for p, x in zip(pieces, ids, strict=True) if x is None}
+        new = [p for p, x in made.items() if x is None]
         if new:
-            words = [self._WORD.findall(c) for c in "\n".join(new).lower().split("\n")]
-            counts = np.fromiter(map(len, words), np.int64, len(words))
-            joined = self._END.join(w for found in words for w in found) + self._END
-            ids = self._bulk.encode_to_numpy(joined, disallowed_special=())
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            edges = np.concatenate(([0], ends[np.cumsum(counts) - 1])) * 4
-            data, edges = self._real[ids].tobytes(), edges.tolist()
-            made.update((c, data[a:b]) for c, a, b in zip(new, edges, edges[1:], strict=False))
+            made.update(zip(new, self._merged(new), strict=True))
         if len(self._young) + len(made) > REMEMBERED:
             self._old, self._young = self._young, {}
         self._young.update(made)
-        return made
+        return [made[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that are not remembered; line feeds, which no piece has, tell where one ends."""
+        words = self._WORD.findall("\n".join(pieces) + "\n")
+        ids = self._bulk.encode_to_numpy(self._END.join(words) + self._END, disallowed_special=())
+        data, ends = self._real[ids].tobytes(), (4 * np.flatnonzero(ids == self._break)).tolist()
+        return [data[a + 4 : b] for a, b in zip([-4, *ends], ends, strict=False)]
 
 
 def _library(file: str) -> Tokenizer:

@@ -4,10 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from cairnlog.llm import bpe, packing, queries
+from cairnlog.llm import bpe, packing, queries, tokens
 from cairnlog.llm.tokens import byte_bpe, word_bpe
 
 TEXTS = [
@@ -38,6 +39,34 @@ def test_ids_are_the_librarys(both, libraries, docs):
         assert np.frombuffer(data, "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
 
 
+def test_distinct_pieces_of_a_block_are_merged_once(both, libraries, monkeypatch):
+    """Pieces that differ in case only are one; special tokens are not looked for at every character."""
+    own, word = both[1], libraries[1]
+    own.forget()
+    merged = []
+    monkeypatch.setattr(own, "_merged", lambda pieces, merge=own._merged: merged.extend(pieces) or merge(pieces))
+    for kind in (pa.string(), pa.large_string()):
+        texts = pa.array(["skipped", "The THE the", " the,\tÄHNLICH ähnlich\r\n", "", "日本 the", "don't THE, x'll", " "], kind).slice(1)
+        for data, text in zip(own.packed(texts), texts.to_pylist(), strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
+    assert sorted(merged) == ["", "don't", "the", "the,", "x'll", "ähnlich"]
+    assert own._bulk.special_tokens_set
+    assert own.packed([]) == [] and own.packed(["日"])[0] == np.array(word.encode("日", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_remembered_pieces_of_both_generations_have_the_librarys_ids(libraries, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 30)
+    own, rng = tokens.WordBpe(queries.WORD_FILE), random.Random(7)
+    kinds = ["the", "Ändern", "'s", "3", "...", "é", "don't", "zyx", "<", "|>"]
+    words = ["".join(rng.choices(kinds, k=rng.randint(1, 4))) for _ in range(90)]
+    words = [w for w in words if "<|" not in w]
+    for _ in range(40):
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(4)]
+        for data, text in zip(own.packed(texts), texts, strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == libraries[1].encode(text, add_special_tokens=False).ids
+        assert len(own._young) <= 48 and len(own._old) <= 48
+
+
 def test_joined_halves_are_the_whole(both, libraries):
     own, byte = both[0], libraries[0]
     rng = random.Random(3)
