@@ -116,16 +116,18 @@ def pack(cut: DataFrame, capacity: int = 4096, order: tuple[str, ...] = ("doc_id
     """``cut`` (with a ``length`` of 1 to ``capacity`` a row) plus ``sequence_id`` and ``offset``.
 
     ``cut`` is written once to the shared folder, since the histogram and the
-    ranks must see the same rows.  Ranks are counted in buckets of each length,
-    so that a length which many pieces have is no single task; ties are ranked in
-    any order.  An empty table gives an empty table.
+    ranks must see the same rows.  The counts are taken from it anew where they are
+    needed: to write them would be a small file for each shuffle partition.  Ranks
+    are counted in buckets of each length, so that a length which many pieces have
+    is no single task; ties are ranked in any order.  An empty table gives an empty
+    table.
     """
     spark = cut.sparkSession
     cut = settle(cut.select(*[F.col(f"`{n}`") for n in fresh_names(cut, ["sequence_id", "offset"])]))
     bucket = F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in order]), F.lit(partitions(spark))).cast("int")
     marked = cut.withColumn(HIDDEN + "b", bucket)
-    sizes = settle(marked.groupBy("length", HIDDEN + "b").agg(F.count(F.lit(1)).alias(HIDDEN + "n")))
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum(HIDDEN + "n").alias("n")).collect()}
+    sizes = marked.groupBy("length", HIDDEN + "b").agg(F.count(F.lit(1)).alias(HIDDEN + "n"))
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(not 1 <= k <= capacity for k in histogram):
         raise ValueError(f"lengths must be 1 to {capacity}")
     places = plan(histogram, capacity)

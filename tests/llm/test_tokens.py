@@ -159,6 +159,16 @@ def test_ties_and_repeated_rows_have_places_of_their_own(spark):
     _gapless(packing.pack(spark.createDataFrame(rows, "doc_id long, start long, length long"), capacity=64).collect(), 64)
 
 
+def test_packing_writes_the_pieces_and_no_more(spark, monkeypatch):
+    """The counts of lengths would be a file for each shuffle partition, and a few processes for each file."""
+    written = []
+    monkeypatch.setattr(packing, "settle", lambda df, settle=packing.settle: written.append(df.columns) or settle(df))
+    cut = spark.createDataFrame([(i, 0, 1 + i % 7) for i in range(200)], "doc_id long, start long, length long")
+    rows = packing.pack(cut, capacity=16).collect()
+    _gapless(rows, 16)
+    assert len(rows) == 200 and written == [["doc_id", "start", "length"]]
+
+
 def test_plan_leaves_little_padding():
     rng = random.Random(1)
     histogram: dict[int, int] = {}
